@@ -9,3 +9,26 @@ ORACLE: dict[str, str] = {
     "agg2_order_lines_rollup": g.order_lines_rollup_sql(),
     "agg4_feature_table": g.feature_table_sql(),
 }
+
+ORACLE.update({
+    "ev1_predict_label": "WITH " + g.YP + f"SELECT y, {g.f32('p')} AS p, CAST(p >= 0.5 AS INTEGER) AS pred FROM d",
+    "ev4_pr_curve": "WITH " + g.YP + (
+        f"SELECT {g.f32('p')} AS threshold, {g.f32('tp::DOUBLE / (tp + fp)')} AS precision, "
+        f"{g.f32('tp::DOUBLE / n_pos')} AS recall FROM c, t "
+        f"UNION ALL SELECT NULL, {g.f32('1.0')}, {g.f32('0.0')}"),
+    "win3_score_curve": "WITH " + g.YP + (
+        f"SELECT {g.f32('p')} AS threshold, pos, neg, tp, fp, n_pos, n_neg, {g.f32('tp::DOUBLE / (tp + fp)')} AS precision, "
+        f"{g.f32('tp::DOUBLE / n_pos')} AS recall FROM c, t"),
+    "ev2_ev3_auc_ap": "WITH " + g.YP + g.AUC_AP,
+    "ev5_confusion": "WITH " + g.YP + g.cm_sql("0.5"),
+    "ev6_binary_metrics": "WITH " + g.YP + (
+        f"SELECT r.*, a.auc, a.ap FROM ({g.rates_sql(g.cm_sql('0.5'))}) r, ({g.AUC_AP}) a"),
+    "ev7_threshold_for_recall": g.thr_recall_sql(0.8, False),
+    "ev7_threshold_for_recall_shifted": g.thr_recall_sql(0.8, True),
+    "ev8_cost_at_threshold": "WITH " + g.YP + (
+        f"SELECT {g.f32('0.3')} AS threshold, {g.f32('1.0 * fp + 10.0 * fn')} AS total_cost, "
+        f"{g.f32('(1.0 * fp + 10.0 * fn) / (tn + fp + fn + tp)')} AS avg_cost, tn, fp, fn, tp FROM ({g.cm_sql('0.3')}) x"),
+    "ev9_cost_curve": "WITH " + g.YP + ", " + g.GRID + f"SELECT {g.COST_COLS} FROM cc",
+    "ev9_best_cost_threshold": "WITH " + g.YP + ", " + g.GRID + (
+        f"SELECT {g.COST_COLS} FROM cc ORDER BY (1.0 * fp + 10.0 * fn) / (tn + fp + fn + tp), idx LIMIT 1"),
+})

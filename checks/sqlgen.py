@@ -117,3 +117,50 @@ def feature_table_sql() -> str:
     doubles = ["c_acctbal", "ACCTBAL_PER_NATION"] + ord_cols + evt_cols
     others = ["c_custkey", "c_nationkey"] + ["c_mktsegment_" + v for v in CATS["c_mktsegment"]]
     return snap_select(inner, doubles, others)
+
+
+# --- metrics ------------------------------------------------------------------
+YP = ("d AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, l_extendedprice / 110000.0 AS p FROM lineitem), "
+      "t AS (SELECT CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg FROM d), "
+      "s AS (SELECT p, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg FROM d GROUP BY p), "
+      "c AS (SELECT p, pos, neg, CAST(sum(pos) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp, "
+      "CAST(sum(neg) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fp FROM s) ")
+
+
+def rates_sql(cm: str) -> str:
+    """precision/recall/f1/accuracy/bal_acc/pred_pos_rate from a (tn, fp, fn, tp) relation."""
+    return (f"SELECT tn, fp, fn, tp, "
+            f"{f32('coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0.0)')} AS precision, "
+            f"{f32('coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0.0)')} AS recall, "
+            f"{f32('coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0.0)')} AS f1, "
+            f"{f32('(tp + tn)::DOUBLE / (tn + fp + fn + tp)')} AS accuracy, "
+            f"{f32('CASE WHEN tn + fp = 0 THEN coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0.0) WHEN tp + fn = 0 THEN tn::DOUBLE / (tn + fp) ELSE (tp::DOUBLE / (tp + fn) + tn::DOUBLE / (tn + fp)) / 2 END')} AS bal_acc, "
+            f"{f32('(tp + fp)::DOUBLE / (tn + fp + fn + tp)')} AS pred_pos_rate FROM ({cm}) cm")
+
+
+def cm_sql(thr: str) -> str:
+    return (f"SELECT count(*) FILTER (WHERE y = 0 AND p < {thr}) AS tn, count(*) FILTER (WHERE y = 0 AND p >= {thr}) AS fp, "
+            f"count(*) FILTER (WHERE y = 1 AND p < {thr}) AS fn, count(*) FILTER (WHERE y = 1 AND p >= {thr}) AS tp FROM d")
+
+
+AUC_AP = (f"SELECT {f32('sum(neg * (tp - pos / 2.0)) / (max(n_pos)::DOUBLE * max(n_neg))')} AS auc, "
+          f"{f32('sum(pos * (tp::DOUBLE / (tp + fp))) / max(n_pos)')} AS ap FROM c, t")
+
+
+def thr_recall_sql(target: float, shifted: bool) -> str:
+    r = "(tp - pos)::DOUBLE / n_pos" if shifted else "tp::DOUBLE / n_pos"
+    pick = (f"SELECT coalesce((SELECT max(p) FROM c, t WHERE {r} >= {target}), "
+            f"(SELECT p FROM c, t ORDER BY abs({r} - {target}), p LIMIT 1)) AS thr")
+    return ("WITH " + YP + f", pick AS ({pick}) "
+            f"SELECT {f32('(SELECT thr FROM pick)')} AS threshold, precision, recall, f1, tn, fp, fn, tp FROM ("
+            + rates_sql(cm_sql("(SELECT thr FROM pick)")) + ") r")
+
+
+GRID = ("g AS (SELECT i AS idx, CASE WHEN i = 199 THEN 0.5 ELSE i * ((0.5 - 0.01) / 199) + 0.01 END AS threshold "
+        "FROM range(0, 200) r(i)), "
+        "cc AS (SELECT g.idx, g.threshold, "
+        "count(*) FILTER (WHERE d.y = 0 AND d.p >= g.threshold) AS fp, count(*) FILTER (WHERE d.y = 1 AND d.p < g.threshold) AS fn, "
+        "count(*) FILTER (WHERE d.y = 0 AND d.p < g.threshold) AS tn, count(*) FILTER (WHERE d.y = 1 AND d.p >= g.threshold) AS tp "
+        "FROM g, d GROUP BY g.idx, g.threshold) ")
+COST_COLS = (f"CAST(idx AS BIGINT) AS idx, {f32('threshold')} AS threshold, {f32('1.0 * fp + 10.0 * fn')} AS total_cost, "
+             f"{f32('(1.0 * fp + 10.0 * fn) / (tn + fp + fn + tp)')} AS avg_cost, tn, fp, fn, tp")

@@ -41,3 +41,64 @@ def q_order_lines_rollup(spark, sf_dir):
 def q_feature_table(spark, sf_dir):
     df, _ = feat.feature_table(Tables(spark, sf_dir))
     return feat.snap_doubles(df)
+
+
+# --- metrics on (y = returnflag 'R', p = extendedprice / 110000) ----------------
+from riskframe.operators import metrics as M  # noqa: E402
+from riskframe.plans.tables import scored_lineitem  # noqa: E402
+
+
+@register("ev1_predict_label")
+def q_predict_label(spark, sf_dir):
+    d = scored_lineitem(Tables(spark, sf_dir))
+    return feat.snap_doubles(d.select("y", "p", M.predict_label(d.p, 0.5).alias("pred")))
+
+
+@register("ev4_pr_curve")
+def q_pr_curve(spark, sf_dir):
+    return feat.snap_doubles(M.pr_curve(scored_lineitem(Tables(spark, sf_dir))))
+
+
+@register("win3_score_curve")
+def q_score_curve(spark, sf_dir):
+    return feat.snap_doubles(M.score_curve(scored_lineitem(Tables(spark, sf_dir))))
+
+
+@register("ev2_ev3_auc_ap")
+def q_auc_ap(spark, sf_dir):
+    return feat.snap_doubles(M.auc_ap(scored_lineitem(Tables(spark, sf_dir))))
+
+
+@register("ev5_confusion")
+def q_confusion(spark, sf_dir):
+    return M.confusion(scored_lineitem(Tables(spark, sf_dir)), 0.5)
+
+
+@register("ev6_binary_metrics")
+def q_binary_metrics(spark, sf_dir):
+    return feat.snap_doubles(M.binary_metrics(scored_lineitem(Tables(spark, sf_dir)), 0.5))
+
+
+@register("ev7_threshold_for_recall")
+def q_thr_recall(spark, sf_dir):
+    return feat.snap_doubles(M.threshold_for_recall(scored_lineitem(Tables(spark, sf_dir)), 0.8))
+
+
+@register("ev7_threshold_for_recall_shifted")
+def q_thr_recall_shift(spark, sf_dir):
+    return feat.snap_doubles(M.threshold_for_recall(scored_lineitem(Tables(spark, sf_dir)), 0.8, shift_compat=True))
+
+
+@register("ev8_cost_at_threshold")
+def q_cost_at(spark, sf_dir):
+    return feat.snap_doubles(M.cost_at_threshold(scored_lineitem(Tables(spark, sf_dir)), 0.3))
+
+
+@register("ev9_cost_curve")
+def q_cost_curve(spark, sf_dir):
+    return feat.snap_doubles(M.cost_curve(scored_lineitem(Tables(spark, sf_dir))))
+
+
+@register("ev9_best_cost_threshold")
+def q_best_cost(spark, sf_dir):
+    return feat.snap_doubles(M.best_cost_threshold(scored_lineitem(Tables(spark, sf_dir))))
