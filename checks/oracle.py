@@ -32,3 +32,13 @@ ORACLE.update({
     "ev9_best_cost_threshold": "WITH " + g.YP + ", " + g.GRID + (
         f"SELECT {g.COST_COLS} FROM cc ORDER BY (1.0 * fp + 10.0 * fn) / (tn + fp + fn + tp), idx LIMIT 1"),
 })
+
+_EV_DRIFT = g.drift_sql(g.EVENTS_DRIFT_BASE, g.EVENTS_DRIFT_FEATS)
+_ORD_DRIFT = g.drift_sql(g.ORDERS_DRIFT_BASE, g.ORDERS_DRIFT_FEATS)
+ORACLE.update({
+    "dr8_drift_report_events": _EV_DRIFT,
+    "dr8_drift_report_orders": _ORD_DRIFT,
+    "top2_top_psi": f"SELECT * FROM ({_EV_DRIFT}) r ORDER BY psi DESC NULLS LAST, feature LIMIT 3",
+    "top3_top_missing_delta": f"SELECT * FROM ({_EV_DRIFT}) r ORDER BY abs(missing_rate_delta) DESC NULLS LAST, feature LIMIT 3",
+    "top7_report_view": f"SELECT * FROM ({_ORD_DRIFT}) r WHERE psi >= 0.0",
+})

@@ -164,3 +164,100 @@ GRID = ("g AS (SELECT i AS idx, CASE WHEN i = 199 THEN 0.5 ELSE i * ((0.5 - 0.01
         "FROM g, d GROUP BY g.idx, g.threshold) ")
 COST_COLS = (f"CAST(idx AS BIGINT) AS idx, {f32('threshold')} AS threshold, {f32('1.0 * fp + 10.0 * fn')} AS total_cost, "
              f"{f32('(1.0 * fp + 10.0 * fn) / (tn + fp + fn + tp)')} AS avg_cost, tn, fp, fn, tp")
+
+
+# --- drift ----------------------------------------------------------------------
+NUM_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def drift_sql(base: str, feats: list[tuple[str, str, str]], bins: int = 10, top_k: int = 30) -> str:
+    """DR8 in SQL.  ``base`` must expose a ``side`` column ('ref'/'prod');
+    ``feats`` = (feature name, 'num' | 'str', SQL expression)."""
+    parts = []
+    for name, kind, expr in feats:
+        if kind == "num":
+            parts.append(
+                f"SELECT side, {lit(name)} AS feature, CASE WHEN ({expr}) IS NULL OR isnan(({expr})::DOUBLE) THEN NULL "
+                f"ELSE CAST(({expr}) AS VARCHAR) END AS v_str, "
+                f"CASE WHEN isnan(({expr})::DOUBLE) OR isinf(({expr})::DOUBLE) THEN NULL ELSE ({expr})::DOUBLE END AS v_num, "
+                f"(({expr}) IS NULL OR isnan(({expr})::DOUBLE)) AS raw_null FROM b")
+        else:
+            parts.append(
+                f"SELECT side, {lit(name)} AS feature, ({expr})::VARCHAR AS v_str, "
+                f"CASE WHEN regexp_full_match(trim(({expr})::VARCHAR), {lit(NUM_RE)}) THEN TRY_CAST(trim(({expr})::VARCHAR) AS DOUBLE) END AS v_num, "
+                f"({expr}) IS NULL AS raw_null FROM b")
+    import numpy as np
+    probs = ", ".join(f"'{repr(float(x))}'::DOUBLE" for x in np.linspace(0, 1, bins + 1))
+    lin = ", ".join([f"ref_min + {float(i)!r} * ((ref_max - ref_min) / {float(bins)!r})" for i in range(bins)] + ["ref_max"])
+    term = "CASE WHEN ({a}) IS NOT NULL AND ({b}) IS NOT NULL THEN (greatest({a}, 1e-6) - greatest({b}, 1e-6)) * ln(greatest({a}, 1e-6) / greatest({b}, 1e-6)) END"
+    a_num = "CASE WHEN ref_vals > 0 THEN coalesce(c_ref, 0) / ref_vals / ((CASE WHEN ref_vals > 0 THEN 1.0 ELSE 0.0 END) + (ref_n - ref_vals)::DOUBLE / ref_n) END"
+    b_num = "CASE WHEN prod_vals > 0 THEN coalesce(c_prod, 0) / prod_vals / ((CASE WHEN prod_vals > 0 THEN 1.0 ELSE 0.0 END) + (prod_n - prod_vals)::DOUBLE / nullif(prod_n, 0)) END"
+    m_ref = "((ref_n - ref_vals)::DOUBLE / ref_n) / ((CASE WHEN ref_vals > 0 THEN 1.0 ELSE 0.0 END) + (ref_n - ref_vals)::DOUBLE / ref_n)"
+    m_prod = "((prod_n - prod_vals)::DOUBLE / nullif(prod_n, 0)) / nullif((CASE WHEN prod_vals > 0 THEN 1.0 ELSE 0.0 END) + (prod_n - prod_vals)::DOUBLE / nullif(prod_n, 0), 0)"
+    c_ref = "(ref_vals::DOUBLE / nullif(ref_n, 0))"
+    c_prod = "(prod_vals::DOUBLE / nullif(prod_n, 0))"
+    return f"""WITH b AS ({base}),
+long AS ({' UNION ALL '.join(parts)}),
+st0 AS (SELECT feature,
+  count(*) FILTER (WHERE side = 'ref') AS ref_n, count(*) FILTER (WHERE side = 'prod') AS prod_n,
+  count(*) FILTER (WHERE side = 'ref' AND NOT raw_null) AS ref_nonnull, count(*) FILTER (WHERE side = 'prod' AND NOT raw_null) AS prod_nonnull,
+  count(v_num) FILTER (WHERE side = 'ref') AS ref_vals, count(v_num) FILTER (WHERE side = 'prod') AS prod_vals,
+  min(v_num) FILTER (WHERE side = 'ref') AS ref_min, max(v_num) FILTER (WHERE side = 'ref') AS ref_max
+  FROM long GROUP BY feature),
+st AS (SELECT *, (ref_nonnull = 0 OR ref_vals >= 0.95 * ref_nonnull) AS is_numeric FROM st0),
+qs AS (SELECT feature, list_sort(list_distinct(quantile_cont(v_num, [{probs}]))) AS q
+  FROM long WHERE side = 'ref' AND v_num IS NOT NULL GROUP BY feature),
+e1 AS (SELECT st.feature, CASE WHEN len(q) < 3 THEN [{lin}] ELSE q END AS e
+  FROM qs JOIN st USING (feature) WHERE is_numeric AND ref_min < ref_max),
+e2 AS (SELECT feature, e[2:len(e) - 1] AS inner_e, len(e) - 1 AS n_bins FROM e1),
+cnt AS (SELECT l.feature, l.side, len(list_filter(e2.inner_e, lambda x: x < l.v_num)) AS bin, count(*) AS c
+  FROM long l JOIN e2 USING (feature) WHERE l.v_num IS NOT NULL GROUP BY ALL),
+grid AS (SELECT feature, unnest(range(0, n_bins)) AS bin FROM e2),
+wide AS (SELECT g.feature, g.bin, sum(c) FILTER (WHERE side = 'ref') AS c_ref, sum(c) FILTER (WHERE side = 'prod') AS c_prod
+  FROM grid g LEFT JOIN cnt USING (feature, bin) GROUP BY ALL),
+binpart AS (SELECT w.feature, sum({term.format(a=a_num, b=b_num)}) AS psi_bins FROM wide w JOIN st USING (feature) GROUP BY w.feature),
+numpsi AS (SELECT st.feature, coalesce(psi_bins, 0.0) + {term.format(a=m_ref, b=m_prod)} AS psi
+  FROM st JOIN e2 USING (feature) LEFT JOIN binpart USING (feature)
+  UNION ALL
+  SELECT feature, CASE WHEN ref_vals = 0 AND prod_vals = 0 THEN 0.0 ELSE
+    {term.format(a=c_ref, b=c_prod)} + {term.format(a='1.0 - ' + c_ref, b='1.0 - ' + c_prod)} END
+  FROM st WHERE is_numeric AND NOT coalesce(ref_min < ref_max, false)),
+ccnt AS (SELECT l.feature, side, v_str, count(*) AS c FROM long l JOIN st USING (feature) WHERE NOT is_numeric GROUP BY ALL),
+top AS (SELECT feature, v_str FROM (SELECT feature, v_str, row_number() OVER (PARTITION BY feature ORDER BY c DESC, v_str ASC NULLS LAST) AS r
+  FROM ccnt WHERE side = 'ref') WHERE r <= {top_k}),
+mapped AS (SELECT c.feature, c.side, c.c, CASE WHEN c.v_str IS NULL THEN 2 WHEN t.feature IS NOT NULL THEN 0 ELSE 1 END AS kind,
+  CASE WHEN c.v_str IS NOT NULL AND t.feature IS NOT NULL THEN c.v_str END AS cat
+  FROM ccnt c LEFT JOIN top t ON c.feature = t.feature AND c.v_str = t.v_str),
+shares AS (SELECT feature, kind, cat, sum(c) FILTER (WHERE side = 'ref') AS c_ref, sum(c) FILTER (WHERE side = 'prod') AS c_prod
+  FROM mapped GROUP BY ALL),
+catpsi AS (SELECT s.feature, sum({term.format(a='coalesce(c_ref, 0)::DOUBLE / nullif(ref_n, 0)', b='coalesce(c_prod, 0)::DOUBLE / nullif(prod_n, 0)')}) AS psi
+  FROM shares s JOIN st USING (feature) GROUP BY s.feature),
+psi AS (SELECT * FROM numpsi UNION ALL SELECT * FROM catpsi),
+rep AS (SELECT st.feature, CASE WHEN is_numeric THEN 'numeric' ELSE 'categorical' END AS type,
+  CASE WHEN prod_n > 0 THEN psi.psi END AS psi,
+  (ref_n - ref_nonnull)::DOUBLE / nullif(ref_n, 0) AS ref_missing_rate,
+  (prod_n - prod_nonnull)::DOUBLE / nullif(prod_n, 0) AS prod_missing_rate,
+  CASE WHEN ref_n > 0 AND prod_n > 0 THEN (prod_n - prod_nonnull)::DOUBLE / prod_n - (ref_n - ref_nonnull)::DOUBLE / ref_n END AS missing_rate_delta,
+  CAST(ref_n AS BIGINT) AS ref_n, CAST(prod_n AS BIGINT) AS prod_n
+  FROM st LEFT JOIN psi USING (feature))
+SELECT feature, type, {f32('psi')} AS psi, {f32('ref_missing_rate')} AS ref_missing_rate, {f32('prod_missing_rate')} AS prod_missing_rate,
+  {f32('missing_rate_delta')} AS missing_rate_delta, ref_n, prod_n,
+  CASE WHEN psi IS NULL THEN NULL WHEN psi < 0.1 THEN 'low' WHEN psi < 0.2 THEN 'moderate' WHEN psi < 0.3 THEN 'high' ELSE 'severe' END AS severity
+FROM rep"""
+
+
+EVENTS_DRIFT_BASE = "SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 'ref' ELSE 'prod' END AS side FROM events"
+EVENTS_DRIFT_FEATS = [
+    ("event_type", "str", "event_type"),
+    ("value", "num", "value"),
+    ("user_id", "num", "user_id"),
+    ("k", "str", "json_extract_string(props, '$.k')"),
+    ("value_ge10", "num", "CASE WHEN value < 10 THEN NULL ELSE value END"),
+]
+ORDERS_DRIFT_BASE = "SELECT *, CASE WHEN o_orderdate < TIMESTAMP '2000-01-01 00:00:00' THEN 'ref' ELSE 'prod' END AS side FROM orders"
+ORDERS_DRIFT_FEATS = [
+    ("o_orderstatus", "str", "o_orderstatus"),
+    ("o_orderpriority", "str", "o_orderpriority"),
+    ("o_totalprice", "num", "o_totalprice"),
+    ("o_custkey", "num", "o_custkey"),
+]

@@ -102,3 +102,33 @@ def q_cost_curve(spark, sf_dir):
 @register("ev9_best_cost_threshold")
 def q_best_cost(spark, sf_dir):
     return feat.snap_doubles(M.best_cost_threshold(scored_lineitem(Tables(spark, sf_dir))))
+
+
+# --- drift -----------------------------------------------------------------------
+from riskframe.operators import drift as D  # noqa: E402
+from riskframe.plans import monitoring as mon  # noqa: E402
+
+
+@register("dr8_drift_report_events")
+def q_drift_events(spark, sf_dir):
+    return feat.snap_doubles(mon.drift_report_events(Tables(spark, sf_dir)))
+
+
+@register("dr8_drift_report_orders")
+def q_drift_orders(spark, sf_dir):
+    return feat.snap_doubles(mon.drift_report_orders(Tables(spark, sf_dir)))
+
+
+@register("top2_top_psi")
+def q_top_psi(spark, sf_dir):
+    return feat.snap_doubles(D.top_psi(mon.drift_report_events(Tables(spark, sf_dir)), 3))
+
+
+@register("top3_top_missing_delta")
+def q_top_missing(spark, sf_dir):
+    return feat.snap_doubles(D.top_missing_delta(mon.drift_report_events(Tables(spark, sf_dir)), 3))
+
+
+@register("top7_report_view")
+def q_report_view(spark, sf_dir):
+    return feat.snap_doubles(D.report_view(mon.drift_report_orders(Tables(spark, sf_dir)), 0.0, False))
