@@ -42,3 +42,52 @@ ORACLE.update({
     "top3_top_missing_delta": f"SELECT * FROM ({_EV_DRIFT}) r ORDER BY abs(missing_rate_delta) DESC NULLS LAST, feature LIMIT 3",
     "top7_report_view": f"SELECT * FROM ({_ORD_DRIFT}) r WHERE psi >= 0.0",
 })
+
+_TYPE = "CASE typeof({c}) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' END"
+_PB = "WITH pb AS (" + g.PB + ") "
+_ALL = [c for c, _ in g.PB_COLS]
+ORACLE.update({
+    "prf1_table_info": _PB + " UNION ALL ".join(
+        f"SELECT {g.lit(c)} AS column, count({g.qi(c)}) AS non_null, (SELECT {_TYPE.format(c=g.qi(c))} FROM pb LIMIT 1) AS dtype FROM pb"
+        for c in _ALL),
+    "prf2_shape": _PB + f"SELECT count(*) AS n_rows, CAST({len(_ALL)} AS BIGINT) AS n_columns FROM pb",
+    "prf4_null_counts": g.null_counts_sql(_ALL),
+    "prf5_value_counts": _PB + " UNION ALL ".join(
+        f"SELECT {g.lit(c)} AS column, {g.qi(c)} AS value, count(*) AS count FROM pb GROUP BY {g.qi(c)}"
+        for c in ["l_returnflag", "l_linestatus"]),
+    "prf6_class_distribution": _PB + (
+        f"SELECT l_returnflag AS value, count(*) AS count, {g.f32('count(*) / sum(count(*)) OVER ()')} AS share "
+        "FROM pb WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag"),
+    "prf7_describe": g.describe_sql(),
+    "prf8_missing_values_table": f"SELECT \"column\", null_count AS missing_values, {g.f32('round(null_pct_raw, 1)')} AS pct_of_total FROM ("
+        + _PB + " UNION ALL ".join(
+            f"SELECT {g.lit(c)} AS column, count(*) FILTER (WHERE {g.qi(c)} IS NULL) AS null_count, "
+            f"count(*) FILTER (WHERE {g.qi(c)} IS NULL) * 100.0 / count(*) AS null_pct_raw FROM pb" for c in _ALL)
+        + ") x WHERE null_pct_raw <> 0",
+    "prf9_distinct_counts": _PB + " UNION ALL ".join(
+        f"SELECT {g.lit(c)} AS column, count(DISTINCT {g.qi(c)}) AS n_distinct FROM pb" for c in ["l_returnflag", "l_linestatus"]),
+    "prf10_null_ratio_top": _PB + "SELECT \"column\", null_ratio FROM (" + " UNION ALL ".join(
+        f"SELECT {g.lit(c)} AS column, {g.f32(f'count(*) FILTER (WHERE {g.qi(c)} IS NULL) * 100.0 / count(*) / 100.0')} AS null_ratio, "
+        f"count(*) FILTER (WHERE {g.qi(c)} IS NULL) * 100.0 / count(*) / 100.0 AS raw FROM pb" for c in _ALL)
+        + ") x ORDER BY raw, \"column\" LIMIT 5",
+    "prf11_all_null_columns": _PB + "SELECT \"column\" FROM (" + " UNION ALL ".join(
+        f"SELECT {g.lit(c)} AS column, count({g.qi(c)}) AS n FROM pb" for c in _ALL) + ") x WHERE n = 0",
+    "prf12_constant_columns": _PB + "SELECT \"column\" FROM (" + " UNION ALL ".join(
+        f"SELECT {g.lit(c)} AS column, min({g.qi(c)}) IS NOT DISTINCT FROM max({g.qi(c)}) AS k FROM pb" for c in _ALL)
+        + ") x WHERE k",
+    "prf13_key_uniqueness": _PB + ("SELECT count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_distinct, "
+                                   "count(*) - count(DISTINCT l_orderkey) - max(CAST(l_orderkey IS NULL AS INTEGER)) AS n_duplicated FROM pb"),
+    "prf14_key_label_nulls": g.null_counts_sql(["l_orderkey", "l_returnflag"]),
+    "prf15_histogram": g.histogram_sql("l_extendedprice", 25),
+    "prf16_kde_by_class": g.KDE_SQL,
+    "prf17_fixed_bins_mean": g.fixed_bins_sql(),
+    "prf18_corr_with_label": g.corr_label_sql(),
+    "prf19_pair_corr": _PB + f"SELECT {g.f32('corr(l_quantity, l_extendedprice)')} AS corr FROM pb",
+    "prf20_corr_matrix": _PB + " UNION ALL ".join(
+        f"SELECT {g.lit(a)} AS row, {g.lit(b)} AS col, {g.f32(f'corr({g.qi(a)}::DOUBLE, {g.qi(b)}::DOUBLE)')} AS corr FROM pb"
+        for i, a in enumerate(g.PB_NUM) for j, b in enumerate(g.PB_NUM) if i > j),
+    "top5_corr_top": f"SELECT * FROM ({g.corr_label_sql()}) x ORDER BY corr DESC NULLS LAST, feature LIMIT 3",
+    "top5_corr_bottom": f"SELECT * FROM ({g.corr_label_sql()}) x ORDER BY corr ASC NULLS LAST, feature LIMIT 3",
+    "prf21_segment_compare": f"WITH d AS ({g.PBY}) SELECT (l_linenumber IS NOT DISTINCT FROM 1) AS segment, "
+        f"{g.f32('avg(y::DOUBLE)')} AS label_mean, count(*) AS n_rows FROM d GROUP BY 1",
+})

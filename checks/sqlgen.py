@@ -261,3 +261,75 @@ ORDERS_DRIFT_FEATS = [
     ("o_totalprice", "num", "o_totalprice"),
     ("o_custkey", "num", "o_custkey"),
 ]
+
+
+# --- profiling -------------------------------------------------------------------------
+PB = ("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
+      "nullif(l_discount, 0.0) AS l_discount, nullif(l_tax, 0.0) AS l_tax, nullif(l_returnflag, 'N') AS l_returnflag, "
+      "l_linestatus FROM lineitem")
+PB_COLS = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
+           ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"),
+           ("l_returnflag", "string"), ("l_linestatus", "string")]
+PB_NUM = [c for c, t in PB_COLS if t != "string"]
+PBY = ("SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_linenumber, "
+       "CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem")
+
+
+def per_column(select_for, cols, source="pb"):
+    return " UNION ALL ".join(select_for(c) for c in cols)
+
+
+def null_counts_sql(cols):
+    return "WITH pb AS (" + PB + ") " + " UNION ALL ".join(
+        f"SELECT {lit(c)} AS column, count(*) FILTER (WHERE {qi(c)} IS NULL) AS null_count, "
+        f"{f32(f'count(*) FILTER (WHERE {qi(c)} IS NULL) * 100.0 / count(*)')} AS null_pct FROM pb" for c in cols)
+
+
+def describe_sql():
+    return "WITH pb AS (" + PB + ") " + " UNION ALL ".join(
+        f"SELECT {lit(c)} AS column, count({qi(c)}) AS count, {f32(f'avg({qi(c)})')} AS mean, "
+        f"{f32(f'stddev_samp({qi(c)})')} AS std, {f32(f'min({qi(c)})')} AS min, "
+        f"{f32(f'quantile_cont({qi(c)}, 0.25)')} AS p25, {f32(f'quantile_cont({qi(c)}, 0.5)')} AS p50, "
+        f"{f32(f'quantile_cont({qi(c)}, 0.75)')} AS p75, {f32(f'max({qi(c)})')} AS max FROM pb" for c in PB_NUM)
+
+
+def corr_label_sql():
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+    return "WITH d AS (" + PBY + ") " + " UNION ALL ".join(
+        f"SELECT {lit(c)} AS feature, {f32(f'corr({qi(c)}::DOUBLE, y::DOUBLE)')} AS corr FROM d" for c in cols)
+
+
+def histogram_sql(col, bins):
+    return (f"WITH pb AS ({PB}), d AS (SELECT {qi(col)}::DOUBLE AS v FROM pb WHERE {qi(col)} IS NOT NULL), "
+            f"r AS (SELECT min(v) AS mn, max(v) AS mx FROM d), "
+            f"b AS (SELECT least({bins - 1}, len(list_filter(list_transform(range(1, {bins}), lambda j: mn + j * ((mx - mn) / {float(bins)!r})), lambda e: v >= e))) AS bin "
+            f"FROM d, r), c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin), "
+            f"g AS (SELECT i AS bin, CASE WHEN i = 0 THEN mn ELSE mn + i * ((mx - mn) / {float(bins)!r}) END AS lower, "
+            f"CASE WHEN i + 1 = {bins} THEN mx ELSE mn + (i + 1) * ((mx - mn) / {float(bins)!r}) END AS upper FROM range(0, {bins}) t(i), r) "
+            f"SELECT CAST(g.bin AS INTEGER) AS bin, {f32('lower')} AS lower, {f32('upper')} AS upper, CAST(coalesce(n, 0) AS BIGINT) AS count "
+            f"FROM g LEFT JOIN c ON g.bin = c.bin")
+
+
+KDE_SQL = (f"WITH d AS ({PBY}), st AS (SELECT y, count(l_quantity) AS n, stddev_samp(l_quantity) AS sd, "
+           "min(l_quantity) AS mn, max(l_quantity) AS mx FROM d GROUP BY y), "
+           "st2 AS (SELECT *, sd * pow(n::DOUBLE, -0.2) AS h FROM st), "
+           "st3 AS (SELECT *, mn - 3.0 * h AS lo, mx + 3.0 * h AS hi FROM st2), "
+           "g AS (SELECT y, gi, CASE WHEN gi = 199 THEN hi ELSE lo + gi::DOUBLE * ((hi - lo) / 199.0) END AS x, n, h "
+           "FROM st3, range(0, 200) r(gi)) "
+           f"SELECT g.y, CAST(gi AS INTEGER) AS gi, {f32('x')} AS x, "
+           f"{f32('sum(exp(-0.5 * ((x - l_quantity) / h) * ((x - l_quantity) / h))) / (max(n) * max(h) * sqrt(2 * pi()))')} AS density "
+           "FROM g JOIN d ON g.y = d.y GROUP BY g.y, gi, x")
+
+
+def fixed_bins_sql():
+    import numpy as np
+    edges = [float(x) for x in np.linspace(0, 50, 11)]
+    idx = " + ".join(f"CAST(l_quantity > {e!r} AS INTEGER)" for e in edges[:-1])
+    grid = " UNION ALL ".join(f"SELECT {i} AS bin, {edges[i]!r} AS lower, {edges[i + 1]!r} AS upper" for i in range(10))
+    return (f"WITH pb AS ({PB}), d AS (SELECT CASE WHEN l_quantity > {edges[0]!r} AND l_quantity <= {edges[-1]!r} "
+            f"THEN {idx} - 1 END AS bin, l_extendedprice, l_discount FROM pb), "
+            "m AS (SELECT bin, count(*) AS n_rows, avg(l_extendedprice) AS me, avg(l_discount) AS md FROM d WHERE bin IS NOT NULL GROUP BY bin), "
+            f"g AS ({grid}) "
+            f"SELECT CAST(g.bin AS INTEGER) AS bin, {f32('lower')} AS lower, {f32('upper')} AS upper, "
+            f"CAST(coalesce(n_rows, 0) AS BIGINT) AS n_rows, {f32('me')} AS l_extendedprice_mean, {f32('md')} AS l_discount_mean "
+            "FROM g LEFT JOIN m ON g.bin = m.bin")

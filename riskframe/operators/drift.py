@@ -197,7 +197,13 @@ def compute_drift(ref: DataFrame, prod: DataFrame, bins: int = 10, cat_top_k: in
     return drift_from_long(long, bins, cat_top_k)
 
 
-def drift_from_long(long: DataFrame, bins: int = 10, cat_top_k: int = 30) -> DataFrame:
+def drift_from_long(long: DataFrame, bins: int = 10, cat_top_k: int = 30, persist: bool = True) -> DataFrame:
+    """DR8 on an already unpivoted table.  The long table is read by several
+    aggregates; ``persist`` keeps it (memory, spilling to disk) so the sources
+    are scanned once.  Lost blocks are recomputed from the lineage."""
+    if persist:
+        from pyspark import StorageLevel
+        long = long.persist(StorageLevel.MEMORY_AND_DISK)
     stats = feature_stats(long)
     psi = numeric_psi(long, stats, bins).unionByName(categorical_psi(long, stats, cat_top_k))
     r_ref = F.try_divide(F.col("ref_n") - F.col("ref_nonnull"), F.col("ref_n").cast("double"))

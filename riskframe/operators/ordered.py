@@ -69,14 +69,51 @@ def value_counts(long_df: DataFrame, group_cols: list[str], value_col: str) -> D
             .groupBy(*[q(c) for c in group_cols], q(value_col)).agg(F.count(F.lit(1)).alias("_n")))
 
 
-def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles (NumPy's default method) per group.
+# Above this many distinct values in one group, the grouped ``percentile``
+# aggregate (one value->count map per group, merged in one task) is replaced
+# by the distributed rank search.
+MAX_DISTINCT_INLINE = 1_000_000
 
-    Returns (group..., q_index, prob, quantile, n).  Work is spread by value:
-    counts per distinct value, then ``ordered_cumsum``; each target rank is
-    then found by an equi-join on (group, bucket), never by a per-group
-    collect.  NULLs are ignored; a group without values gives no rows.
+
+def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
+                    method: str = "auto") -> DataFrame:
+    """Exact linear-interpolated quantiles per group.
+
+    Returns (group..., q_index, prob, quantile, n).  NULLs are ignored; a
+    group without values gives no rows.
+
+    ``method``:
+    * ``"percentile"``: Spark's exact grouped ``percentile`` (one aggregate);
+      its state per group is a map of distinct values, fine while a group
+      has few distinct values;
+    * ``"distributed"``: counts per distinct value, ``ordered_cumsum``, and
+      each target rank found by an equi-join on (group, bucket) -- no state
+      grows with a group's size, so a hot or high-cardinality group is spread
+      over many tasks;
+    * ``"auto"``: one HLL pass picks ``percentile`` when every group has at most
+      MAX_DISTINCT_INLINE distinct values, else ``distributed``.
     """
+    if method == "auto":
+        gl = [q(c) for c in group_cols]
+        per = long_df.groupBy(*gl).agg(F.approx_count_distinct(F.col(q(value_col))).alias("_d"))
+        worst = per.agg(F.max("_d")).first()[0] or 0
+        method = "percentile" if worst <= MAX_DISTINCT_INLINE else "distributed"
+    if method == "percentile":
+        return _grouped_percentile(long_df, group_cols, value_col, probs)
+    return _distributed_quantiles(long_df, group_cols, value_col, probs)
+
+
+def _grouped_percentile(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float]) -> DataFrame:
+    v = F.col(q(value_col)).cast("double")
+    parr = F.array(*[F.lit(float(p)) for p in probs])
+    agg = long_df.filter(v.isNotNull()).groupBy(*[q(c) for c in group_cols]).agg(
+        F.percentile(v, [float(p) for p in probs]).alias("_qs"), F.count(v).alias("n"))
+    out = agg.select(*[q(c) for c in group_cols], F.posexplode("_qs").alias("q_index", "quantile"), "n")
+    return out.select(*[q(c) for c in group_cols], "q_index",
+                      F.element_at(parr, F.col("q_index") + 1).alias("prob"), "quantile", "n")
+
+
+def _distributed_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float]) -> DataFrame:
     gcols = list(group_cols) or ["_g"]
     base = long_df if group_cols else long_df.withColumn("_g", F.lit(0))
     counts = value_counts(base, gcols, value_col)

@@ -132,3 +132,56 @@ def q_top_missing(spark, sf_dir):
 @register("top7_report_view")
 def q_report_view(spark, sf_dir):
     return feat.snap_doubles(D.report_view(mon.drift_report_orders(Tables(spark, sf_dir)), 0.0, False))
+
+
+# --- profiling on lineitem with nulls made by nullif --------------------------------
+from riskframe.operators import profile as PR  # noqa: E402
+from riskframe.plans.tables import profile_base  # noqa: E402
+
+PB_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+              "l_discount", "l_tax"]
+
+
+def _pb(spark, sf_dir):
+    return profile_base(Tables(spark, sf_dir))
+
+
+def _pb_y(spark, sf_dir):
+    from pyspark.sql import functions as F
+    li = Tables(spark, sf_dir).lineitem
+    return li.select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber",
+                     (F.col("l_returnflag") == "R").cast("int").alias("y"))
+
+
+register("prf1_table_info")(lambda spark, sf: PR.table_info(_pb(spark, sf)))
+register("prf2_shape")(lambda spark, sf: PR.shape(_pb(spark, sf)))
+register("prf3_dtype_counts")(lambda spark, sf: PR.dtype_counts(_pb(spark, sf)))
+register("prf4_null_counts")(lambda spark, sf: feat.snap_doubles(PR.null_counts(_pb(spark, sf))))
+register("prf5_value_counts")(lambda spark, sf: PR.value_counts(_pb(spark, sf), ["l_returnflag", "l_linestatus"]))
+register("prf6_class_distribution")(lambda spark, sf: feat.snap_doubles(PR.class_distribution(_pb(spark, sf), "l_returnflag")))
+register("prf7_describe")(lambda spark, sf: feat.snap_doubles(PR.describe(_pb(spark, sf), PB_NUMERIC)))
+register("prf8_missing_values_table")(lambda spark, sf: feat.snap_doubles(PR.missing_values_table(_pb(spark, sf))))
+register("prf9_distinct_counts")(lambda spark, sf: PR.distinct_counts(_pb(spark, sf)))
+register("prf10_null_ratio_top")(lambda spark, sf: feat.snap_doubles(PR.null_ratio_top(_pb(spark, sf), 5)))
+register("prf11_all_null_columns")(lambda spark, sf: PR.all_null_columns(_pb(spark, sf)))
+register("prf12_constant_columns")(lambda spark, sf: PR.constant_columns(_pb(spark, sf)))
+register("prf13_key_uniqueness")(lambda spark, sf: PR.key_uniqueness(_pb(spark, sf), "l_orderkey"))
+register("prf14_key_label_nulls")(lambda spark, sf: feat.snap_doubles(PR.null_counts(_pb(spark, sf), ["l_orderkey", "l_returnflag"])))
+register("prf15_histogram")(lambda spark, sf: feat.snap_doubles(PR.histogram(_pb(spark, sf), "l_extendedprice", 25)))
+register("prf16_kde_by_class")(lambda spark, sf: feat.snap_doubles(PR.kde_by_class(_pb_y(spark, sf), "l_quantity", "y")))
+register("prf17_fixed_bins_mean")(lambda spark, sf: feat.snap_doubles(PR.fixed_bins_mean(
+    _pb(spark, sf), "l_quantity", [float(x) for x in __import__("numpy").linspace(0, 50, 11)], ["l_extendedprice", "l_discount"])))
+register("prf18_corr_with_label")(lambda spark, sf: feat.snap_doubles(PR.corr_with_label(_pb_y(spark, sf), "y")))
+register("prf19_pair_corr")(lambda spark, sf: feat.snap_doubles(PR.pair_corr(_pb(spark, sf), "l_quantity", "l_extendedprice")))
+register("prf20_corr_matrix")(lambda spark, sf: feat.snap_doubles(PR.corr_matrix(_pb(spark, sf), PB_NUMERIC)))
+register("top5_corr_top")(lambda spark, sf: feat.snap_doubles(PR.top_bottom(PR.corr_with_label(_pb_y(spark, sf), "y"), "corr", 3)[0]))
+register("top5_corr_bottom")(lambda spark, sf: feat.snap_doubles(PR.top_bottom(PR.corr_with_label(_pb_y(spark, sf), "y"), "corr", 3)[1]))
+
+
+def _segment(spark, sf):
+    from pyspark.sql import functions as F
+    d = _pb_y(spark, sf)
+    return feat.snap_doubles(PR.segment_compare(d, F.col("l_linenumber").eqNullSafe(1), "y"))
+
+
+register("prf21_segment_compare")(_segment)
