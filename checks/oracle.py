@@ -91,3 +91,15 @@ ORACLE.update({
     "prf21_segment_compare": f"WITH d AS ({g.PBY}) SELECT (l_linenumber IS NOT DISTINCT FROM 1) AS segment, "
         f"{g.f32('avg(y::DOUBLE)')} AS label_mean, count(*) AS n_rows FROM d GROUP BY 1",
 })
+
+ORACLE.update({
+    "adp8_align_compact_rows": g.ALIGN_SQL,
+    "adp9_alignment_stats": (f"SELECT o_orderkey AS row_index, CAST(11 AS INTEGER) AS n_features, {g.NMISS} AS n_missing, "
+                             f"{g.f32(g.NMISS + ' / 11.0')} AS missing_rate, 'O_ORDERPRIORITY,O_ORDERSTATUS' AS used_groups, "
+                             f"CAST(3 - {g.NMISS} AS INTEGER) AS filled_count FROM orders"),
+    "adp13_rejected_rows": f"SELECT o_orderkey AS row_index, {g.REJECT} AS reject_reason FROM orders WHERE ({g.REJECT}) IS NOT NULL",
+    "sc2_sc3_linear_score": f"SELECT row_index, {g.f32('p')} AS proba_default, CAST(p >= 0.5 AS INTEGER) AS decision FROM ({g.SCORED}) s",
+    "sc4_batch_score": (f"SELECT row_index AS log_seq, CAST(row_index AS VARCHAR) AS request_id, 'orders-linear-v1' AS model_version, "
+                        f"{g.f32('p')} AS proba_default, {g.f32('0.5')} AS threshold, CAST(p >= 0.5 AS INTEGER) AS decision, "
+                        f"{g.f32('0.0')} AS latency_ms FROM ({g.SCORED}) s"),
+})

@@ -333,3 +333,26 @@ def fixed_bins_sql():
             f"SELECT CAST(g.bin AS INTEGER) AS bin, {f32('lower')} AS lower, {f32('upper')} AS upper, "
             f"CAST(coalesce(n_rows, 0) AS BIGINT) AS n_rows, {f32('me')} AS l_extendedprice_mean, {f32('md')} AS l_discount_mean "
             "FROM g LEFT JOIN m ON g.bin = m.bin")
+
+
+# --- alignment / scoring on orders ------------------------------------------------------------
+PRIOS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+STATS_ = ["F", "O", "P"]
+_FLAG = "CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END"
+ALIGN_COLS = (
+    f"o_orderkey AS row_index, {f32('CASE WHEN o_totalprice > 400000 THEN NULL ELSE o_totalprice END')} AS \"O_TOTALPRICE\", "
+    f"{f32('o_custkey::DOUBLE')} AS \"O_CUSTKEY\", {f32(_FLAG)} AS \"FLAG_URGENT\", "
+    + ", ".join(f"{f32(f'CAST(o_orderpriority = {lit(p)} AS DOUBLE)')} AS {qi('O_ORDERPRIORITY_' + p)}" for p in PRIOS) + ", "
+    + ", ".join(f"{f32(f'CAST(o_orderstatus = {lit(s)} AS DOUBLE)')} AS {qi('O_ORDERSTATUS_' + s)}" for s in STATS_))
+REJECT = ("CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'F' THEN 'unknown_keys' "
+          "WHEN o_totalprice > 400000 THEN 'insufficient_filled_requested' END")
+NMISS = "CAST(CASE WHEN o_totalprice > 400000 THEN 1 ELSE 0 END AS INTEGER)"
+ALIGN_SQL = (f"SELECT {ALIGN_COLS}, CAST(11 AS INTEGER) AS n_features, {NMISS} AS n_missing, "
+             f"{f32(NMISS + ' / 11.0')} AS missing_rate, CAST(3 - {NMISS} AS INTEGER) AS filled_count, "
+             f"{REJECT} AS reject_reason FROM orders")
+COEFS = [2e-6, -1e-5, 0.4, 0.3, 0.2, 0.0, -0.1, -0.2, 0.1, 0.0, -0.1]
+_XS = (["o_totalprice", "o_custkey::DOUBLE", "CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END"]
+       + [f"CAST(o_orderpriority = {lit(p)} AS DOUBLE)" for p in PRIOS] + [f"CAST(o_orderstatus = {lit(s)} AS DOUBLE)" for s in STATS_])
+MARGIN = "(" + "-0.7" + "".join(f" + ({x}) * {c!r}" for x, c in zip(_XS, COEFS)) + ")"
+PROBA = f"(1.0 / (1.0 + exp(-{MARGIN})))"
+SCORED = (f"SELECT o_orderkey AS row_index, {PROBA} AS p FROM orders WHERE ({REJECT}) IS NULL")

@@ -185,3 +185,43 @@ def _segment(spark, sf):
 
 
 register("prf21_segment_compare")(_segment)
+
+
+# --- alignment and scoring -------------------------------------------------------------
+from riskframe.plans import scoring as SCR  # noqa: E402
+
+
+@register("adp8_align_compact_rows")
+def q_align(spark, sf_dir):
+    a = SCR.aligned_orders(Tables(spark, sf_dir))
+    return feat.snap_doubles(a.drop("used_groups", "reject_detail"))
+
+
+@register("adp9_alignment_stats")
+def q_align_stats(spark, sf_dir):
+    from pyspark.sql import functions as F
+    a = SCR.aligned_orders(Tables(spark, sf_dir))
+    return feat.snap_doubles(a.select("row_index", "n_features", "n_missing", "missing_rate",
+                                      F.array_join("used_groups", ",").alias("used_groups"), "filled_count"))
+
+
+@register("adp13_rejected_rows")
+def q_rejected(spark, sf_dir):
+    a = SCR.aligned_orders(Tables(spark, sf_dir))
+    return a.filter("reject_reason is not null").select("row_index", "reject_reason")
+
+
+@register("sc2_sc3_linear_score")
+def q_linear_score(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    m = SCR.order_model()
+    ok = SCR.aligned_orders(t).filter("reject_reason is null")
+    return feat.snap_doubles(SCR.score_aligned(ok, m).select("row_index", "proba_default", "decision"))
+
+
+@register("sc4_batch_score")
+def q_batch_score(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    log, _ = SCR.predict_batch(SCR.compact_order_rows(t), SCR.order_spec(), SCR.order_model(), SCR.order_rule(),
+                               strict=True, deterministic=True)
+    return feat.snap_doubles(log.drop("input_json", "ts_utc"))
