@@ -103,3 +103,38 @@ ORACLE.update({
                         f"{g.f32('p')} AS proba_default, {g.f32('0.5')} AS threshold, CAST(p >= 0.5 AS INTEGER) AS decision, "
                         f"{g.f32('0.0')} AS latency_ms FROM ({g.SCORED}) s"),
 })
+
+_D = f"WITH d AS ({g.EVY}), {g.RANKED}"
+_DR10_BASE = ("SELECT 'ref' AS side, json_extract_string(props, '$.k') AS k, value, event_type FROM "
+              "(SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16 00:00:00' "
+              "ORDER BY md5(CAST(event_id AS VARCHAR) || '|42') LIMIT 1000) s "
+              "UNION ALL SELECT 'prod', json_extract_string(props, '$.k'), NULL::DOUBLE, NULL::VARCHAR FROM "
+              "(SELECT * FROM events ORDER BY event_id DESC LIMIT 2000) p")
+ORACLE.update({
+    "src4_latest_log_payloads": ("SELECT event_id, k AS feature, json_extract_string(props, '$.\"' || k || '\"') AS value FROM "
+                                 "(SELECT event_id, props, unnest(json_keys(props)) AS k FROM "
+                                 "(SELECT event_id, props FROM events ORDER BY event_id DESC LIMIT 2000) t) u"),
+    "dr10_log_vs_reference": g.drift_sql(_DR10_BASE, [("k", "str", "k"), ("value", "num", "value"),
+                                                      ("event_type", "str", "event_type")]),
+    "smp1_sample_n": f"WITH d AS ({g.EVY}) SELECT * FROM d ORDER BY md5(CAST(event_id AS VARCHAR) || '|42') LIMIT 1000",
+    "smp2_stratified_split": (_D + ", " + g.quota_sql("ceil(0.2 * sum(n_class) OVER ())")
+                              + " SELECT r.event_id, r.y, r.rk <= quota.quota AS is_test FROM r JOIN quota ON r.y = quota.y"),
+    "smp3_stratified_subset": (_D + ", " + g.quota_sql("least(3000, sum(n_class) OVER ())")
+                               + " SELECT r.event_id, r.y FROM r JOIN quota ON r.y = quota.y WHERE r.rk <= quota.quota"),
+    "smp4_stratified_folds": _D + " SELECT event_id, y, CAST((rk - 1) % 3 AS INTEGER) AS fold FROM r",
+    "smp5_under_sample": (_D + ", c AS (SELECT y, count(*) AS n_class FROM d GROUP BY y), "
+                          "c2 AS (SELECT y, n_class, min(n_class) OVER () AS mn, row_number() OVER (ORDER BY n_class, y) AS o FROM c), "
+                          "quota AS (SELECT y, CASE WHEN o = 1 THEN n_class ELSE floor(mn / 1.0) END AS quota FROM c2) "
+                          "SELECT r.event_id, r.y FROM r JOIN quota ON r.y = quota.y WHERE r.rk <= quota.quota"),
+    "ml5_class_weights": (f"WITH d AS ({g.EVY}), c AS (SELECT y, count(*) AS nc FROM d GROUP BY y), "
+                          f"w AS (SELECT y, sum(nc) OVER () / (count(*) OVER () * nc) AS weight FROM c) "
+                          f"SELECT d.event_id, d.y, {g.f32('w.weight')} AS weight FROM d JOIN w ON d.y = w.y"),
+    "ml3_prior_baseline": f"WITH d AS ({g.EVY}) SELECT event_id, y, {g.f32('(SELECT avg(y::DOUBLE) FROM d)')} AS proba_default FROM d",
+    "ml1_median_impute": (f"WITH pb AS ({g.PB}) SELECT l_orderkey, l_linenumber, "
+                          f"{g.f32('coalesce(l_discount, (SELECT quantile_cont(l_discount, 0.5) FROM pb))')} AS l_discount, "
+                          f"{g.f32('coalesce(l_tax, (SELECT quantile_cont(l_tax, 0.5) FROM pb))')} AS l_tax FROM pb"),
+    "ml2_standardize": (f"WITH pb AS ({g.PB}), s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, "
+                        "avg(l_extendedprice) AS me, stddev_pop(l_extendedprice) AS se FROM pb) "
+                        f"SELECT l_orderkey, l_linenumber, {g.f32('(l_quantity - mq) / coalesce(nullif(sq, 0), 1)')} AS l_quantity, "
+                        f"{g.f32('(l_extendedprice - me) / coalesce(nullif(se, 0), 1)')} AS l_extendedprice FROM pb, s"),
+})

@@ -356,3 +356,17 @@ _XS = (["o_totalprice", "o_custkey::DOUBLE", "CASE WHEN o_orderpriority = '1-URG
 MARGIN = "(" + "-0.7" + "".join(f" + ({x}) * {c!r}" for x, c in zip(_XS, COEFS)) + ")"
 PROBA = f"(1.0 / (1.0 + exp(-{MARGIN})))"
 SCORED = (f"SELECT o_orderkey AS row_index, {PROBA} AS p FROM orders WHERE ({REJECT}) IS NULL")
+
+
+# --- sampling -----------------------------------------------------------------------------------
+EVY = "SELECT event_id, CAST(event_type = 'error' AS INTEGER) AS y FROM events"
+RANKED = ("r AS (SELECT event_id, y, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(event_id AS VARCHAR) || '|42')) AS rk FROM d)")
+
+
+def quota_sql(total: str) -> str:
+    return ("c AS (SELECT y, count(*) AS n_class FROM d GROUP BY y), "
+            f"q0 AS (SELECT y, n_class, sum(n_class) OVER () AS n, {total} AS t FROM c), "
+            "q1 AS (SELECT *, t * n_class / n AS ex FROM q0), "
+            "q2 AS (SELECT *, floor(ex) AS base, ex - floor(ex) AS rem FROM q1), "
+            "q3 AS (SELECT *, t - sum(base) OVER () AS lft, row_number() OVER (ORDER BY rem DESC, y) AS pos FROM q2), "
+            "quota AS (SELECT y, base + CASE WHEN pos <= lft THEN 1 ELSE 0 END AS quota FROM q3)")

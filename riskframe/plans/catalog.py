@@ -225,3 +225,46 @@ def q_batch_score(spark, sf_dir):
     log, _ = SCR.predict_batch(SCR.compact_order_rows(t), SCR.order_spec(), SCR.order_model(), SCR.order_rule(),
                                strict=True, deterministic=True)
     return feat.snap_doubles(log.drop("input_json", "ts_utc"))
+
+
+# --- prediction log source, sampling, preprocessing ----------------------------------------
+from riskframe.operators import preprocess as PP  # noqa: E402
+from riskframe.operators import sampling as SMP  # noqa: E402
+from riskframe.sources import predlog as PL  # noqa: E402
+
+
+def _events_y(spark, sf):
+    from pyspark.sql import functions as F
+    return Tables(spark, sf).events.select("event_id", (F.col("event_type") == "error").cast("int").alias("y"))
+
+
+@register("src4_latest_log_payloads")
+def q_latest_payloads(spark, sf):
+    ev = Tables(spark, sf).events
+    top = PL.latest(ev, 2000, order_cols=("event_id",))
+    return PL.payload_long(PL.parse_payload(top, "props", keep=("event_id",)), "event_id")
+
+
+register("dr10_log_vs_reference")(lambda spark, sf: feat.snap_doubles(mon.log_vs_reference(Tables(spark, sf))))
+register("smp1_sample_n")(lambda spark, sf: SMP.sample_n(_events_y(spark, sf), "event_id", 1000))
+register("smp2_stratified_split")(lambda spark, sf: SMP.stratified_split(_events_y(spark, sf), "y", "event_id", 0.2)
+                                  .select("event_id", "y", "is_test"))
+register("smp3_stratified_subset")(lambda spark, sf: SMP.stratified_subset(_events_y(spark, sf), "y", "event_id", 3000))
+register("smp4_stratified_folds")(lambda spark, sf: SMP.stratified_folds(_events_y(spark, sf), "y", "event_id", 3))
+register("smp5_under_sample")(lambda spark, sf: SMP.under_sample(_events_y(spark, sf), "y", "event_id", 1.0))
+register("ml5_class_weights")(lambda spark, sf: feat.snap_doubles(PP.class_weights(_events_y(spark, sf), "y")))
+register("ml3_prior_baseline")(lambda spark, sf: feat.snap_doubles(PP.prior_baseline(_events_y(spark, sf), "y")))
+
+
+@register("ml1_median_impute")
+def q_median_impute(spark, sf):
+    pb = _pb(spark, sf).select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
+    imp = PP.MedianImputer.fit(pb, ["l_discount", "l_tax"])
+    return feat.snap_doubles(imp.transform(pb))
+
+
+@register("ml2_standardize")
+def q_standardize(spark, sf):
+    pb = _pb(spark, sf).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    st = PP.Standardizer.fit(pb, ["l_quantity", "l_extendedprice"], with_mean=True)
+    return feat.snap_doubles(st.transform(pb))

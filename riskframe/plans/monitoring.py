@@ -36,3 +36,16 @@ def drift_report_events(t: Tables, bins: int = 10, top_k: int = 30) -> DataFrame
 def drift_report_orders(t: Tables, bins: int = 10, top_k: int = 30) -> DataFrame:
     ref, prod = orders_sides(t)
     return D.compute_drift(ref, prod, bins, top_k)
+
+
+def log_vs_reference(t: Tables, ref_n: int = 1000, prod_limit: int = 2000, bins: int = 10, top_k: int = 30) -> DataFrame:
+    """DR10 on the driver tables: reference = hash sample (SMP1) of events
+    before the cut, production = payloads of the latest log rows (SRC4, the
+    events table read as a log: id = event_id, payload = props)."""
+    from riskframe.operators.sampling import sample_n
+    from riskframe.sources.predlog import load_prod_features
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    ref = sample_n(t.events.filter(F.col("ts") < cut), "event_id", ref_n).select(
+        F.get_json_object("props", "$.k").alias("k"), "value", "event_type")
+    prod = load_prod_features(t.events, prod_limit, order_cols=("event_id",), json_col="props")
+    return D.compute_drift(ref, prod, bins, top_k)
