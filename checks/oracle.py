@@ -138,3 +138,30 @@ ORACLE.update({
                         f"SELECT l_orderkey, l_linenumber, {g.f32('(l_quantity - mq) / coalesce(nullif(sq, 0), 1)')} AS l_quantity, "
                         f"{g.f32('(l_extendedprice - me) / coalesce(nullif(se, 0), 1)')} AS l_extendedprice FROM pb, s"),
 })
+
+_ORD_FEATS = ["O_TOTALPRICE", "O_CUSTKEY", "FLAG_URGENT"] + [f"O_ORDERPRIORITY_{p}" for p in g.PRIOS] + [
+    f"O_ORDERSTATUS_{s}" for s in g.STATS_]
+_IMP = ("WITH a AS (" + g.ALIGN_SQL + "), acc AS (SELECT *, CAST(\"O_TOTALPRICE\" > 250000 AS INTEGER) AS y FROM a "
+        "WHERE reject_reason IS NULL), imp AS (" + " UNION ALL ".join(
+            f"SELECT {g.lit(f)} AS feature, coalesce(round(abs(corr({g.qi(f)}::DOUBLE, y::DOUBLE)), 6), 0.0) AS importance FROM acc"
+            for f in _ORD_FEATS) + ") ")
+_CUM = (_IMP + ", c AS (SELECT feature, importance, sum(importance) OVER () AS tot, count(*) OVER () AS n FROM imp), "
+        "c2 AS (SELECT feature, importance, CASE WHEN tot > 0 THEN importance / tot ELSE 1.0 / n END AS importance_norm FROM c), "
+        "c3 AS (SELECT *, sum(importance_norm) OVER (ORDER BY importance DESC, feature ROWS UNBOUNDED PRECEDING) AS cum, "
+        "row_number() OVER (ORDER BY importance DESC, feature) AS rank FROM c2) ")
+_SEL = (_CUM + ", stop AS (SELECT min(rank) AS s FROM c3 WHERE cum >= 0.8) "
+        "SELECT c3.* FROM c3, stop WHERE stop.s IS NULL OR rank <= stop.s")
+ORACLE.update({
+    "src5_importances": _IMP + f"SELECT feature, {g.f32('importance')} AS importance FROM imp",
+    "win1_cumulative_importance": _CUM + (f"SELECT feature, {g.f32('importance')} AS importance, "
+                                          f"{g.f32('importance_norm')} AS importance_norm, {g.f32('cum')} AS cum, "
+                                          "CAST(rank AS INTEGER) AS rank FROM c3"),
+    "win2_select_by_cumulative": f"SELECT feature FROM ({_SEL}) x",
+    "ml13_ml14_requested_keys": (
+        "WITH s AS (SELECT DISTINCT CASE WHEN feature LIKE 'O_ORDERPRIORITY\\_%' ESCAPE '\\' THEN 'O_ORDERPRIORITY' "
+        "WHEN feature LIKE 'O_ORDERSTATUS\\_%' ESCAPE '\\' THEN 'O_ORDERSTATUS' ELSE feature END AS k FROM (" + _SEL + ") x), "
+        "r AS (SELECT string_agg(k, ',' ORDER BY k) AS requested_groups, count(*) AS n FROM s) "
+        f"SELECT requested_groups, CAST(n AS INTEGER) AS n_requested, CAST(13 AS INTEGER) AS n_allowed, "
+        f"{g.f32('n / 13.0')} AS ratio, {g.f32('CASE WHEN n / 13.0 > 0.5 THEN 0.0 WHEN n / 13.0 < 0.1 THEN 0.3 WHEN n / 13.0 < 0.2 THEN 0.4 ELSE 0.5 END')} "
+        "AS min_filled_rate_requested FROM r"),
+})

@@ -268,3 +268,61 @@ def q_standardize(spark, sf):
     pb = _pb(spark, sf).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     st = PP.Standardizer.fit(pb, ["l_quantity", "l_extendedprice"], with_mean=True)
     return feat.snap_doubles(st.transform(pb))
+
+
+# --- importance-based selection on the aligned orders --------------------------------------
+from riskframe.operators import importance as IMP  # noqa: E402
+from riskframe.operators import profile as _PR  # noqa: E402
+
+
+def _order_importances(spark, sf):
+    """importance = |corr(feature, y)| over accepted aligned orders, y = price > 250000,
+    reported with 6 decimals (identical indicators then tie exactly and are
+    ordered by name); an undefined correlation counts as 0 (SRC5 rule)."""
+    from pyspark.sql import functions as F
+    from riskframe.sources.tables import read_importances
+    a = SCR.aligned_orders(Tables(spark, sf)).filter("reject_reason is null")
+    a = a.withColumn("y", (F.col("O_TOTALPRICE") > 250000).cast("int"))
+    c = _PR.corr_with_label(a, "y", SCR.ORDER_FEATURES)
+    return read_importances(c.select("feature", F.round(F.abs("corr"), 6).cast("string").alias("importance")))
+
+
+register("src5_importances")(lambda spark, sf: feat.snap_doubles(_order_importances(spark, sf)))
+register("win1_cumulative_importance")(lambda spark, sf: feat.snap_doubles(
+    IMP.cumulative_importance(_order_importances(spark, sf))))
+register("win2_select_by_cumulative")(lambda spark, sf: IMP.select_by_cumulative(
+    _order_importances(spark, sf), 0.8).select("feature"))
+register("ml13_ml14_requested_keys")(lambda spark, sf: feat.snap_doubles(IMP.requested_keys(
+    _order_importances(spark, sf), SCR.order_spec(), 0.8)).selectExpr(
+    "array_join(requested_groups, ',') AS requested_groups", "n_requested", "n_allowed", "ratio",
+    "min_filled_rate_requested"))
+
+
+# --- training (rows-only checks: model fits are not SQL) ----------------------------------------
+from riskframe.plans import train as TR  # noqa: E402
+
+
+@register("ml9_cv_logistic_folds")
+def q_cv_logistic(spark, sf):
+    data, feats = TR.embedding_matrix(Tables(spark, sf))
+    res = TR.run_model_cv(TR.logistic_regression(0.1, 500), data, feats, "vec_id", 3)
+    return res["folds"]
+
+
+@register("ml6_ml11_forest_importances")
+def q_rf_importances(spark, sf):
+    data, feats = TR.embedding_matrix(Tables(spark, sf))
+    prep = TR.prepare(data, feats)
+    model = TR.random_forest(20, 5).fit(prep.apply(data))
+    return TR.importances(spark, model, feats)
+
+
+@register("ml7_ml8_gbt_train_valid")
+def q_gbt(spark, sf):
+    from riskframe.operators.sampling import stratified_split
+    data, feats = TR.embedding_matrix(Tables(spark, sf))
+    s = stratified_split(data, "y", "vec_id", 0.2)
+    res = TR.run_model(TR.gradient_boosting(n_estimators=10, max_depth=3, learning_rate=0.1), s.filter("not is_test"),
+                       s.filter("is_test"), feats)
+    return spark.createDataFrame([tuple(float(res[k]) for k in sorted(res) if k.endswith(("auc", "ap")))],
+                                 ", ".join(f"{k} double" for k in sorted(res) if k.endswith(("auc", "ap"))))

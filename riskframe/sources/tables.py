@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.functions.expr import clean_double, q
+from riskframe.functions.expr import clean_double, parse_numeric_text, q
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -96,8 +96,7 @@ def read_importances(df: DataFrame) -> DataFrame:
     missing = {"feature", "importance"} - set(df.columns)
     if missing:
         raise ValueError(f"importance table needs columns feature, importance; missing {sorted(missing)}")
-    imp = F.try_cast(F.col("importance").cast("string"), "double")
-    imp = F.coalesce(clean_double(imp), F.lit(0.0))
+    imp = F.coalesce(clean_double(parse_numeric_text(F.col("importance").cast("string"))), F.lit(0.0))
     return df.select(F.col("feature").cast("string").alias("feature"), imp.alias("importance"))
 
 
