@@ -165,3 +165,37 @@ ORACLE.update({
         f"{g.f32('n / 13.0')} AS ratio, {g.f32('CASE WHEN n / 13.0 > 0.5 THEN 0.0 WHEN n / 13.0 < 0.1 THEN 0.3 WHEN n / 13.0 < 0.2 THEN 0.4 ELSE 0.5 END')} "
         "AS min_filled_rate_requested FROM r"),
 })
+
+_SEG = g.CATS["c_mktsegment"]
+ORACLE.update({
+    "prj1_prj2_drop_project": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer",
+    "prj3_filter_not_equal": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F'",
+    "prj4_prj5_abs_units": (f"SELECT c_custkey, {g.f32('abs(c_acctbal)')} AS acctbal_abs, {g.f32('c_acctbal / 365.0')} AS acctbal_per_day, "
+                            f"{g.f32('c_acctbal / -365.0')} AS acctbal_per_day_neg FROM customer"),
+    "prj6_prj7_sentinel": ("SELECT c_custkey, (c_nationkey IS NOT DISTINCT FROM 24) AS NATION_ANOM, "
+                           "nullif(c_nationkey, 24) AS c_nationkey FROM customer"),
+    "prj8_ratio_features": ("SELECT l_orderkey, l_linenumber, "
+                            f"{g.f32('l_extendedprice / nullif(l_quantity, 0)')} AS UNIT_PRICE, "
+                            f"{g.f32('l_discount / nullif(l_tax, 0)')} AS DISCOUNT_TAX_PERC, "
+                            f"{g.f32('l_tax / nullif(l_discount, 0)')} AS TAX_DISCOUNT_PERC, "
+                            f"{g.f32('l_quantity / nullif(l_linenumber, 0)')} AS QTY_PER_LINE, "
+                            f"{g.f32('l_extendedprice / nullif(l_orderkey, 0)')} AS PRICE_PER_KEY FROM lineitem"),
+    "prj9_label_encode": ("SELECT l_orderkey, l_linenumber, CAST(CASE l_linestatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 END AS INTEGER) "
+                          "AS l_linestatus, l_returnflag, CASE WHEN l_shipdate < TIMESTAMP '1996-01-01 00:00:00' THEN 'train' "
+                          "ELSE 'test' END AS side FROM lineitem"),
+    "prj10_one_hot": ("SELECT c_custkey, c_nationkey, " + g.f32("c_acctbal") + " AS c_acctbal, " + ", ".join(
+        f"CAST(c_mktsegment IS NOT DISTINCT FROM {g.lit(v)} AS INTEGER) AS {g.qi('c_mktsegment_' + v)}" for v in _SEG)
+        + " FROM customer"),
+    "prj11_one_hot_with_nan": ("SELECT o_orderkey, " + ", ".join(
+        [f"CAST(o_orderstatus IS NOT DISTINCT FROM {g.lit(v)} AS INTEGER) AS {g.qi('o_orderstatus_' + v)}" for v in g.CATS["o_orderstatus"]]
+        + ["CAST(o_orderstatus IS NULL AS INTEGER) AS o_orderstatus_nan"]
+        + [f"CAST(o_orderpriority IS NOT DISTINCT FROM {g.lit(v)} AS INTEGER) AS {g.qi('o_orderpriority_' + v)}" for v in g.CATS["o_orderpriority"]]
+        + ["CAST(o_orderpriority IS NULL AS INTEGER) AS o_orderpriority_nan"]) + " FROM orders"),
+    "prj12_align_train_test": ("SELECT c_custkey, c_nationkey, " + g.f32("c_acctbal") + " AS c_acctbal, " + ", ".join(
+        f"CAST(c_mktsegment IS NOT DISTINCT FROM {g.lit(v)} AS INTEGER) AS {g.qi('c_mktsegment_' + v)}" for v in _SEG if v != "MACHINERY")
+        + " FROM customer WHERE c_mktsegment <> 'MACHINERY'"),
+    "prj13_column_difference": "SELECT 'left_only' AS side, 'c_mktsegment_MACHINERY' AS \"column\"",
+    "prj14_reindex_union": (f"SELECT o_orderkey, {g.f32('o_totalprice')} AS o_totalprice, NULL::VARCHAR AS o_orderstatus, 'ref' AS side "
+                            "FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01 00:00:00' UNION ALL "
+                            "SELECT o_orderkey, NULL::DOUBLE, o_orderstatus, 'prod' FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01 00:00:00'"),
+})

@@ -326,3 +326,109 @@ def q_gbt(spark, sf):
                        s.filter("is_test"), feats)
     return spark.createDataFrame([tuple(float(res[k]) for k in sorted(res) if k.endswith(("auc", "ap")))],
                                  ", ".join(f"{k} double" for k in sorted(res) if k.endswith(("auc", "ap"))))
+
+
+# --- projections, filters, encodings (PRJ1-PRJ14) ---------------------------------------------
+from riskframe.functions.expr import safe_div  # noqa: E402
+from riskframe.operators import encode as ENC  # noqa: E402
+
+
+def _cust_nt(spark, sf):
+    return Tables(spark, sf).customer.drop("c_name")
+
+
+@register("prj1_prj2_drop_project")
+def q_drop_project(spark, sf):
+    return _cust_nt(spark, sf).select(*ENC.numeric_columns(_cust_nt(spark, sf)), "c_mktsegment")
+
+
+@register("prj3_filter_not_equal")
+def q_not_equal(spark, sf):
+    from pyspark.sql import functions as F
+    o = Tables(spark, sf).orders
+    return o.filter(~F.col("o_orderstatus").eqNullSafe("F")).select("o_orderkey", "o_orderstatus")
+
+
+@register("prj4_prj5_abs_units")
+def q_abs_units(spark, sf):
+    from pyspark.sql import functions as F
+    c = Tables(spark, sf).customer
+    return feat.snap_doubles(c.select("c_custkey", F.abs("c_acctbal").alias("acctbal_abs"),
+                                      (F.col("c_acctbal") / 365.0).alias("acctbal_per_day"),
+                                      (F.col("c_acctbal") / -365.0).alias("acctbal_per_day_neg")))
+
+
+@register("prj6_prj7_sentinel")
+def q_sentinel(spark, sf):
+    from pyspark.sql import functions as F
+    c = Tables(spark, sf).customer
+    return c.select("c_custkey", F.col("c_nationkey").eqNullSafe(24).alias("NATION_ANOM"),
+                    F.expr("nullif(c_nationkey, 24)").alias("c_nationkey"))
+
+
+@register("prj8_ratio_features")
+def q_ratios(spark, sf):
+    from pyspark.sql import functions as F
+    li = Tables(spark, sf).lineitem
+    return feat.snap_doubles(li.select(
+        "l_orderkey", "l_linenumber",
+        safe_div(F.col("l_extendedprice"), F.col("l_quantity")).alias("UNIT_PRICE"),
+        safe_div(F.col("l_discount"), F.col("l_tax")).alias("DISCOUNT_TAX_PERC"),
+        safe_div(F.col("l_tax"), F.col("l_discount")).alias("TAX_DISCOUNT_PERC"),
+        safe_div(F.col("l_quantity"), F.col("l_linenumber")).alias("QTY_PER_LINE"),
+        safe_div(F.col("l_extendedprice"), F.col("l_orderkey")).alias("PRICE_PER_KEY")))
+
+
+@register("prj9_label_encode")
+def q_label_encode(spark, sf):
+    from pyspark.sql import functions as F
+    li = Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", "l_shipdate", "l_linestatus", "l_returnflag")
+    cut = F.lit("1996-01-01 00:00:00").cast("timestamp")
+    tr, te = li.filter(F.col("l_shipdate") < cut).drop("l_shipdate"), li.filter(F.col("l_shipdate") >= cut).drop("l_shipdate")
+    tr2, te2, _ = ENC.label_encode(tr, te)
+    return tr2.withColumn("side", F.lit("train")).unionByName(te2.withColumn("side", F.lit("test")))
+
+
+@register("prj10_one_hot")
+def q_one_hot(spark, sf):
+    df, _ = ENC.one_hot(_cust_nt(spark, sf), dummy_na=False)
+    return feat.snap_doubles(df)
+
+
+@register("prj11_one_hot_with_nan")
+def q_one_hot_nan(spark, sf):
+    o = Tables(spark, sf).orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    df, _ = ENC.one_hot(o, dummy_na=True)
+    return df
+
+
+def _train_test_dummies(spark, sf):
+    from pyspark.sql import functions as F
+    c = _cust_nt(spark, sf)
+    tr, _ = ENC.one_hot(c, dummy_na=False)
+    te, _ = ENC.one_hot(c.filter(F.col("c_mktsegment") != "MACHINERY"), dummy_na=False)
+    return tr, te
+
+
+@register("prj12_align_train_test")
+def q_align_tt(spark, sf):
+    tr, te = _train_test_dummies(spark, sf)
+    _, te2 = ENC.align_columns(tr, te)
+    return feat.snap_doubles(te2)
+
+
+@register("prj13_column_difference")
+def q_coldiff(spark, sf):
+    tr, te = _train_test_dummies(spark, sf)
+    return ENC.column_difference(spark, tr, te)
+
+
+@register("prj14_reindex_union")
+def q_reindex(spark, sf):
+    from pyspark.sql import functions as F
+    o = Tables(spark, sf).orders
+    cut = F.lit("2000-01-01 00:00:00").cast("timestamp")
+    ref = o.filter(F.col("o_orderdate") < cut).select("o_orderkey", "o_totalprice")
+    prod = o.filter(F.col("o_orderdate") >= cut).select("o_orderkey", "o_orderstatus")
+    r2, p2, _ = ENC.reindex_union(ref, prod)
+    return feat.snap_doubles(r2.withColumn("side", F.lit("ref")).unionByName(p2.withColumn("side", F.lit("prod"))))
