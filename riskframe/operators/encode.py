@@ -33,31 +33,43 @@ def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
             if isinstance(f.dataType, num) and f.name not in set(exclude)]
 
 
-def vocabulary(df: DataFrame, cols: list[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list]:
-    """Sorted distinct non-null values per column, in one job.
-
-    ``collect_set`` is partially aggregated per task, so a hot value costs one
-    entry per task, not one per row.  The size guard runs on the executors'
-    result before anything else is built from it.
+def vocabulary_and_nulls(df: DataFrame, cols: list[str], max_categories: int = MAX_CATEGORIES
+                         ) -> tuple[dict[str, list], dict[str, bool]]:
+    """Sorted distinct non-null values per column and whether it holds NULLs,
+    in one job.
+
+    The (column, value) pairs are made distinct by a shuffle (spread over
+    tasks, map-side combined), and at most ``max_categories * len(cols) + 1``
+    of them are fetched to the driver, so an id-like column makes the job
+    fail loudly instead of building a huge vocabulary or truncating it.
     """
     if not cols:
-        return {}
-    # cheap HLL pass first, so an id-like column fails before any set is built
-    approx = df.agg(*[F.approx_count_distinct(F.col(q(c))).alias(f"a{i}") for i, c in enumerate(cols)]).first()
-    for i, c in enumerate(cols):
-        if approx[f"a{i}"] > 1.1 * max_categories:
-            raise ValueError(f"column {c!r} has about {approx[f'a{i}']} distinct values "
-                             f"(> {max_categories}); not a categorical column")
-    aggs = [F.array_sort(F.collect_set(F.col(q(c)))).alias(f"v{i}") for i, c in enumerate(cols)]
-    row = df.agg(*aggs).first()
-    vocab = {}
-    for i, c in enumerate(cols):
-        values = list(row[f"v{i}"] or [])
-        if len(values) > max_categories:
-            raise ValueError(f"column {c!r} has {len(values)} distinct values (> {max_categories}); "
+        return {}, {}
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(q(c)).cast("string").alias("v"))
+                                        for i, c in enumerate(cols)]))).distinct()
+    cap = max_categories * len(cols) + 1
+    rows = pairs.limit(cap).collect()
+    if len(rows) >= cap:
+        raise ValueError(f"more than {max_categories} distinct values in one of {cols}; not categorical columns")
+    vocab = {c: [] for c in cols}
+    nulls = {c: False for c in cols}
+    for r in rows:
+        c = cols[r["c"]]
+        if r["v"] is None:
+            nulls[c] = True
+        else:
+            vocab[c].append(r["v"])
+    for c in cols:
+        if len(vocab[c]) > max_categories:
+            raise ValueError(f"column {c!r} has {len(vocab[c])} distinct values (> {max_categories}); "
                              "not a categorical column")
-        vocab[c] = values
-    return vocab
+        vocab[c].sort()
+    return vocab, nulls
+
+
+def vocabulary(df: DataFrame, cols: list[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list]:
+    """Sorted distinct non-null values per column (see ``vocabulary_and_nulls``)."""
+    return vocabulary_and_nulls(df, cols, max_categories)[0]
 
 
 def has_nulls(df: DataFrame, cols: list[str]) -> dict[str, bool]:
@@ -107,15 +119,14 @@ def one_hot(df: DataFrame, cols: list[str] | None = None, dummy_na: bool = False
 
 
 def label_encode(train: DataFrame, test: DataFrame | None = None, max_distinct: int = 2,
-                 exclude=()) -> tuple[DataFrame, DataFrame | None, list[str]]:
+                 exclude=(), vocab_nulls: tuple[dict, dict] | None = None) -> tuple[DataFrame, DataFrame | None, list[str]]:
     """PRJ9: string columns with <= ``max_distinct`` values (NULL counted as a
     value) get the code = rank in sorted order; the same codes go on ``test``.
 
     A test value unseen in train raises, like the reference encoder.
     """
     cols = string_columns(train, exclude)
-    vocab = vocabulary(train, cols)
-    nulls = has_nulls(train, cols)
+    vocab, nulls = vocab_nulls if vocab_nulls is not None else vocabulary_and_nulls(train, cols)
     chosen = [c for c in cols if len(vocab[c]) + (1 if nulls[c] else 0) <= max_distinct]
 
     def apply(df: DataFrame) -> DataFrame:

@@ -53,25 +53,30 @@ def rollup_spec(df: DataFrame, key: str, prefix: str, exclude=(), vocab: dict |
     return RollupSpec(key=key, prefix=prefix, numeric=num, categories={c: vocab[c] for c in cats})
 
 
+def _sql_str(v) -> str:
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def rollup_aggregates(spec: RollupSpec) -> list:
+    """Aggregate expressions, written as SQL text (one JVM call each; a wide
+    rollup has hundreds of them)."""
     p = spec.prefix
     aggs = []
     for c in spec.numeric:
-        x = F.col(q(c)).cast("double")
+        x = f"CAST({q(c)} AS DOUBLE)"
         aggs += [
-            F.min(x).alias(f"{p}{c}_MIN"),
-            F.max(x).alias(f"{p}{c}_MAX"),
-            F.avg(x).alias(f"{p}{c}_MEAN"),
+            f"min({x}) AS {q(p + c + '_MIN')}",
+            f"max({x}) AS {q(p + c + '_MAX')}",
+            f"avg({x}) AS {q(p + c + '_MEAN')}",
             # pandas: the sum of an all-missing group is 0
-            F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{p}{c}_SUM"),
-            F.var_samp(x).alias(f"{p}{c}_VAR"),
+            f"coalesce(sum({x}), 0D) AS {q(p + c + '_SUM')}",
+            f"var_samp({x}) AS {q(p + c + '_VAR')}",
         ]
     for c, values in spec.categories.items():
-        s = F.col(q(c))
         for v in values:
-            aggs.append(F.avg(s.eqNullSafe(F.lit(v)).cast("double")).alias(f"{p}{c}_{v}_MEAN"))
-        aggs.append(F.avg(s.isNull().cast("double")).alias(f"{p}{c}_nan_MEAN"))
-    return aggs
+            aggs.append(f"avg(CAST(({q(c)} <=> {_sql_str(v)}) AS DOUBLE)) AS {q(p + c + '_' + str(v) + '_MEAN')}")
+        aggs.append(f"avg(CAST(({q(c)} IS NULL) AS DOUBLE)) AS {q(p + c + '_nan_MEAN')}")
+    return [F.expr(a) for a in aggs]
 
 
 def agg_numeric_and_cat(df: DataFrame, key: str, prefix: str, exclude=(), vocab: dict | None = None,

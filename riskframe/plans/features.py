@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import q, safe_div
-from riskframe.operators.encode import label_encode, one_hot
+from riskframe.operators.encode import label_encode, one_hot, string_columns, vocabulary_and_nulls
 from riskframe.operators.rollup import (
     RollupSpec,
     agg_numeric_and_cat,
@@ -43,8 +43,11 @@ def parent_features(customer: DataFrame) -> tuple[DataFrame, list[str]]:
     """
     base = customer.drop("c_name").withColumn(
         "ACCTBAL_PER_NATION", safe_div(F.col("c_acctbal"), F.col("c_nationkey")))
-    base, _, encoded = label_encode(base, None, exclude=("c_custkey",))
-    base, dummies = one_hot(base, dummy_na=False)
+    cats = string_columns(base, ("c_custkey",))
+    vocab, nulls = vocabulary_and_nulls(base, cats)  # one job shared by both encoders
+    base, _, encoded = label_encode(base, None, exclude=("c_custkey",), vocab_nulls=(vocab, nulls))
+    rest = [c for c in cats if c not in encoded]
+    base, dummies = one_hot(base, rest, dummy_na=False, vocab=vocab)
     return base, dummies
 
 
@@ -87,12 +90,14 @@ def snap(c):
 
 def snap_doubles(df: DataFrame) -> DataFrame:
     """Round every double to float precision (for order-insensitive checks
-    where summation order differs between engines)."""
+    where summation order differs between engines).  Built as SQL text: one
+    call per column instead of one per operator."""
     from pyspark.sql import types as T
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(snap(F.col(q(f.name))).alias(f.name))
+            cols.append(f"CAST(CAST(CAST({q(f.name)} AS DOUBLE) * {SNAP_SCALE!r} AS FLOAT) AS DOUBLE) "
+                        f"/ {SNAP_SCALE!r} AS {q(f.name)}")
         else:
-            cols.append(F.col(q(f.name)))
-    return df.select(*cols)
+            cols.append(q(f.name))
+    return df.selectExpr(*cols)

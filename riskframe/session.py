@@ -30,6 +30,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("RISKFRAME_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # plans here are built from hundreds of column expressions; capturing
+        # the Python call site of each one costs more than the job itself
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
