@@ -31,9 +31,8 @@ def select_by_cumulative(imp: DataFrame, target: float = 0.80) -> DataFrame:
     """WIN2: features up to and including the first one whose cumulative share
     reaches ``target`` (all features when none does)."""
     c = cumulative_importance(imp)
-    first_hit = c.filter(F.col("cum") >= F.lit(float(target))).agg(F.min("rank").alias("_stop"))
-    return c.withColumn("_one", F.lit(1)).join(F.broadcast(first_hit.withColumn("_one", F.lit(1))), "_one") \
-        .filter(F.col("_stop").isNull() | (F.col("rank") <= F.col("_stop"))).drop("_one", "_stop")
+    stop = c.filter(F.col("cum") >= F.lit(float(target))).agg(F.min("rank")).scalar()
+    return c.withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col("rank") <= F.col("_stop"))).drop("_stop")
 
 
 def min_rate_from_ratio(ratio: F.Column) -> F.Column:

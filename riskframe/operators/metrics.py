@@ -33,9 +33,9 @@ def score_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     d = _yp(df, y, p)
     per_score = d.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(F.lit(1) - F.col("y")).alias("neg"))
     cum = ordered_cumsum(per_score, "p", ["pos", "neg"], descending=True, prefix="cum_")
-    totals = d.agg(F.sum("y").alias("n_pos"), F.sum(F.lit(1) - F.col("y")).alias("n_neg"))
-    # one-row table joined on a constant key (broadcast hash join, no cross join)
-    cum = cum.withColumn("_one", F.lit(1)).join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    # class totals as one scalar subquery (run once, no join)
+    totals = d.agg(F.struct(F.sum("y").alias("n_pos"), F.sum(F.lit(1) - F.col("y")).alias("n_neg"))).scalar()
+    cum = cum.withColumn("_t", totals).withColumn("n_pos", F.col("_t.n_pos")).withColumn("n_neg", F.col("_t.n_neg"))
     return cum.select(
         F.col("p").alias("threshold"), "pos", "neg",
         F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"), "n_pos", "n_neg",
@@ -96,7 +96,8 @@ def binary_metrics(df: DataFrame, threshold: float = 0.5, y: str = "y", p: str =
     pred_pos_rate (0 on zero division) and the confusion counts."""
     rates = _rates(confusion(df, threshold, y, p))
     a = auc_ap(df, y, p)
-    return rates.withColumn("_one", F.lit(1)).join(a.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    s = a.select(F.struct("auc", "ap")).scalar()
+    return rates.withColumn("_s", s).withColumn("auc", F.col("_s.auc")).withColumn("ap", F.col("_s.ap")).drop("_s")
 
 
 def metrics_dict(df: DataFrame, threshold: float = 0.5, prefix: str = "", y: str = "y", p: str = "p") -> dict:
@@ -173,9 +174,9 @@ def cost_curve(df: DataFrame, grid: list[float] | None = None, c_fp: float = 1.0
     w_suffix = Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # bounded: g+1 rows, one task by design
     suf = per_slot.select("slot", F.sum("pos").over(w_suffix).alias("tp_ge"), F.sum("neg").over(w_suffix).alias("fp_ge"))
-    totals = per_slot.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    res = grid_df.join(suf, grid_df.idx + 1 == suf.slot, "inner").withColumn("_one", F.lit(1)).join(
-        totals.withColumn("_one", F.lit(1)), "_one")
+    totals = per_slot.agg(F.struct(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))).scalar()
+    res = grid_df.join(suf, grid_df.idx + 1 == suf.slot, "inner").withColumn("_t", totals) \
+        .withColumn("n_pos", F.col("_t.n_pos")).withColumn("n_neg", F.col("_t.n_neg"))
     fp = F.col("fp_ge")
     fn = F.col("n_pos") - F.col("tp_ge")
     total = F.lit(float(c_fp)) * fp + F.lit(float(c_fn)) * fn

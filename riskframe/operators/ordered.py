@@ -34,15 +34,16 @@ def ordered_cumsum(df: DataFrame, order_col: str, sum_cols: list[str], group_col
     (group, order value)."""
     group_cols = list(group_cols)
     work = df
-    if not group_cols:
-        work = work.withColumn("_g", F.lit(0))
-        gcols = ["_g"]
-    else:
-        gcols = group_cols
+    gcols = group_cols
     key = F.col(q(order_col)).cast("double")
     work = work.withColumn("_k", -key if descending else key)
-    rng = work.groupBy(*[q(c) for c in gcols]).agg(F.min("_k").alias("_mn"), F.max("_k").alias("_mx"))
-    work = work.join(rng, on=gcols, how="inner")
+    if group_cols:
+        rng = work.groupBy(*[q(c) for c in gcols]).agg(F.min("_k").alias("_mn"), F.max("_k").alias("_mx"))
+        work = work.join(rng, on=gcols, how="inner")
+    else:
+        # one range for the whole table: a scalar subquery, not a join on a constant
+        rng = work.agg(F.struct(F.min("_k").alias("mn"), F.max("_k").alias("mx"))).scalar()
+        work = work.withColumn("_r", rng).withColumn("_mn", F.col("_r.mn")).withColumn("_mx", F.col("_r.mx")).drop("_r")
     width = F.col("_mx") - F.col("_mn")
     bucket = F.when(width > 0, F.least(F.lit(n_buckets - 1),
                                        F.floor((F.col("_k") - F.col("_mn")) / width * F.lit(n_buckets)).cast("int")))
@@ -53,6 +54,7 @@ def ordered_cumsum(df: DataFrame, order_col: str, sum_cols: list[str], group_col
     totals = totals.select(*[q(c) for c in gcols], "_b",
                            *[F.coalesce(F.sum(f"_t_{i}").over(w_off), F.lit(0)).alias(f"_o_{i}")
                              for i in range(len(sum_cols))])
+    # offsets: groups x B rows at most (a single task when there is no group)
     work = work.join(totals, on=gcols + ["_b"], how="inner")
     w_in = Window.partitionBy(*[q(c) for c in gcols], "_b").orderBy("_k").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)

@@ -91,6 +91,5 @@ def prior_baseline(df: DataFrame, label: str, strategy: str = "prior") -> DataFr
     stats = df.agg(F.avg(F.col(q(label)).cast("double")).alias("_p"))
     if strategy == "most_frequent":
         stats = stats.select((F.col("_p") > 0.5).cast("double").alias("_p"))
-    # one-row statistics joined on a constant key (broadcast, no cross join)
-    return (df.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")
-            .drop("_one").withColumnRenamed("_p", "proba_default"))
+    # the one statistic as a scalar subquery (run once, no join)
+    return df.withColumn("proba_default", stats.select("_p").scalar())

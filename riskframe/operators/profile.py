@@ -146,8 +146,8 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     (NumPy ``histogram`` rules, incl. its edge corrections)."""
     v = F.col(q(col)).cast("double")
     d = df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    rng = d.agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
-    d = d.withColumn("_one", F.lit(1)).join(F.broadcast(rng.withColumn("_one", F.lit(1))), "_one")
+    rng = d.agg(F.struct(F.min("v").alias("mn"), F.max("v").alias("mx"))).scalar()
+    d = d.withColumn("_r", rng).withColumn("mn", F.col("_r.mn")).withColumn("mx", F.col("_r.mx"))
     mn, mx = F.col("mn"), F.col("mx")
     step = (mx - mn) / F.lit(float(bins))
 
@@ -160,8 +160,8 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
                                   F.col("_i") + 1).otherwise(F.col("_i")))
     counts = d.groupBy("_i").agg(F.count(F.lit(1)).alias("count"))
     spark = df.sparkSession
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("_i")).withColumn("_one", F.lit(1)).join(
-        F.broadcast(rng.withColumn("_one", F.lit(1))), "_one")
+    grid = spark.range(bins).select(F.col("id").cast("int").alias("_i"), rng.alias("_r")) \
+        .withColumn("mn", F.col("_r.mn")).withColumn("mx", F.col("_r.mx"))
     out = grid.join(counts, "_i", "left")
     return out.select(F.col("_i").alias("bin"), edge(F.col("_i")).alias("lower"), edge(F.col("_i") + 1).alias("upper"),
                       F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
