@@ -199,3 +199,13 @@ ORACLE.update({
                             "FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01 00:00:00' UNION ALL "
                             "SELECT o_orderkey, NULL::DOUBLE, o_orderstatus, 'prod' FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01 00:00:00'"),
 })
+
+ORACLE.update({
+    "agg6_latency_summary": ("WITH e AS (SELECT event_type AS model_version, value AS latency_ms FROM events), "
+                             "r AS (SELECT model_version, latency_ms, row_number() OVER (PARTITION BY model_version ORDER BY latency_ms) AS rn, "
+                             "count(*) OVER (PARTITION BY model_version) AS n FROM e) "
+                             f"SELECT model_version, {g.f32('avg(latency_ms)')} AS mean, count(*) AS n, "
+                             f"{g.f32('max(CASE WHEN rn = floor(0.95 * (n - 1)) + 1 THEN latency_ms END)')} AS p95 FROM r GROUP BY model_version"),
+    "agg7_positive_rate": (f"SELECT 'orders-linear-v1' AS model_version, {g.f32('avg(CAST(p >= 0.5 AS INTEGER)::DOUBLE)')} AS pred_pos_rate, "
+                           f"count(*) AS n FROM ({g.SCORED}) s"),
+})

@@ -151,3 +151,24 @@ def _distributed_quantiles(long_df: DataFrame, group_cols: list[str], value_col:
     value = F.when(t >= 0.5, b - diff * (F.lit(1.0) - t)).otherwise(a + diff * t)
     out = res.select(*[q(c) for c in gcols], "q_index", "prob", value.alias("quantile"), "n")
     return out.drop("_g") if not group_cols else out
+
+
+def order_statistic(df: DataFrame, group_cols: list[str], value_col: str, rank_of_n) -> DataFrame:
+    """The value at 0-based ascending rank ``rank_of_n(n)`` per group (exact).
+
+    ``rank_of_n`` maps the group's count column to the wanted rank, e.g.
+    ``lambda n: F.floor(0.95 * (n - 1))`` for the reference's p95.  Built on
+    value counts + ``ordered_cumsum``: no per-group collect."""
+    counts = value_counts(df, list(group_cols), value_col)
+    cum = ordered_cumsum(counts, value_col, ["_n"], list(group_cols), prefix="cum", keep_bucket=True)
+    cum = cum.withColumn("_before", F.col("cum_n") - F.col("_n"))
+    sizes = counts.groupBy(*[q(c) for c in group_cols]).agg(F.sum("_n").alias("n"))
+    targets = sizes.withColumn("_rank", rank_of_n(F.col("n")).cast("long"))
+    bucket_ranges = cum.groupBy(*[q(c) for c in group_cols], "_b").agg(
+        F.min("_before").alias("_lo"), F.max("cum_n").alias("_hi"))
+    tb = targets.join(bucket_ranges, on=list(group_cols), how="inner").filter(
+        (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))).drop("_lo", "_hi")
+    hit = tb.join(cum.select(*[q(c) for c in group_cols], "_b", "_before", "cum_n", q(value_col)),
+                  on=list(group_cols) + ["_b"], how="inner").filter(
+        (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("cum_n")))
+    return hit.select(*[q(c) for c in group_cols], "n", "_rank", F.col(q(value_col)).alias("value"))

@@ -432,3 +432,27 @@ def q_reindex(spark, sf):
     prod = o.filter(F.col("o_orderdate") >= cut).select("o_orderkey", "o_orderstatus")
     r2, p2, _ = ENC.reindex_union(ref, prod)
     return feat.snap_doubles(r2.withColumn("side", F.lit("ref")).unionByName(p2.withColumn("side", F.lit("prod"))))
+
+
+# --- log statistics ---------------------------------------------------------------------------
+from riskframe.operators import logstats as LS  # noqa: E402
+
+
+@register("agg6_latency_summary")
+def q_latency(spark, sf):
+    """binding: latency = events.value, model version = event_type."""
+    ev = Tables(spark, sf).events.select(F_col("event_type").alias("model_version"), F_col("value").alias("latency_ms"))
+    return feat.snap_doubles(LS.latency_summary(ev))
+
+
+@register("agg7_positive_rate")
+def q_pos_rate(spark, sf):
+    t = Tables(spark, sf)
+    log, _ = SCR.predict_batch(SCR.compact_order_rows(t), SCR.order_spec(), SCR.order_model(), SCR.order_rule(),
+                               deterministic=True)
+    return feat.snap_doubles(LS.positive_rate(log))
+
+
+def F_col(name):
+    from pyspark.sql import functions as F
+    return F.col(name)
