@@ -209,3 +209,11 @@ ORACLE.update({
     "agg7_positive_rate": (f"SELECT 'orders-linear-v1' AS model_version, {g.f32('avg(CAST(p >= 0.5 AS INTEGER)::DOUBLE)')} AS pred_pos_rate, "
                            f"count(*) AS n FROM ({g.SCORED}) s"),
 })
+
+ORACLE.update({
+    "smp6_smote_neighbours": (
+        "WITH m AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label = 0), "
+        "d AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_distance(a.e, b.e) AS dist FROM m a JOIN m b ON a.vec_id <> b.vec_id), "
+        "r AS (SELECT vec_id, neighbour_id, row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour_id) AS pos FROM d) "
+        "SELECT vec_id, CAST(pos AS INTEGER) AS pos, neighbour_id FROM r WHERE pos <= 5"),
+})
