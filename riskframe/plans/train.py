@@ -28,6 +28,7 @@ from riskframe.functions.expr import q
 from riskframe.operators import metrics as M
 from riskframe.operators.preprocess import MedianImputer, Standardizer
 from riskframe.operators.sampling import stratified_folds, under_sample
+from riskframe.operators.smote import smote
 from riskframe.plans.tables import Tables
 from riskframe.session import cut_lineage
 
@@ -176,7 +177,8 @@ def run_model(estimator, train: DataFrame, valid: DataFrame, features: list[str]
 
 
 def run_model_cv(estimator, data: DataFrame, features: list[str], key: str = "vec_id", n_splits: int = 3,
-                 seed: int = 42, threshold: float = 0.5, use_under: bool = False, under_ratio: float = 1.0,
+                 seed: int = 42, threshold: float = 0.5, use_sampling: bool = False, smote_ratio: float = 1.0,
+                 use_under: bool = False, under_ratio: float = 1.0,
                  log: RunLog | None = None, name: str = "cv") -> dict:
     """ML9: stratified folds; preprocessing and resampling fitted inside each
     training fold only (never on validation rows); out-of-fold probabilities;
@@ -186,10 +188,17 @@ def run_model_cv(estimator, data: DataFrame, features: list[str], key: str = "ve
     for k in range(n_splits):
         tr = folded.filter(F.col("fold") != k)
         va = folded.filter(F.col("fold") == k)
-        if use_under:
-            tr = under_sample(tr, "y", key, under_ratio, seed)
-        prep = prepare(tr, features)
-        model = estimator.fit(prep.apply(tr))
+        prep = prepare(tr, features)          # fitted on the training fold, applied to both
+        fit_prep = prep
+        if use_sampling:
+            # impute -> scale -> SMOTE -> (under-sample) -> model, samplers on the training fold only
+            tr = prep.scaler.transform(prep.imputer.transform(tr))
+            tr = smote(tr, "y", key, features, smote_ratio, 5, seed).drop("synthetic")
+            tr = tr.withColumn(key, F.coalesce(F.col(key), F.monotonically_increasing_id() * -1 - 1))
+            if use_under:
+                tr = under_sample(tr, "y", key, under_ratio, seed)
+            fit_prep = Prepared(MedianImputer({}, []), Standardizer({}, {}, False), features)
+        model = estimator.fit(fit_prep.apply(tr))
         p = positive_proba(model, prep.apply(va)).select(key, "y", "p", F.lit(k).alias("fold"))
         p = cut_lineage(p)
         m = M.metrics_dict(p, threshold)
@@ -205,7 +214,8 @@ def run_model_cv(estimator, data: DataFrame, features: list[str], key: str = "ve
     if log:
         log.start(name)
         for pk, pv in (("n_splits", n_splits), ("random_state", seed), ("threshold", threshold),
-                       ("use_under", use_under), ("under_ratio", under_ratio if use_under else None)):
+                       ("use_sampling", use_sampling), ("smote_ratio", smote_ratio if use_sampling else None),
+                       ("use_under", use_under), ("under_ratio", under_ratio if (use_sampling and use_under) else None)):
             log.log("param", pk, pv)
         for f, a, ap, f1 in fold_rows:
             log.log("metric", "auc_fold", a, f)
