@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from riskframe.functions.expr import clean_double, parse_numeric_text, q
 from riskframe.operators.encode import reindex_union
-from riskframe.operators.ordered import exact_quantiles
+from riskframe.operators.ordered import MAX_DISTINCT_INLINE, exact_quantiles
 
 # Fixed values of the reference's drift rules.
 EPS = 1e-6
@@ -90,6 +90,7 @@ def feature_stats(long: DataFrame) -> DataFrame:
         F.count(on("prod", F.col("v_num"))).alias("prod_vals"),
         F.min(on("ref", F.col("v_num"))).alias("ref_min"),
         F.max(on("ref", F.col("v_num"))).alias("ref_max"),
+        F.approx_count_distinct(on("ref", F.col("v_num"))).alias("ref_distinct"),
     ).withColumn(
         # DR1: decided on the reference side
         "is_numeric",
@@ -103,7 +104,10 @@ def numeric_edges(long: DataFrame, stats: DataFrame, bins: int) -> DataFrame:
     feats = stats.filter(F.col("is_numeric") & (F.col("ref_min") < F.col("ref_max"))).select("feature", "ref_min", "ref_max")
     ref_vals = long.filter((F.col("side") == "ref") & F.col("v_num").isNotNull()).join(
         feats.select("feature"), "feature", "left_semi")
-    qs = exact_quantiles(ref_vals, ["feature"], "v_num", probs)
+    # quantile method from this pass's HLL counts (stats is one row per feature)
+    worst = stats.agg(F.max("ref_distinct")).first()[0] or 0
+    method = "percentile" if worst <= MAX_DISTINCT_INLINE else "distributed"
+    qs = exact_quantiles(ref_vals, ["feature"], "v_num", probs, method=method)
     edges = qs.groupBy("feature").agg(F.array_distinct(F.array_sort(F.collect_list("quantile"))).alias("_q"))
     edges = edges.join(feats, "feature")
     mn, mx = F.col("ref_min"), F.col("ref_max")
@@ -204,7 +208,7 @@ def drift_from_long(long: DataFrame, bins: int = 10, cat_top_k: int = 30, persis
     if persist:
         from pyspark import StorageLevel
         long = long.persist(StorageLevel.MEMORY_AND_DISK)
-    stats = feature_stats(long)
+    stats = feature_stats(long).persist()
     psi = numeric_psi(long, stats, bins).unionByName(categorical_psi(long, stats, cat_top_k))
     r_ref = F.try_divide(F.col("ref_n") - F.col("ref_nonnull"), F.col("ref_n").cast("double"))
     r_prod = F.try_divide(F.col("prod_n") - F.col("prod_nonnull"), F.col("prod_n").cast("double"))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from riskframe.functions.expr import q
 from riskframe.operators.encode import numeric_columns, string_columns
-from riskframe.operators.ordered import exact_quantiles
+from riskframe.operators.ordered import MAX_DISTINCT_INLINE, exact_quantiles
 
 
 def _unpivot_row(row_df: DataFrame, names: list[str], fields: dict[str, callable]) -> DataFrame:
@@ -86,7 +86,13 @@ def describe(df: DataFrame, cols: list[str] | None = None, quantile_method: str
                                         for c in cols])))
     base = long.groupBy("column").agg(
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.max("v").alias("max"))
+        F.min("v").alias("min"), F.max("v").alias("max"), F.approx_count_distinct("v").alias("_d"))
+    if quantile_method == "auto":
+        # the quantile method is chosen from the HLL counts of this same pass
+        # (one row per column is kept in memory, not the data)
+        base = base.persist()
+        worst = base.agg(F.max("_d")).first()[0] or 0
+        quantile_method = "percentile" if worst <= MAX_DISTINCT_INLINE else "distributed"
     qs = exact_quantiles(long, ["column"], "v", [0.25, 0.5, 0.75], method=quantile_method)
     qw = qs.groupBy("column").agg(*[F.max(F.when(F.col("q_index") == i, F.col("quantile"))).alias(n)
                                     for i, n in enumerate(("p25", "p50", "p75"))])
