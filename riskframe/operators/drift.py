@@ -168,9 +168,17 @@ def categorical_psi(long: DataFrame, stats: DataFrame, top_k: int) -> DataFrame:
     cat = stats.filter(~F.col("is_numeric")).select("feature", "ref_n", "prod_n")
     cl = long.join(cat.select("feature"), "feature", "left_semi")
     counts = cl.groupBy("feature", "side", "v_str").agg(F.count(F.lit(1)).alias("cnt"))
-    # TOP6: ref categories ranked by count, ties by value (MISSING, a NULL here, ranks last)
-    w = Window.partitionBy("feature").orderBy(F.desc("cnt"), F.asc_nulls_last("v_str"))
-    top = (counts.filter(F.col("side") == "ref").withColumn("_r", F.row_number().over(w))
+    # TOP6: ref categories ranked by count, ties by value (MISSING, a NULL here,
+    # ranks last).  Two stages so that no task sorts all values of a
+    # high-cardinality feature: the top k inside each of 256 hash buckets, then
+    # the top k of that union (exact: a global top-k value is in its bucket's top k).
+    order = (F.desc("cnt"), F.asc_nulls_last("v_str"))
+    ref_counts = counts.filter(F.col("side") == "ref").withColumn(
+        "_hb", F.pmod(F.hash(F.coalesce(F.col("v_str"), F.lit(""))), F.lit(256)))
+    w1 = Window.partitionBy("feature", "_hb").orderBy(*order)
+    local = ref_counts.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= top_k)
+    w = Window.partitionBy("feature").orderBy(*order)
+    top = (local.withColumn("_r", F.row_number().over(w))
            .filter(F.col("_r") <= top_k).select("feature", "v_str", F.lit(True).alias("_top")))
     mapped = counts.join(top, ["feature", "v_str"], "left").select(
         "feature", "side", "cnt",

@@ -97,3 +97,29 @@ def test_severity_bands(spark):
     df = spark.createDataFrame([(0.05,), (0.1,), (0.25,), (0.3,), (None,)], "psi double")
     got = [r[0] for r in df.select(D.severity(F.col("psi"))).collect()]
     assert got == ["low", "moderate", "high", "severe", None]
+
+
+def test_categorical_top_k_against_python(spark):
+    import random
+    rng = random.Random(7)
+    ref = [(f"c{rng.randint(0, 40)}" if rng.random() > 0.05 else None,) for _ in range(600)]
+    prod = [(f"c{rng.randint(0, 60)}" if rng.random() > 0.1 else None,) for _ in range(400)]
+    rep = report(spark, ref, prod, "B string", cat_top_k=5)
+
+    def mapped(rows, top):
+        out = {}
+        for (v,) in rows:
+            k = "MISSING" if v is None else (v if v in top else "OTHER")
+            out[k] = out.get(k, 0) + 1
+        return {k: c / len(rows) for k, c in out.items()}
+    counts = {}
+    for (v,) in ref:
+        counts[v] = counts.get(v, 0) + 1
+    ranked = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0] is None, kv[0] or ""))
+    top = {v for v, _ in ranked[:5]}
+    a, b = mapped(ref, top), mapped(prod, top)
+    exp = 0.0
+    for k in set(a) | set(b):
+        x, y = max(a.get(k, 0.0), 1e-6), max(b.get(k, 0.0), 1e-6)
+        exp += (x - y) * math.log(x / y)
+    assert math.isclose(rep["B"].psi, exp, rel_tol=1e-9)
