@@ -383,7 +383,7 @@ def q_ratios(spark, sf):
 def q_label_encode(spark, sf):
     from pyspark.sql import functions as F
     li = Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", "l_shipdate", "l_linestatus", "l_returnflag")
-    cut = F.lit("1996-01-01 00:00:00").cast("timestamp")
+    cut = F.lit("1996-01-01 00:00:00").cast("timestamp_ntz")
     tr, te = li.filter(F.col("l_shipdate") < cut).drop("l_shipdate"), li.filter(F.col("l_shipdate") >= cut).drop("l_shipdate")
     tr2, te2, _ = ENC.label_encode(tr, te)
     return tr2.withColumn("side", F.lit("train")).unionByName(te2.withColumn("side", F.lit("test")))
@@ -427,7 +427,7 @@ def q_coldiff(spark, sf):
 def q_reindex(spark, sf):
     from pyspark.sql import functions as F
     o = Tables(spark, sf).orders
-    cut = F.lit("2000-01-01 00:00:00").cast("timestamp")
+    cut = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
     ref = o.filter(F.col("o_orderdate") < cut).select("o_orderkey", "o_totalprice")
     prod = o.filter(F.col("o_orderdate") >= cut).select("o_orderkey", "o_orderstatus")
     r2, p2, _ = ENC.reindex_union(ref, prod)
