@@ -136,7 +136,7 @@ def q_report_view(spark, sf_dir):
 
 # --- profiling on lineitem with nulls made by nullif --------------------------------
 from riskframe.operators import profile as PR  # noqa: E402
-from riskframe.plans.tables import profile_base  # noqa: E402
+from riskframe.plans.tables import profile_base, spread  # noqa: E402
 
 PB_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
               "l_discount", "l_tax"]
@@ -159,7 +159,7 @@ register("prf3_dtype_counts")(lambda spark, sf: PR.dtype_counts(_pb(spark, sf)))
 register("prf4_null_counts")(lambda spark, sf: feat.snap_doubles(PR.null_counts(_pb(spark, sf))))
 register("prf5_value_counts")(lambda spark, sf: PR.value_counts(_pb(spark, sf), ["l_returnflag", "l_linestatus"]))
 register("prf6_class_distribution")(lambda spark, sf: feat.snap_doubles(PR.class_distribution(_pb(spark, sf), "l_returnflag")))
-register("prf7_describe")(lambda spark, sf: feat.snap_doubles(PR.describe(_pb(spark, sf), PB_NUMERIC)))
+register("prf7_describe")(lambda spark, sf: feat.snap_doubles(PR.describe(spread(_pb(spark, sf)), PB_NUMERIC)))
 register("prf8_missing_values_table")(lambda spark, sf: feat.snap_doubles(PR.missing_values_table(_pb(spark, sf))))
 register("prf9_distinct_counts")(lambda spark, sf: PR.distinct_counts(_pb(spark, sf)))
 register("prf10_null_ratio_top")(lambda spark, sf: feat.snap_doubles(PR.null_ratio_top(_pb(spark, sf), 5)))

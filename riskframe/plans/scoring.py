@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators.align import FeatureSpec, RequestedRule, align_rows, split_batch
 from riskframe.operators.score import LinearModel, decision
-from riskframe.plans.tables import Tables
+from riskframe.plans.tables import Tables, spread
 from riskframe.sources.predlog import json_safe_payload
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -37,7 +37,7 @@ def order_model() -> LinearModel:
 
 def compact_order_rows(t: Tables) -> DataFrame:
     """(row_index, features map<string,string>) built from every order."""
-    o = t.orders
+    o = spread(t.orders)
     price = F.col("o_totalprice").cast("string")
     price_txt = (F.when(F.col("o_totalprice") > 400000, F.lit(None).cast("string"))
                  .when(F.col("o_orderstatus") == "P", F.regexp_replace(price, r"\.", ","))
