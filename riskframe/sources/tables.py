@@ -88,6 +88,19 @@ def compact_rows_from_columns(df: DataFrame, key_cols: list[str], row_id: str |
     return out
 
 
+def compact_rows_from_json(df: DataFrame, json_col: str, id_col: str | None = None) -> DataFrame:
+    """JSON objects -> ``(row_index, features map<string,string>)``.
+
+    Values are parsed as VARIANT and rendered as text, so a JSON number keeps
+    its numeric form (``1.0`` -> ``"1"``) while a JSON string keeps its text
+    (``"1.0"``): a binary field then accepts the number 1.0 and rejects the
+    string "1.0", as the reference's parser does.  Malformed text or JSON that
+    is not an object gives a NULL map (rejected as ``invalid_input``)."""
+    m = F.from_json(F.col(q(json_col)), "map<string,variant>")
+    feats = F.transform_values(m, lambda k, v: F.variant_get(v, "$", "string"))
+    return df.select(*([F.col(q(id_col)).alias("row_index")] if id_col else []), feats.alias("features"))
+
+
 def read_importances(df: DataFrame) -> DataFrame:
     """SRC5: (feature, importance) with unparseable importance -> 0.
 

@@ -101,3 +101,18 @@ def test_fold_and_split_properties(spark):
                                                                  F.count("*").alias("n")).collect()
     for r in ranks:
         assert r.a == 1 and r.b == r.n
+
+
+def test_json_typed_numbers_for_binary_fields(spark):
+    from riskframe.sources.tables import compact_rows_from_json
+    spec = FeatureSpec.from_feature_names(FEATURES)
+    df = spark.createDataFrame([(1, '{"FLAG_OWN": 1.0}'), (2, '{"FLAG_OWN": "1.0"}'), (3, '{"FLAG_OWN": 2}'),
+                                (4, '{"AMT": "1,5", "FLAG_OWN": "oui"}'), (5, "[1, 2]"), (6, "not json")],
+                               "i long, j string")
+    rows = compact_rows_from_json(df, "j", "i")
+    out = {r.row_index: r for r in align_rows(rows, spec).collect()}
+    assert out[1]["FLAG_OWN"] == 1.0 and out[1]["reject_reason"] is None
+    assert out[2]["reject_reason"] == "invalid_binary"
+    assert out[3]["reject_reason"] == "invalid_binary"
+    assert out[4]["AMT"] == 1.5 and out[4]["FLAG_OWN"] == 1.0
+    assert out[5]["reject_reason"] == "invalid_input" and out[6]["reject_reason"] == "invalid_input"
