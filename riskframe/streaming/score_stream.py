@@ -17,15 +17,19 @@ from pyspark.sql.streaming import StreamingQuery
 from riskframe.operators.align import FeatureSpec, RequestedRule, align_rows
 from riskframe.operators.score import LinearModel
 from riskframe.plans.scoring import prediction_log_rows, score_aligned
+from riskframe.sources.tables import compact_rows_from_json
 
-COMPACT_SCHEMA = "row_index long, features map<string,string>"
+# the features object is kept as raw JSON text and parsed as VARIANT, so JSON
+# numbers and JSON strings stay distinguishable (see compact_rows_from_json)
+COMPACT_SCHEMA = "row_index long, features string"
 
 
 def compact_stream(spark: SparkSession, source_dir: str, fmt: str = "json", max_files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(COMPACT_SCHEMA).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    return reader.load(source_dir)
+    raw = reader.load(source_dir)
+    return compact_rows_from_json(raw, "features", "row_index")
 
 
 def start_scoring(spark: SparkSession, source_dir: str, log_dir: str, rejects_dir: str, checkpoint_dir: str,
