@@ -116,3 +116,16 @@ def test_json_typed_numbers_for_binary_fields(spark):
     assert out[3]["reject_reason"] == "invalid_binary"
     assert out[4]["AMT"] == 1.5 and out[4]["FLAG_OWN"] == 1.0
     assert out[5]["reject_reason"] == "invalid_input" and out[6]["reject_reason"] == "invalid_input"
+
+
+def test_fail_fast_reports_lowest_rejected_row(spark):
+    from riskframe.operators.align import BatchRejected, fail_fast, split_batch
+    spec = FeatureSpec.from_feature_names(FEATURES)
+    df = spark.createDataFrame([(0, {"AMT": "1"}), (7, {"AMT": "x"}), (3, {"NOPE": "1"})],
+                               "row_index long, features map<string,string>")
+    aligned = align_rows(df, spec)
+    ok, bad = split_batch(aligned)
+    assert ok.count() == 1 and bad.count() == 2
+    with pytest.raises(BatchRejected) as e:
+        fail_fast(aligned)
+    assert e.value.row_index == 3 and e.value.reason == "unknown_keys"
