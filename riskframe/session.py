@@ -8,6 +8,7 @@ tests, the bench and ad-hoc use on one machine.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -37,23 +38,30 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("FATAL")
+    spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local tests) a fresh scratch folder is made.
+    ``spark.checkpoint.dir`` is read from the session and used as is.  Only a
+    one-machine session (master ``local`` or ``local[...]``: tests, the bench)
+    may leave it unset; it then gets one scratch folder for its lifetime.  Any
+    other master without the setting is refused, because a driver-local folder
+    is not visible to executors.
     """
-    path = spark.conf.get(CHECKPOINT_CONF, None)
-    if not path:
-        path = spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="riskframe-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    context = spark.sparkContext
+    path = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF, None)
+    if path:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(path)
+        return path
+    if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError(f"{CHECKPOINT_CONF} is not set: name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="riskframe-ckpt-"))
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df):
