@@ -8,10 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, packing
+from riskframe.llm import bpe, fingerprints, packing, secret_scan, sharding, simhash
 from riskframe.llm.common import table
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint every document and its edited text."""
+    marks = fingerprints.fingerprint_neighbours(table(spark, sf_dir, "documents"))
+    return marks.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+                        "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Encode every document by the rank file, decode the ids, and give digests of both."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,9 +34,36 @@ def op5_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> Da
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents (3-word shingles) and their groups at 2 or fewer differing bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan every document for secrets."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin(secret_scan.base_kinds()))
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+                        F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.joined(F.col("spans")).alias("spans"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Put all documents into 16 shards of nearly equal bytes, equal texts together."""
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_fingerprints": op3_fingerprints,
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
+    "op6_simhash": op6_simhash,
+    "op9_secrets": op9_secrets,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE: dict[str, str] = {}
