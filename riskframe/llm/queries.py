@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, fingerprints, packing, secret_scan, sharding, simhash
+from riskframe.llm import bpe, fingerprints, packing, quality, secret_scan, sharding, simhash, warc
 from riskframe.llm.common import table
+from riskframe.session import cut_lineage, ensure_checkpoint_dir
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as WARC archives in the shared folder, read them back and assemble the captures."""
+    path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(cut_lineage(warc.read(spark, path, payloads=False)))
+    page_id = lambda fields: F.try_element_at(fields, F.lit("page-id")).try_cast("long")
+    return captures.select(
+        page_id(F.col("metadata.fields")).alias("page_id"),
+        F.coalesce("response.payload_bytes", "refers_to.payload_bytes").alias("payload_bytes"),
+        F.coalesce("response.payload_digest", "refers_to.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"), page_id(F.col("refers_to.fields")).alias("refers_to"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +55,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count the base's figures in every document and judge it by weak supervision over all documents' votes."""
+    counted = cut_lineage(quality.counts(table(spark, sf_dir, "documents"), ["doc_id"]))
+    model = quality.fit(counted)
+    return counted.select("row.doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words",
+                          quality.base_failed().alias("base_failed"), quality.kept(model).alias("kept"),
+                          *[v.alias(f"vote_{r.name}") for v, r in zip(quality.votes(), quality.VOTES)],
+                          model.log_odds().alias("log_odds"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan every document for secrets."""
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
@@ -58,10 +83,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op3_fingerprints": op3_fingerprints,
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
 }
