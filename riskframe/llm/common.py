@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that one step inside a task handles at once (a longer single text goes alone).
 CHUNK_CHARS = 2_000_000
@@ -21,9 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(docs: DataFrame, keys: Sequence[str], text: str) -> tuple[DataFrame, str]:
+    """The key columns and the text for a task, and the text's name there.
+
+    A text inside a key column (``row.text``) is not sent twice; columns that are not keys stay behind, so they cannot clash.
+    """
+    if text.split(".")[0] in keys:
+        return docs.select(*keys), text
+    return docs.select(*keys, F.col(text).cast("string").alias("__text")), "__text"
+
+
+def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or a field of a struct column."""
+    first, *rest = name.split(".")
+    column = batch.column(first)
+    for part in rest:
+        column = pc.struct_field(column, part)
+    return column
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of an Arrow batch with at most ``limit`` characters of text each; a null text reads as ''."""
-    texts = ["" if t is None else t for t in batch.column(column).to_pylist()]
+    texts = ["" if t is None else t for t in column_of(batch, column).to_pylist()]
     start, size = 0, 0
     for i, t in enumerate(texts):
         if i > start and size + len(t) > limit:

@@ -92,7 +92,8 @@ def counts(docs: DataFrame, keep: Sequence[str], text: str = "text") -> DataFram
     step = step.select("row", "of_text", "of_words", F.expr("""sort_array(transform(filter(windows, (w, k) ->
         (k > 0 and w.h = windows[k - 1].h) or (k + 1 < size(windows) and w.h = windows[k + 1].h)), w -> w.i))""").alias("starts"))
     covered = F.expr("aggregate(starts, struct(-5 as last, 0L as n), (a, s) -> struct(s as last, a.n + least(5, s - a.last) as n), a -> a.n)")
-    return step.select("row", F.struct("of_words.*", "of_text.*", covered.alias("n_repeat_words")).alias("q"))
+    # a generator: filters on the counts stay above it, instead of repeating their expressions below
+    return step.select("row", F.explode(F.array(F.struct("of_words.*", "of_text.*", covered.alias("n_repeat_words")))).alias("q"))
 
 
 def base_failed() -> Column:

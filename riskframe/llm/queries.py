@@ -6,14 +6,21 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, fingerprints, packing, quality, secret_scan, sharding, simhash, warc
+from riskframe.llm import bpe, fingerprints, html_text, langid, packing, quality, secret_scan, sharding, simhash, warc
 from riskframe.llm.common import table
 from riskframe.session import cut_lineage, ensure_checkpoint_dir
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    found = html_text.extract(pages, html_text.fit(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as WARC archives in the shared folder, read them back and assemble the captures."""
     path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -65,6 +72,19 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                           model.log_odds().alias("log_odds"))
 
 
+def held_out() -> Column:
+    """Documents that language identification never learns from: a fifth, by a checksum of the id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn languages from four fifths of the documents and predict that of all."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~F.coalesce(held_out(), F.lit(True)))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan every document for secrets."""
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
@@ -83,12 +103,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_warc": op2_warc,
     "op3_fingerprints": op3_fingerprints,
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
+    "op8_langid": op8_langid,
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
 }

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.common import chunks
+from riskframe.llm.common import carried, chunks, column_of
 
 
 @dataclass(frozen=True)
@@ -216,8 +216,8 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", key
     """``keys`` and ``spans`` (array of kind, start, end) of every row; with ``redact`` also ``redacted``, the text with
     every span (overlapping ones as one) replaced by ``[REDACTED]``, null where the text is null."""
     rules = tuple(rules)
-    slim = docs.select(*keys, F.col(text).cast("string").alias("__text"))
-    fields = [*slim.schema.fields[:-1], T.StructField("spans", T.ArrayType(SPAN))]
+    slim, column = carried(docs, keys, text)
+    fields = [*(slim.schema[k] for k in keys), T.StructField("spans", T.ArrayType(SPAN))]
     if redact:
         fields.append(T.StructField("redacted", T.StringType()))
     schema = T.StructType(fields)
@@ -229,12 +229,12 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", key
             _scanners[rules] = Scanner(rules)
         scanner = _scanners[rules]
         for batch in batches:
-            for part, texts in chunks(batch, "__text"):
+            for part, texts in chunks(batch, column):
                 found = scanner.scan(texts)
                 columns = [*(part.column(k) for k in names),
                            pa.array([[{"kind": rules[k].kind, "start": a, "end": b} for a, b, k in spans] for spans in found], span_type)]
                 if redact:
-                    empty = part.column("__text").is_null().to_pylist()
+                    empty = column_of(part, column).is_null().to_pylist()
                     columns.append(pa.array([None if e else covered(t, s) for e, t, s in zip(empty, texts, found)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
     return slim.mapInArrow(run, schema)

@@ -29,6 +29,8 @@ smallest non-null ``doc_id`` of the component (null if all are null).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskframe.llm.common import carried, column_of
 from riskframe.session import cut_lineage
 
 #: The tree of shards is fitted on about this many fingerprints.
@@ -64,15 +67,16 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(set_, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row; no shuffle."""
-    slim = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``keys`` and ``fp`` (the 64 bits as a signed long) of every row; no shuffle."""
+    slim, column = carried(docs, keys, text)
+    schema, names = T.StructType([*(slim.schema[k] for k in keys), T.StructField("fp", T.LongType())]), list(keys)
 
     def run(batches):
         for batch in batches:
-            marks = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("__text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks.view(np.int64))], names=["doc_id", "fp"])
-    return slim.mapInArrow(run, "doc_id long, fp long")
+            marks = np.array([fingerprint(t.as_py() or "", shingle) for t in column_of(batch, column)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(marks.view(np.int64))], names=[*names, "fp"])
+    return slim.mapInArrow(run, schema)
 
 
 def distances(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -234,13 +238,14 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` of every row."""
-    marks = cut_lineage(fingerprints(docs, shingle))
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, text: str = "text", keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``keys``, ``fp``, ``group`` (a fingerprint that names the component) and ``component_id`` of every row; ``doc_id`` is a key."""
+    marks = cut_lineage(fingerprints(docs, shingle, text, keys))
     points = cut_lineage(marks.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(links(points.select("fp"), radius, points.count()))
     named = found.join(points, F.col("node") == F.col("fp")).select("fp", "root", "first")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    grouped = named.join(least, "root").select("fp", "component_id")
-    every = points.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marks.join(every, "fp")
+    grouped = named.join(least, "root").select("fp", "root", "component_id")
+    every = points.join(grouped, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("group"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    return marks.join(every, "fp").select(*keys, "fp", "group", "component_id")
