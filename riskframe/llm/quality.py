@@ -53,6 +53,7 @@ class Vote:
 
 VOTES = (
     Vote("symbols", "n_symbols > 0.1 * n_words", "n_symbols < 0.02 * n_words"),
+    Vote("symbol_share", "n_symbols > 0.05 * word_chars", "n_symbols < 0.005 * word_chars"),
     Vote("lines", "n_dup_lines > 0.3 * n_lines", "n_dup_lines = 0 and n_lines > 1"),
     Vote("windows", "n_repeat_words > 0.15 * n_words", "n_repeat_words < 0.03 * n_words"),
     Vote("capitals", "n_upper > 0.3 * word_chars", "n_upper < 0.08 * word_chars"),
