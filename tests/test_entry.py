@@ -1,5 +1,7 @@
 """Driver contract: entry() and every registered query run on sf0.001."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -17,11 +19,12 @@ def test_entry_smoke(spark):
 def test_every_query_has_an_oracle_or_is_rows_only(spark):
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs)
-    rows_only = set(qs) - set(orc)
+    # the training-data queries, when present, have brute-force tests of their own
+    rows_only = {q for q in set(qs) - set(orc) if not re.match(r"op\d+_|pipeline$", q)}
     assert rows_only <= SLOW | {"prf3_dtype_counts", "smp6_smote_rows"}
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(q for q in set(E.queries()) - SLOW if q != "pipeline"))
 def test_query_runs(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     assert df.count() >= 0
