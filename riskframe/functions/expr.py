@@ -71,7 +71,7 @@ def lenient_number(c: Column) -> Column:
     A non-missing value that does not parse also gives NULL; callers pair this
     with ``lenient_number_invalid`` to reject such rows.
     """
-    s = F.regexp_replace(F.trim(c.cast("string")), ",", ".")
+    s = F.replace(F.trim(c.cast("string")), F.lit(","), F.lit("."))
     parsed = F.when(s.rlike(NUMERIC_TEXT_PATTERN), s.cast("double"))
     return F.when(is_missing_value(c), F.lit(None).cast("double")).otherwise(parsed)
 

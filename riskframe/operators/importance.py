@@ -7,8 +7,6 @@ table, by design.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +43,7 @@ def requested_keys(imp: DataFrame, spec: FeatureSpec, target: float = 0.80) -> D
     """ML13: selected features kept if in the model, dummies mapped to their
     group, distinct and sorted; plus the ML14 rate (SNK7 report shape)."""
     sel = select_by_cumulative(imp, target).filter(F.col("feature").isin(*spec.features))
-    dg = spec.dummy_group()
+    dg = spec.group_of()
     group_of = F.create_map(*[x for c, g in sorted(dg.items()) for x in (F.lit(c), F.lit(g))]) if dg else None
     key = F.coalesce(F.try_element_at(group_of, F.col("feature")), F.col("feature")) if dg else F.col("feature")
     keys = sel.select(key.alias("key")).distinct()
@@ -55,13 +53,3 @@ def requested_keys(imp: DataFrame, spec: FeatureSpec, target: float = 0.80) -> D
     return report.select("requested_groups", F.size("requested_groups").alias("n_requested"),
                          F.lit(n_allowed).alias("n_allowed"), ratio.alias("ratio"),
                          min_rate_from_ratio(ratio).alias("min_filled_rate_requested"))
-
-
-def min_rate_py(ratio: float) -> float:
-    if ratio > 0.5:
-        return 0.0
-    if ratio < 0.1:
-        return 0.3
-    if ratio < 0.2:
-        return 0.4
-    return 0.5 if not math.isnan(ratio) else 0.0

@@ -2,14 +2,15 @@
 
 Two model forms:
 * ``LinearModel``: coefficients held as plain numbers; the score is one
-  JVM expression (imputation, scaling and the dot product inlined), so
-  scoring stays inside whole-stage codegen with no vector assembly;
+  JVM expression over arrays (imputation, scaling and the dot product), of
+  the same depth for any number of features, with no vector assembly;
 * any fitted ``pyspark.ml`` model with a probability column (trees, GBT):
   ``model.transform`` and ``vector_to_array(probability)[1]``.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -35,20 +36,13 @@ class LinearModel:
     model_version: str = "linear-v1"
 
     def margin(self) -> Column:
-        terms = []
-        for f, w in zip(self.features, self.coefs):
-            x = F.col(q(f)).cast("double")
-            if f in self.impute:
-                x = F.coalesce(x, F.lit(float(self.impute[f])))
-            if f in self.center:
-                x = x - F.lit(float(self.center[f]))
-            if f in self.scale:
-                x = x / F.lit(float(self.scale[f]))
-            terms.append(x * F.lit(float(w)))
-        total = F.lit(float(self.intercept))
-        for t in terms:
-            total = total + t
-        return total
+        """intercept + sum of coefficient x scaled value, in model order; one higher-order function over literal arrays."""
+        terms = [{"w": float(w), "impute": self.impute.get(f), "center": float(self.center.get(f, 0.0)), "scale": float(self.scale.get(f, 1.0))}
+                 for f, w in zip(self.features, self.coefs)]
+        table = F.from_json(F.lit(json.dumps(terms)), "array<struct<w:double,impute:double,center:double,scale:double>>")
+        values = F.expr("array(" + ", ".join(f"cast({q(f)} as double)" for f in self.features) + ")")
+        parts = F.zip_with(values, table, lambda x, t: (F.coalesce(x, t["impute"]) - t["center"]) / t["scale"] * t["w"])
+        return F.aggregate(parts, F.lit(float(self.intercept)), lambda total, x: total + x)
 
     def probability(self) -> Column:
         return sigmoid(self.margin())

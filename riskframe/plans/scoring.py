@@ -23,7 +23,7 @@ ORDER_GROUPS = ("O_ORDERPRIORITY", "O_ORDERSTATUS")
 
 
 def order_spec() -> FeatureSpec:
-    return FeatureSpec.from_feature_names(ORDER_FEATURES, ORDER_GROUPS)
+    return FeatureSpec.of(ORDER_FEATURES, ORDER_GROUPS)
 
 
 def order_model() -> LinearModel:

@@ -9,6 +9,8 @@ decision, latency_ms, input_json.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,11 @@ LOG_COLUMNS = ["log_seq", "ts_utc", "request_id", "model_version", "proba_defaul
 
 def json_safe_payload(features: list[str]) -> F.Column:
     """SNK6: JSON object of the aligned features; NaN/+-Inf become null and
-    nulls are kept as explicit keys."""
-    return F.to_json(F.struct(*[clean_double(F.col(q(f))).alias(f) for f in features]),
-                     {"ignoreNullFields": "false"})
+    nulls are kept as explicit keys.  One map over an array of the values, so
+    the expression does not deepen with the number of features."""
+    values = F.expr("array(" + ", ".join(f"cast({q(f)} as double)" for f in features) + ")")
+    names = F.from_json(F.lit(json.dumps(features)), "array<string>")
+    return F.to_json(F.map_from_arrays(names, F.transform(values, clean_double)), {"ignoreNullFields": "false"})
 
 
 def append_predictions(log_rows: DataFrame, path: str) -> None:
@@ -57,11 +61,19 @@ def payload_long(parsed: DataFrame, id_col: str = "log_seq") -> DataFrame:
     return parsed.select(q(id_col), F.explode("payload").alias("feature", "value"))
 
 
+#: Most distinct payload keys that ``payload_wide`` turns into columns by itself.
+MAX_PAYLOAD_KEYS = 10_000
+
+
 def payload_wide(parsed: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Union of keys as columns (text).  The key list is found with one small
-    distinct job unless given (it is bounded by the number of features)."""
+    distinct job unless given; a log with more than ``MAX_PAYLOAD_KEYS`` keys
+    is refused by name (no table has that many columns), never cut."""
     if keys is None:
-        keys = sorted(r[0] for r in parsed.select(F.explode(F.map_keys("payload"))).distinct().collect())
+        found = parsed.select(F.explode(F.map_keys("payload"))).distinct().limit(MAX_PAYLOAD_KEYS + 1).collect()
+        if len(found) > MAX_PAYLOAD_KEYS:
+            raise ValueError(f"the payloads hold more than {MAX_PAYLOAD_KEYS} different keys: name the wanted ones")
+        keys = sorted(r[0] for r in found)
     return parsed.select(*[F.try_element_at(F.col("payload"), F.lit(k)).alias(k) for k in keys])
 
 

@@ -29,7 +29,7 @@ FEATURES = ["AMT", "FLAG_OWN", "NAME_EDUCATION_TYPE_Higher education", "NAME_EDU
 
 
 def align_one(spark, row: dict, strict=True, rule=None):
-    spec = FeatureSpec.from_feature_names(FEATURES)
+    spec = FeatureSpec.of(FEATURES)
     df = spark.createDataFrame([(0, {k: (None if v is None else str(v)) for k, v in row.items()})],
                                "row_index long, features map<string,string>")
     return align_rows(df, spec, strict=strict, rule=rule).first()
@@ -64,7 +64,7 @@ def test_group_expansion_and_normalisation(spark):
     r = align_one(spark, {"NAME_EDUCATION_TYPE": "name_education_type_secondary"})
     assert r["NAME_EDUCATION_TYPE_Secondary"] == 1.0
     # the one-dummy prefix is not a group
-    assert "ORGANIZATION_TYPE" not in FeatureSpec.from_feature_names(FEATURES).groups
+    assert "ORGANIZATION_TYPE" not in FeatureSpec.of(FEATURES).groups
 
 
 def test_unknown_category_and_keys(spark):
@@ -82,8 +82,8 @@ def test_fill_rule(spark):
     rule = RequestedRule(["AMT", "NAME_EDUCATION_TYPE"], 1.0)
     r = align_one(spark, {"AMT": "3"}, rule=rule)
     assert r["reject_reason"] == "insufficient_filled_requested" and r["filled_count"] == 1
-    assert RequestedRule.from_meta({"required_groups": ["A"], "min_filled_rate_groups": "x"}).min_rate == 0.0
-    assert RequestedRule.from_meta({"requested_groups": ["A"], "min_filled_rate_requested": 7}).min_rate == 1.0
+    assert RequestedRule.read({"required_groups": ["A"], "min_filled_rate_groups": "x"}).min_rate == 0.0
+    assert RequestedRule.read({"requested_groups": ["A"], "min_filled_rate_requested": 7}).min_rate == 1.0
 
 
 def test_fold_and_split_properties(spark):
@@ -105,7 +105,7 @@ def test_fold_and_split_properties(spark):
 
 def test_json_typed_numbers_for_binary_fields(spark):
     from riskframe.sources.tables import compact_rows_from_json
-    spec = FeatureSpec.from_feature_names(FEATURES)
+    spec = FeatureSpec.of(FEATURES)
     df = spark.createDataFrame([(1, '{"FLAG_OWN": 1.0}'), (2, '{"FLAG_OWN": "1.0"}'), (3, '{"FLAG_OWN": 2}'),
                                 (4, '{"AMT": "1,5", "FLAG_OWN": "oui"}'), (5, "[1, 2]"), (6, "not json")],
                                "i long, j string")
@@ -120,7 +120,7 @@ def test_json_typed_numbers_for_binary_fields(spark):
 
 def test_fail_fast_reports_lowest_rejected_row(spark):
     from riskframe.operators.align import BatchRejected, fail_fast, split_batch
-    spec = FeatureSpec.from_feature_names(FEATURES)
+    spec = FeatureSpec.of(FEATURES)
     df = spark.createDataFrame([(0, {"AMT": "1"}), (7, {"AMT": "x"}), (3, {"NOPE": "1"})],
                                "row_index long, features map<string,string>")
     aligned = align_rows(df, spec)
