@@ -69,7 +69,7 @@ ORACLE.update({
     "prf10_null_ratio_top": _PB + "SELECT \"column\", null_ratio FROM (" + " UNION ALL ".join(
         f"SELECT {g.lit(c)} AS column, {g.f32(f'count(*) FILTER (WHERE {g.qi(c)} IS NULL) * 100.0 / count(*) / 100.0')} AS null_ratio, "
         f"count(*) FILTER (WHERE {g.qi(c)} IS NULL) * 100.0 / count(*) / 100.0 AS raw FROM pb" for c in _ALL)
-        + ") x ORDER BY raw, \"column\" LIMIT 5",
+        + ") x ORDER BY raw DESC, \"column\" LIMIT 5",
     "prf11_all_null_columns": _PB + "SELECT \"column\" FROM (" + " UNION ALL ".join(
         f"SELECT {g.lit(c)} AS column, count({g.qi(c)}) AS n FROM pb" for c in _ALL) + ") x WHERE n = 0",
     "prf12_constant_columns": _PB + "SELECT \"column\" FROM (" + " UNION ALL ".join(
@@ -98,6 +98,8 @@ ORACLE.update({
                              f"{g.f32(g.NMISS + ' / 11.0')} AS missing_rate, 'O_ORDERPRIORITY,O_ORDERSTATUS' AS used_groups, "
                              f"CAST(3 - {g.NMISS} AS INTEGER) AS filled_count FROM orders"),
     "adp13_rejected_rows": f"SELECT o_orderkey AS row_index, {g.REJECT} AS reject_reason FROM orders WHERE ({g.REJECT}) IS NOT NULL",
+    "adp6_adp7_adp11_reject_details": g.REJECT_DETAIL_SQL,
+    "sc4_snk6_logged_payload": g.PAYLOAD_SQL,
     "sc2_sc3_linear_score": f"SELECT row_index, {g.f32('p')} AS proba_default, CAST(p >= 0.5 AS INTEGER) AS decision FROM ({g.SCORED}) s",
     "sc4_batch_score": (f"SELECT row_index AS log_seq, CAST(row_index AS VARCHAR) AS request_id, 'orders-linear-v1' AS model_version, "
                         f"{g.f32('p')} AS proba_default, {g.f32('0.5')} AS threshold, CAST(p >= 0.5 AS INTEGER) AS decision, "

@@ -350,6 +350,26 @@ NMISS = "CAST(CASE WHEN o_totalprice > 400000 THEN 1 ELSE 0 END AS INTEGER)"
 ALIGN_SQL = (f"SELECT {ALIGN_COLS}, CAST(11 AS INTEGER) AS n_features, {NMISS} AS n_missing, "
              f"{f32(NMISS + ' / 11.0')} AS missing_rate, CAST(3 - {NMISS} AS INTEGER) AS filled_count, "
              f"{REJECT} AS reject_reason FROM orders")
+# requests that are wrong in every way the checks know
+_IS = lambda s, p: f"(o_orderstatus = {lit(s)} AND o_orderpriority = {lit(p)})"
+_FEW = "o_totalprice > 400000"
+REJECT_DETAIL_SQL = f"""SELECT o_orderkey AS row_index,
+ CASE WHEN {_IS('P', '1-URGENT')} THEN 'invalid_input' WHEN {_IS('F', '5-LOW')} THEN 'unknown_keys'
+      WHEN {_IS('O', '4-NOT SPECIFIED')} THEN 'invalid_category' WHEN {_IS('O', '3-MEDIUM')} THEN 'invalid_number'
+      WHEN {_IS('F', '2-HIGH')} THEN 'invalid_binary' WHEN {_FEW} THEN 'insufficient_filled_requested' END AS reject_reason,
+ CASE WHEN {_IS('P', '1-URGENT')} THEN NULL WHEN {_IS('F', '5-LOW')} THEN '{{"keys":["A_KEY","EXTRA_KEY"],"more":0}}'
+      WHEN {_IS('O', '4-NOT SPECIFIED')} THEN '{{"group":"O_ORDERPRIORITY","value":"6-NEVER","examples":["1-urgent","2-high","3-medium","4-not specified","5-low"]}}'
+      WHEN {_IS('O', '3-MEDIUM')} THEN '{{"key":"O_TOTALPRICE","value":"n/a?"}}'
+      WHEN {_IS('F', '2-HIGH')} THEN '{{"key":"FLAG_URGENT","value":"maybe"}}'
+      WHEN {_FEW} THEN '{{"requested_count":3,"filled_count":2,"min_filled_rate":1.0,"min_filled_count":3,"missing_first_20":["O_TOTALPRICE"]}}' END AS reject_detail,
+ CAST(CASE WHEN {_IS('P', '1-URGENT')} THEN 0 ELSE 3 - CAST({_FEW} OR {_IS('O', '3-MEDIUM')} AS INTEGER) - CAST({_IS('O', '4-NOT SPECIFIED')} AS INTEGER) END AS INTEGER) AS filled_count,
+ CAST(CASE WHEN {_IS('P', '1-URGENT')} THEN 11 ELSE CAST({_FEW} OR {_IS('O', '3-MEDIUM')} AS INTEGER) + 5 * CAST({_IS('O', '4-NOT SPECIFIED')} AS INTEGER)
+      + CAST({_IS('F', '2-HIGH')} AS INTEGER) END AS INTEGER) AS n_missing FROM orders"""
+PAYLOAD_SQL = ("SELECT o_orderkey AS log_seq, TIMESTAMP '2024-01-01 00:00:00' AS ts_utc, '{\"O_TOTALPRICE\":' || CAST(o_totalprice AS VARCHAR) "
+               "|| ',\"O_CUSTKEY\":' || CAST(o_custkey::DOUBLE AS VARCHAR) || ',\"FLAG_URGENT\":' || CAST(" + _FLAG + " AS VARCHAR)"
+               + "".join(" || ',\"O_ORDERPRIORITY_" + p + "\":' || CAST(CAST(o_orderpriority = " + lit(p) + " AS DOUBLE) AS VARCHAR)" for p in PRIOS)
+               + "".join(" || ',\"O_ORDERSTATUS_" + s + "\":' || CAST(CAST(o_orderstatus = " + lit(s) + " AS DOUBLE) AS VARCHAR)" for s in STATS_)
+               + " || '}' AS input_json FROM orders WHERE (" + REJECT + ") IS NULL")
 COEFS = [2e-6, -1e-5, 0.4, 0.3, 0.2, 0.0, -0.1, -0.2, 0.1, 0.0, -0.1]
 _XS = (["o_totalprice", "o_custkey::DOUBLE", "CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END"]
        + [f"CAST(o_orderpriority = {lit(p)} AS DOUBLE)" for p in PRIOS] + [f"CAST(o_orderstatus = {lit(s)} AS DOUBLE)" for s in STATS_])

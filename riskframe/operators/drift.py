@@ -3,7 +3,8 @@
 Both sides are unpivoted to one long table ``(side, feature, v_str, v_num,
 raw_null)``; every statistic is then a grouped aggregate over that table, so
 the number of jobs does not grow with the number of features and the work is
-spread over (feature, value) keys.  Nothing is collected.
+spread over (feature, value) keys.  Only per-feature results are small enough to
+be broadcast; they are checkpointed, and no cache is left behind.
 
 Semantics kept from the reference (see README, "Drift"):
 * numeric vs categorical is decided on the reference side only: at least 95 %
@@ -29,7 +30,8 @@ from pyspark.sql import types as T
 
 from riskframe.functions.expr import clean_double, parse_numeric_text, q
 from riskframe.operators.encode import reindex_union
-from riskframe.operators.ordered import MAX_DISTINCT_INLINE, exact_quantiles
+from riskframe.operators.ordered import exact_quantiles
+from riskframe.session import cut_lineage
 
 # Fixed values of the reference's drift rules.
 EPS = 1e-6
@@ -90,7 +92,6 @@ def feature_stats(long: DataFrame) -> DataFrame:
         F.count(on("prod", F.col("v_num"))).alias("prod_vals"),
         F.min(on("ref", F.col("v_num"))).alias("ref_min"),
         F.max(on("ref", F.col("v_num"))).alias("ref_max"),
-        F.approx_count_distinct(on("ref", F.col("v_num"))).alias("ref_distinct"),
     ).withColumn(
         # DR1: decided on the reference side
         "is_numeric",
@@ -103,11 +104,8 @@ def numeric_edges(long: DataFrame, stats: DataFrame, bins: int) -> DataFrame:
     probs = [float(x) for x in np.linspace(0, 1, bins + 1)]
     feats = stats.filter(F.col("is_numeric") & (F.col("ref_min") < F.col("ref_max"))).select("feature", "ref_min", "ref_max")
     ref_vals = long.filter((F.col("side") == "ref") & F.col("v_num").isNotNull()).join(
-        feats.select("feature"), "feature", "left_semi")
-    # quantile method from this pass's HLL counts (stats is one row per feature)
-    worst = stats.agg(F.max("ref_distinct")).first()[0] or 0
-    method = "percentile" if worst <= MAX_DISTINCT_INLINE else "distributed"
-    qs = exact_quantiles(ref_vals, ["feature"], "v_num", probs, method=method)
+        F.broadcast(feats.select("feature")), "feature", "left_semi")  # one row per feature: bounded by the schema
+    qs = exact_quantiles(ref_vals, ["feature"], "v_num", probs)
     edges = qs.groupBy("feature").agg(F.array_distinct(F.array_sort(F.collect_list("quantile"))).alias("_q"))
     edges = edges.join(feats, "feature")
     mn, mx = F.col("ref_min"), F.col("ref_max")
@@ -129,8 +127,8 @@ def bin_index(inner: F.Column, v: F.Column, max_inner: int) -> F.Column:
 
 def numeric_psi(long: DataFrame, stats: DataFrame, bins: int) -> DataFrame:
     """DR3 + DR4: (feature, psi) for numeric features."""
-    edges = numeric_edges(long, stats, bins)
-    vals = long.filter(F.col("v_num").isNotNull()).join(edges, "feature")
+    edges = cut_lineage(numeric_edges(long, stats, bins))
+    vals = long.filter(F.col("v_num").isNotNull()).join(F.broadcast(edges), "feature")
     counts = vals.groupBy("feature", "side", bin_index(F.col("inner"), F.col("v_num"), bins - 1).alias("bin")).agg(
         F.count(F.lit(1)).alias("cnt"))
     grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).alias("bin"))
@@ -166,7 +164,7 @@ def numeric_psi(long: DataFrame, stats: DataFrame, bins: int) -> DataFrame:
 def categorical_psi(long: DataFrame, stats: DataFrame, top_k: int) -> DataFrame:
     """DR5: (feature, psi) for categorical features."""
     cat = stats.filter(~F.col("is_numeric")).select("feature", "ref_n", "prod_n")
-    cl = long.join(cat.select("feature"), "feature", "left_semi")
+    cl = long.join(F.broadcast(cat.select("feature")), "feature", "left_semi")
     counts = cl.groupBy("feature", "side", "v_str").agg(F.count(F.lit(1)).alias("cnt"))
     # TOP6: ref categories ranked by count, ties by value (MISSING, a NULL here,
     # ranks last).  Two stages so that no task sorts all values of a
@@ -209,14 +207,11 @@ def compute_drift(ref: DataFrame, prod: DataFrame, bins: int = 10, cat_top_k: in
     return drift_from_long(long, bins, cat_top_k)
 
 
-def drift_from_long(long: DataFrame, bins: int = 10, cat_top_k: int = 30, persist: bool = True) -> DataFrame:
-    """DR8 on an already unpivoted table.  The long table is read by several
-    aggregates; ``persist`` keeps it (memory, spilling to disk) so the sources
-    are scanned once.  Lost blocks are recomputed from the lineage."""
-    if persist:
-        from pyspark import StorageLevel
-        long = long.persist(StorageLevel.MEMORY_AND_DISK)
-    stats = feature_stats(long).persist()
+def drift_from_long(long: DataFrame, bins: int = 10, cat_top_k: int = 30) -> DataFrame:
+    """DR8 on an already unpivoted table.  The sources are scanned once per
+    kind of statistic (column-pruned); nothing of their size is cached.  The
+    per-feature statistics and edges are checkpointed."""
+    stats = cut_lineage(feature_stats(long))
     psi = numeric_psi(long, stats, bins).unionByName(categorical_psi(long, stats, cat_top_k))
     r_ref = F.try_divide(F.col("ref_n") - F.col("ref_nonnull"), F.col("ref_n").cast("double"))
     r_prod = F.try_divide(F.col("prod_n") - F.col("prod_nonnull"), F.col("prod_n").cast("double"))

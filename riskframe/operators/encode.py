@@ -2,7 +2,7 @@
 
 One-hot columns are data-driven, so the vocabulary of each string column is
 found first (one aggregate job for all columns together; only the distinct
-values travel to the driver, and their number is checked).  The dummies are
+values travel to the driver: each names a column of the result).  The dummies are
 then plain projections ``cast(c <=> v as int)``: no ``ml.OneHotEncoder``
 because named columns ``COL_value`` are needed.
 """
@@ -15,12 +15,6 @@ from pyspark.sql import types as T
 
 from riskframe.functions.expr import q
 
-# Guard on the number of distinct values of one categorical column.  A higher
-# count means the column is not a category (an id or free text): fail loudly
-# instead of building that many columns or truncating the vocabulary.
-MAX_CATEGORIES = 5000
-
-
 def string_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, T.StringType) and f.name not in set(exclude)]
@@ -33,52 +27,38 @@ def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
             if isinstance(f.dataType, num) and f.name not in set(exclude)]
 
 
-def vocabulary_and_nulls(df: DataFrame, cols: list[str], max_categories: int = MAX_CATEGORIES
+def vocabulary_and_nulls(df: DataFrame, cols: list[str], max_categories: int | None = None
                          ) -> tuple[dict[str, list], dict[str, bool]]:
     """Sorted distinct non-null values per column and whether it holds NULLs,
     in one job.
 
     The (column, value) pairs are made distinct by a shuffle (spread over
-    tasks, map-side combined), and at most ``max_categories * len(cols) + 1``
-    of them are fetched to the driver, so an id-like column makes the job
-    fail loudly instead of building a huge vocabulary or truncating it.
+    tasks, map-side combined).  Each of them becomes a column of the result,
+    so their number is bounded by what a table can hold; ``max_categories``
+    (none by default) refuses a column with more non-null values by name.
     """
     if not cols:
         return {}, {}
     pairs = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(q(c)).cast("string").alias("v"))
                                         for i, c in enumerate(cols)]))).distinct()
-    cap = max_categories * len(cols) + 1
-    rows = pairs.limit(cap).collect()
-    if len(rows) >= cap:
-        raise ValueError(f"more than {max_categories} distinct values in one of {cols}; not categorical columns")
-    vocab = {c: [] for c in cols}
-    nulls = {c: False for c in cols}
-    for r in rows:
-        c = cols[r["c"]]
+    if max_categories is not None:
+        for r in pairs.where("v is not null").groupBy("c").count().where(F.col("count") > max_categories).collect():
+            raise ValueError(f"column {cols[r['c']]!r} has {r['count']} distinct values (> {max_categories}); not a categorical column")
+    vocab: dict[str, list] = {c: [] for c in cols}
+    nulls = dict.fromkeys(cols, False)
+    for r in pairs.collect():
         if r["v"] is None:
-            nulls[c] = True
+            nulls[cols[r["c"]]] = True
         else:
-            vocab[c].append(r["v"])
-    for c in cols:
-        if len(vocab[c]) > max_categories:
-            raise ValueError(f"column {c!r} has {len(vocab[c])} distinct values (> {max_categories}); "
-                             "not a categorical column")
-        vocab[c].sort()
-    return vocab, nulls
+            vocab[cols[r["c"]]].append(r["v"])
+    return {c: sorted(values) for c, values in vocab.items()}, nulls
 
 
-def vocabulary(df: DataFrame, cols: list[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list]:
+def vocabulary(df: DataFrame, cols: list[str], max_categories: int | None = None) -> dict[str, list]:
     """Sorted distinct non-null values per column (see ``vocabulary_and_nulls``)."""
     return vocabulary_and_nulls(df, cols, max_categories)[0]
 
 
-def has_nulls(df: DataFrame, cols: list[str]) -> dict[str, bool]:
-    if not cols:
-        return {}
-    row = df.agg(*[F.max(F.col(q(c)).isNull().cast("int")).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    return {c: bool(row[f"n{i}"]) for i, c in enumerate(cols)}
-
-
 def dummy_name(col: str, value) -> str:
     return f"{col}_{value}"
 

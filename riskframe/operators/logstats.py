@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import q
-from riskframe.operators.ordered import order_statistic
+from riskframe.operators.ordered import null_safe_join, order_statistic
 
 P95 = 0.95
 
@@ -19,7 +19,7 @@ def latency_summary(log: DataFrame, group_cols=("model_version",), latency_col:
                                                F.count(F.col(q(latency_col))).alias("n"))
     p95 = order_statistic(log, g, latency_col, lambda n: F.floor(F.lit(P95) * (n - 1))).select(
         *[q(c) for c in g], F.col("value").cast("double").alias("p95"))
-    return mean.join(p95, on=g, how="left")
+    return null_safe_join(mean, p95, g, "left")
 
 
 def positive_rate(log: DataFrame, group_cols=("model_version",), decision_col: str = "decision") -> DataFrame:

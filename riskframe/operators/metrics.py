@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.expr import q
 from riskframe.operators.ordered import ordered_cumsum
+from riskframe.session import cut_lineage
 
 
 def predict_label(p: F.Column, threshold: float) -> F.Column:
@@ -23,18 +24,19 @@ def predict_label(p: F.Column, threshold: float) -> F.Column:
 
 
 def _yp(df: DataFrame, y: str, p: str) -> DataFrame:
-    return df.select(F.col(q(y)).cast("int").alias("y"), F.col(q(p)).cast("double").alias("p"))
+    """The rows with a label and a score: a row without either takes no part in any metric."""
+    return df.select(F.col(q(y)).cast("int").alias("y"), F.col(q(p)).cast("double").alias("p")).where("y is not null and p is not null")
 
 
 def score_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """WIN3 / EV4: one row per distinct score with cumulative counts in
     score-descending order: threshold, pos, neg, tp, fp (counts of rows with
     score >= threshold), n_pos, n_neg, precision, recall."""
-    d = _yp(df, y, p)
-    per_score = d.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(F.lit(1) - F.col("y")).alias("neg"))
+    # one per-score table serves the bounds, the totals and the curve
+    per_score = cut_lineage(_yp(df, y, p).groupBy("p").agg(F.sum("y").alias("pos"), F.sum(F.lit(1) - F.col("y")).alias("neg")))
     cum = ordered_cumsum(per_score, "p", ["pos", "neg"], descending=True, prefix="cum_")
     # class totals as one scalar subquery (run once, no join)
-    totals = d.agg(F.struct(F.sum("y").alias("n_pos"), F.sum(F.lit(1) - F.col("y")).alias("n_neg"))).scalar()
+    totals = per_score.agg(F.struct(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))).scalar()
     cum = cum.withColumn("_t", totals).withColumn("n_pos", F.col("_t.n_pos")).withColumn("n_neg", F.col("_t.n_neg"))
     return cum.select(
         F.col("p").alias("threshold"), "pos", "neg",
@@ -60,7 +62,7 @@ def auc_ap(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     c = score_curve(df, y, p)
     return c.agg(
         F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)),
-                     (F.first("n_pos") * F.first("n_neg")).cast("double")).alias("auc"),
+                     F.first("n_pos").cast("double") * F.first("n_neg").cast("double")).alias("auc"),
         F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.first("n_pos").cast("double")).alias("ap"),
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import q
-from riskframe.operators.ordered import exact_quantiles
+from riskframe.operators.ordered import exact_quantiles, null_safe_join
 
 
 @dataclass
@@ -26,10 +26,10 @@ class MedianImputer:
     dropped: list[str] = field(default_factory=list)
 
     @classmethod
-    def fit(cls, df: DataFrame, cols: list[str], method: str = "auto") -> "MedianImputer":
+    def fit(cls, df: DataFrame, cols: list[str]) -> "MedianImputer":
         long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(q(c)).cast("double").alias("v"))
                                             for c in cols])))
-        rows = exact_quantiles(long, ["column"], "v", [0.5], method=method).select("column", "quantile").collect()
+        rows = exact_quantiles(long, ["column"], "v", [0.5]).select("column", "quantile").collect()
         med = {r["column"]: r["quantile"] for r in rows}
         return cls({c: med[c] for c in cols if c in med}, [c for c in cols if c not in med])
 
@@ -78,11 +78,11 @@ class Standardizer:
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """ML5: 'balanced' weight n / (k * n_class) per row (k = number of classes)."""
+    """ML5: 'balanced' weight n / (k * n_class) per row (k = number of classes; a NULL label is a class)."""
     counts = df.groupBy(q(label)).agg(F.count(F.lit(1)).alias("_nc"))
     w = Window.partitionBy()
     counts = counts.withColumn("weight", F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc")))
-    return df.join(F.broadcast(counts.select(q(label), "weight")), label)
+    return null_safe_join(df, counts.select(q(label), "weight"), [label])
 
 
 def prior_baseline(df: DataFrame, label: str, strategy: str = "prior") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from riskframe.functions.expr import q
 from riskframe.operators.encode import numeric_columns, string_columns
-from riskframe.operators.ordered import MAX_DISTINCT_INLINE, exact_quantiles
+from riskframe.operators.ordered import exact_quantiles
 
 
 def _unpivot_row(row_df: DataFrame, names: list[str], fields: dict[str, callable]) -> DataFrame:
@@ -79,21 +79,18 @@ def class_distribution(df: DataFrame, col: str) -> DataFrame:
     return g.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
 
 
-def describe(df: DataFrame, cols: list[str] | None = None, quantile_method: str = "auto") -> DataFrame:
+def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """PRF7: count, mean, std (n-1), min, 25/50/75 %, max per numeric column."""
     cols = cols or numeric_columns(df)
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(q(c)).cast("double").alias("v"))
                                         for c in cols])))
-    base = long.groupBy("column").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.max("v").alias("max"), F.approx_count_distinct("v").alias("_d"))
-    if quantile_method == "auto":
-        # the quantile method is chosen from the HLL counts of this same pass
-        # (one row per column is kept in memory, not the data)
-        base = base.persist()
-        worst = base.agg(F.max("_d")).first()[0] or 0
-        quantile_method = "percentile" if worst <= MAX_DISTINCT_INLINE else "distributed"
-    qs = exact_quantiles(long, ["column"], "v", [0.25, 0.5, 0.75], method=quantile_method)
+    # the moments need no unpivoting: one wide aggregate
+    x = [F.col(q(c)).cast("double") for c in cols]
+    wide = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(x) for n, f in (
+        ("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
+    base = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{n}{i}").alias(n) for n in ("count", "mean", "std", "min", "max")])
+                                          for i, c in enumerate(cols)])))
+    qs = exact_quantiles(long, ["column"], "v", [0.25, 0.5, 0.75])
     qw = qs.groupBy("column").agg(*[F.max(F.when(F.col("q_index") == i, F.col("quantile"))).alias(n)
                                     for i, n in enumerate(("p25", "p50", "p75"))])
     return base.join(qw, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
@@ -117,9 +114,9 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None, exact: bool =
 
 
 def null_ratio_top(df: DataFrame, k: int = 20) -> DataFrame:
-    """PRF10: columns by ascending null ratio, first k (ties by name)."""
+    """PRF10: columns by descending null ratio, first k (ties by name)."""
     nc = null_counts(df)
-    return nc.select("column", (F.col("null_pct") / 100.0).alias("null_ratio")).orderBy("null_ratio", "column").limit(k)
+    return nc.select("column", (F.col("null_pct") / 100.0).alias("null_ratio")).orderBy(F.desc("null_ratio"), "column").limit(k)
 
 
 def all_null_columns(df: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ NumPy's generator is not a goal.
 Ranks inside a class never use a window over the whole class (one task per
 class): rows are spread over 4096 buckets by the first three hex digits of
 the hash; per-(class, bucket) counts give each bucket's offset and a window
-partitioned by (class, bucket) numbers the rows inside it.
+partitioned by (class, bucket) numbers the rows inside it.  A NULL label is a
+class of its own: no row is lost.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import q
+from riskframe.operators.ordered import null_safe_join
 
 HASH_BUCKET_HEX = 3  # 16**3 = 4096 buckets per class
 
@@ -39,7 +41,7 @@ def rank_within(df: DataFrame, group: str, key: str, seed: int = 42, out: str =
     counts = h.groupBy(q(group), "_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(q(group)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(q(group), "_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
-    j = h.join(offsets, [group, "_b"])
+    j = null_safe_join(h, offsets, [group, "_b"])
     w2 = Window.partitionBy(q(group), "_b").orderBy("_h")
     return j.withColumn(out, F.col("_off") + F.row_number().over(w2)).drop("_h", "_b", "_off")
 
@@ -68,7 +70,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2
     counts = class_counts(df, label)
     quota = _quota(counts, label, lambda n: F.ceil(F.lit(float(test_size)) * n))
     r = rank_within(df, label, key, seed)
-    return r.join(F.broadcast(quota.select(q(label), "quota")), label).withColumn(
+    return null_safe_join(r, quota.select(q(label), "quota"), [label]).withColumn(
         "is_test", F.col("rank") <= F.col("quota")).drop("quota")
 
 
@@ -77,7 +79,7 @@ def stratified_subset(df: DataFrame, label: str, key: str, size: int, seed: int
     counts = class_counts(df, label)
     quota = _quota(counts, label, lambda n: F.least(F.lit(int(size)).cast("long"), n))
     r = rank_within(df, label, key, seed)
-    return r.join(F.broadcast(quota.select(q(label), "quota")), label).filter(
+    return null_safe_join(r, quota.select(q(label), "quota"), [label]).filter(
         F.col("rank") <= F.col("quota")).drop("quota", "rank")
 
 
@@ -97,10 +99,6 @@ def under_sample(df: DataFrame, label: str, key: str, ratio: float = 1.0, seed:
     c = c.withColumn("quota", F.when(F.col("_is_min"), F.col("n_class")).otherwise(
         F.floor(F.col("_min") / F.lit(float(ratio))).cast("long")))
     r = rank_within(df, label, key, seed)
-    return r.join(F.broadcast(c.select(q(label), "quota")), label).filter(F.col("rank") <= F.col("quota")).drop(
+    return null_safe_join(r, c.select(q(label), "quota"), [label]).filter(F.col("rank") <= F.col("quota")).drop(
         "quota", "rank")
 
-
-def smote_target_count(n_major: int, n_minor: int, ratio: float) -> int:
-    """Synthetic rows SMOTE would add for ``sampling_strategy=ratio``."""
-    return max(0, int(math.floor(n_major * ratio)) - n_minor)

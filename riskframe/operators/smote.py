@@ -84,17 +84,17 @@ def _candidates(r: DataFrame, who: DataFrame, offsets_col: F.Column, features: l
     return j.select("_id", "_nid", "_nrank", _sqdist(features, "a", "b").alias("_d2"))
 
 
-def exact_knn(r: DataFrame, features: list[str], k: int = 5, max_rounds: int = 64) -> DataFrame:
+def exact_knn(r: DataFrame, features: list[str], k: int = 5) -> DataFrame:
     """(_id, _nid, _pos, _d2): the k nearest other points of every point (exact)."""
-    r = r.persist()
-    bounds = _block_bounds(r).persist()
+    r = cut_lineage(r)
+    bounds = cut_lineage(_block_bounds(r))
     n_blocks_row = bounds.agg(F.max("_blk")).first()[0]
     last_blk = int(n_blocks_row) if n_blocks_row is not None else 0
     who = r.select("_id", "_blk", "_s")
     best = _top_k(_candidates(r, who, F.array(F.lit(-1), F.lit(0), F.lit(1)), features), k)
     best = cut_lineage(best)
     width = 1
-    for _ in range(max_rounds):
+    while True:  # the window doubles, so it covers all blocks after log2(blocks) rounds
         # radius and the score gap to the nearest unexamined block on each side
         rad = best.groupBy("_id").agg(F.max("_d2").alias("_r2"), F.count(F.lit(1)).alias("_n"))
         st = who.join(rad, "_id", "left")
@@ -121,30 +121,31 @@ def exact_knn(r: DataFrame, features: list[str], k: int = 5, max_rounds: int = 6
                      .unionByName(extra), k)
         best = cut_lineage(keep.unionByName(upd))
         width *= 2
-    raise RuntimeError("nearest-neighbour search did not converge")
 
 
 def smote(data: DataFrame, label: str, id_col: str, features: list[str], ratio: float = 1.0, k: int = 5,
           seed: int = 42) -> DataFrame:
     """Original rows plus ``int(n_major * ratio - n_minor)`` synthetic minority
-    rows (label 1, id NULL, ``synthetic`` = true)."""
+    rows (label 1, id NULL, ``synthetic`` = true, numbered by ``synthetic_no``)."""
     counts = {r[label]: r["n"] for r in data.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     minority = min(counts, key=lambda c: (counts[c], c))
     n_min = counts[minority]
     n_maj = max(v for c, v in counts.items() if c != minority) if len(counts) > 1 else 0
     n_new = int(n_maj * ratio - n_min)
-    base = data.select(q(id_col), q(label), *[q(f) for f in features], F.lit(False).alias("synthetic"))
+    base = data.select(q(id_col), q(label), *[q(f) for f in features], F.lit(False).alias("synthetic"),
+                       F.lit(None).cast("long").alias("synthetic_no"))
     if n_new <= 0 or n_min < 2:
         return base
     kk = min(k, n_min - 1)
-    r = ranked_points(data.filter(F.col(q(label)) == minority), id_col, features, seed).persist()
+    r = ranked_points(data.filter(F.col(q(label)) == minority), id_col, features, seed)
+    r = cut_lineage(r)
     nn = exact_knn(r, features, kk)
     spark = data.sparkSession
     h = F.md5(F.concat(F.col("id").cast("string"), F.lit(f"|smote|{seed}")))
-    gen = spark.range(n_new).select(
+    gen = spark.range(n_new).select(F.col("id").alias("_no"),
         F.pmod(F.conv(F.substring(h, 1, 15), 16, 10).cast("long"), F.lit(n_min * kk)).alias("_pair"),
         (F.conv(F.substring(h, 16, 8), 16, 10).cast("double") / F.lit(float(16 ** 8))).alias("_gap"))
-    gen = gen.select((F.floor(F.col("_pair") / kk)).cast("long").alias("_rank"),
+    gen = gen.select("_no", (F.floor(F.col("_pair") / kk)).cast("long").alias("_rank"),
                      (F.col("_pair") % kk + 1).cast("int").alias("_pos"), "_gap")
     pts = r.select("_id", "_rank", *features)
     x = gen.join(pts, "_rank").join(nn.select("_id", "_pos", "_nid"), ["_id", "_pos"])
@@ -152,5 +153,5 @@ def smote(data: DataFrame, label: str, id_col: str, features: list[str], ratio:
     x = x.join(nb, "_nid")
     synth = x.select(F.lit(None).cast(data.schema[id_col].dataType).alias(id_col), F.lit(minority).alias(label),
                      *[(F.col(f) + F.col("_gap") * (F.col(f"_n_{f}") - F.col(f))).alias(f) for f in features],
-                     F.lit(True).alias("synthetic"))
+                     F.lit(True).alias("synthetic"), F.col("_no").alias("synthetic_no"))
     return base.unionByName(synth)

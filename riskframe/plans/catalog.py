@@ -136,7 +136,7 @@ def q_report_view(spark, sf_dir):
 
 # --- profiling on lineitem with nulls made by nullif --------------------------------
 from riskframe.operators import profile as PR  # noqa: E402
-from riskframe.plans.tables import profile_base, spread  # noqa: E402
+from riskframe.plans.tables import profile_base  # noqa: E402
 
 PB_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
               "l_discount", "l_tax"]
@@ -159,7 +159,7 @@ register("prf3_dtype_counts")(lambda spark, sf: PR.dtype_counts(_pb(spark, sf)))
 register("prf4_null_counts")(lambda spark, sf: feat.snap_doubles(PR.null_counts(_pb(spark, sf))))
 register("prf5_value_counts")(lambda spark, sf: PR.value_counts(_pb(spark, sf), ["l_returnflag", "l_linestatus"]))
 register("prf6_class_distribution")(lambda spark, sf: feat.snap_doubles(PR.class_distribution(_pb(spark, sf), "l_returnflag")))
-register("prf7_describe")(lambda spark, sf: feat.snap_doubles(PR.describe(spread(_pb(spark, sf)), PB_NUMERIC)))
+register("prf7_describe")(lambda spark, sf: feat.snap_doubles(PR.describe(_pb(spark, sf), PB_NUMERIC)))
 register("prf8_missing_values_table")(lambda spark, sf: feat.snap_doubles(PR.missing_values_table(_pb(spark, sf))))
 register("prf9_distinct_counts")(lambda spark, sf: PR.distinct_counts(_pb(spark, sf)))
 register("prf10_null_ratio_top")(lambda spark, sf: feat.snap_doubles(PR.null_ratio_top(_pb(spark, sf), 5)))
@@ -211,6 +211,20 @@ def q_rejected(spark, sf_dir):
     return a.filter("reject_reason is not null").select("row_index", "reject_reason")
 
 
+@register("adp6_adp7_adp11_reject_details")
+def q_reject_details(spark, sf_dir):
+    from riskframe.operators.align import align_rows
+    a = align_rows(SCR.faulty_order_rows(Tables(spark, sf_dir)), SCR.order_spec(), strict=True, rule=SCR.order_rule())
+    return a.select("row_index", "reject_reason", "reject_detail", "filled_count", "n_missing")
+
+
+@register("sc4_snk6_logged_payload")
+def q_logged_payload(spark, sf_dir):
+    log, _ = SCR.predict_batch(SCR.compact_order_rows(Tables(spark, sf_dir)), SCR.order_spec(), SCR.order_model(), SCR.order_rule(),
+                               strict=True, deterministic=True)
+    return log.select("log_seq", "ts_utc", "input_json")
+
+
 @register("sc2_sc3_linear_score")
 def q_linear_score(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -305,7 +319,7 @@ from riskframe.plans import train as TR  # noqa: E402
 @register("ml9_cv_logistic_folds")
 def q_cv_logistic(spark, sf):
     data, feats = TR.embedding_matrix(Tables(spark, sf))
-    res = TR.run_model_cv(TR.logistic_regression(0.1, 500), data, feats, "vec_id", 3)
+    res = TR.run_model_cv(TR.logistic_regression(0.1), data, feats, "vec_id", 3)
     return res["folds"]
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators.align import FeatureSpec, RequestedRule, align_rows, split_batch
 from riskframe.operators.score import LinearModel, decision
-from riskframe.plans.tables import Tables, spread
+from riskframe.plans.tables import Tables
 from riskframe.sources.predlog import json_safe_payload
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -37,7 +37,7 @@ def order_model() -> LinearModel:
 
 def compact_order_rows(t: Tables) -> DataFrame:
     """(row_index, features map<string,string>) built from every order."""
-    o = spread(t.orders)
+    o = t.orders
     price = F.col("o_totalprice").cast("string")
     price_txt = (F.when(F.col("o_totalprice") > 400000, F.lit(None).cast("string"))
                  .when(F.col("o_orderstatus") == "P", F.regexp_replace(price, r"\.", ","))
@@ -58,6 +58,22 @@ def compact_order_rows(t: Tables) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("row_index"), feats.alias("features"))
 
 
+def faulty_order_rows(t: Tables) -> DataFrame:
+    """Every order as a request, some of them wrong in each way that the checks know: an unreadable request (status P, urgent),
+    unknown keys, an unknown category, an unreadable number, an unreadable flag, too few filled keys."""
+    status, priority, price = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_totalprice")
+    of = lambda s, p: (status == s) & (priority == p)
+    features = F.create_map(
+        F.lit("O_TOTALPRICE"), F.when(of("O", "3-MEDIUM"), F.lit("n/a?")).when(price <= 400000, price.cast("string")),
+        F.lit("O_CUSTKEY"), F.col("o_custkey").cast("string"),
+        F.lit("FLAG_URGENT"), F.when(of("F", "2-HIGH"), F.lit("maybe")).when(priority == "1-URGENT", F.lit("oui")).otherwise(F.lit("non")),
+        F.lit("O_ORDERPRIORITY"), F.when(of("O", "4-NOT SPECIFIED"), F.lit("6-NEVER")).otherwise(priority),
+        F.lit("O_ORDERSTATUS"), status)
+    extra = F.map_concat(features, F.create_map(F.lit("EXTRA_KEY"), F.lit("1"), F.lit("A_KEY"), F.lit("2")))
+    return t.orders.select(F.col("o_orderkey").alias("row_index"),
+                           F.when(of("F", "5-LOW"), extra).when(~of("P", "1-URGENT"), features).alias("features"))
+
+
 def order_rule() -> RequestedRule:
     return RequestedRule(["O_TOTALPRICE", "O_ORDERPRIORITY", "O_ORDERSTATUS"], 1.0)
 

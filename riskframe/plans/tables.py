@@ -28,19 +28,6 @@ class Tables:
         return self._cache[name]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table read as fewer splits than the cluster has cores (a small
-    single-file table) one even round-robin split per core, so CPU-heavy
-    per-row work (parsing, validation, scoring, quantiles) runs in parallel.
-    A large input already has more splits than cores and is returned unchanged
-    (no extra shuffle).  Not used before plain aggregations, where map-side
-    partial aggregation on the few input splits is cheaper than the shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def scored_lineitem(t: Tables) -> DataFrame:
     """(y, p) table for the metric operators: y = returnflag 'R', p = price/110000."""
     li = t.lineitem

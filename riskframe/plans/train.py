@@ -12,21 +12,22 @@ Binding on the driver tables: ``embeddings`` (64 floats) with
 from __future__ import annotations
 
 import json
+import math
 import random
 import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import q
 from riskframe.operators import metrics as M
-from riskframe.operators.preprocess import MedianImputer, Standardizer
+from riskframe.operators.preprocess import MedianImputer, Standardizer, class_weights
 from riskframe.operators.sampling import stratified_folds, under_sample
 from riskframe.operators.smote import smote
 from riskframe.plans.tables import Tables
@@ -35,40 +36,70 @@ from riskframe.session import cut_lineage
 # ---------------------------------------------------------------- estimators
 
 
-def logistic_regression(C: float = 0.1, n_rows: int = 1, balanced: bool = False, max_iter: int = 1000):
+def logistic_regression(C: float = 0.1, balanced: bool = False, max_iter: int = 1000):
     """ML4: L2 logistic regression; sklearn's C on a summed loss is
-    regParam = 1 / (C * n) on Spark's averaged loss."""
-    lr = LogisticRegression(regParam=1.0 / (C * max(n_rows, 1)), elasticNetParam=0.0, maxIter=max_iter,
-                            standardization=False, featuresCol="features", labelCol="y")
-    if balanced:
-        lr.setWeightCol("weight")
-    return lr
+    regParam = 1 / (C * n) on Spark's averaged loss, so the estimator is made
+    from the number of rows it is fitted on."""
+    def for_rows(n_rows: int) -> LogisticRegression:
+        lr = LogisticRegression(regParam=1.0 / (C * max(n_rows, 1)), elasticNetParam=0.0, maxIter=max_iter,
+                                standardization=False, featuresCol="features", labelCol="y")
+        return lr.setWeightCol(WEIGHT) if balanced else lr
+    return for_rows
 
 
-def random_forest(n_estimators: int = 100, max_depth: int | None = None, min_samples_leaf: int = 1, seed: int = 42):
-    """ML6: unlimited depth maps to Spark's maximum (30)."""
-    return RandomForestClassifier(numTrees=n_estimators, maxDepth=min(max_depth or 30, 30),
-                                  minInstancesPerNode=min_samples_leaf, seed=seed,
-                                  featuresCol="features", labelCol="y")
+#: Spark's deepest tree.
+MAX_DEPTH = 30
+
+
+def random_forest(n_estimators: int = 100, max_depth: int | None = None, min_samples_leaf: int = 1, seed: int = 42,
+                  balanced: bool = False, min_samples_split: int = 2):
+    """ML6: without a depth limit trees grow to Spark's maximum; a deeper limit, or a split rule that Spark lacks, is refused by name."""
+    if max_depth is not None and max_depth > MAX_DEPTH:
+        raise ValueError(f"max_depth={max_depth}: Spark grows trees to depth {MAX_DEPTH} at most")
+    if min_samples_split > 2 * min_samples_leaf:
+        raise ValueError(f"min_samples_split={min_samples_split} has no Spark counterpart beyond 2 * min_samples_leaf")
+    forest = RandomForestClassifier(numTrees=n_estimators, maxDepth=max_depth or MAX_DEPTH,
+                                    minInstancesPerNode=min_samples_leaf, seed=seed,
+                                    featuresCol="features", labelCol="y")
+    return forest.setWeightCol(WEIGHT) if balanced else forest
 
 
 GBT_PARAM_MAP = {"n_estimators": "maxIter", "learning_rate": "stepSize", "subsample": "subsamplingRate",
-                 "max_depth": "maxDepth", "colsample_bytree": "featureSubsetStrategy", "random_state": "seed"}
-GBT_UNSUPPORTED = ("num_leaves", "reg_alpha", "reg_lambda")
+                 "max_depth": "maxDepth", "colsample_bytree": "featureSubsetStrategy", "random_state": "seed",
+                 "min_child_samples": "minInstancesPerNode"}
+#: Leaf penalties, which Spark's boosted trees do not have.
+GBT_UNSUPPORTED = ("reg_alpha", "reg_lambda")
+
 
+def gradient_boosting(unsupported: str = "raise", **params):
+    """ML7: one ``GBTClassifier`` for the reference's boosters.
 
-def gradient_boosting(**params):
-    """ML7: one ``GBTClassifier`` for the reference's boosters; parameters
-    without a Spark counterpart are rejected by name."""
-    bad = [k for k in params if k in GBT_UNSUPPORTED or k not in GBT_PARAM_MAP]
+    ``num_leaves`` becomes the depth of a full tree with that many leaves (with ``max_depth``, the smaller of both).
+    Parameters without a Spark counterpart are refused by name; ``unsupported="drop"`` leaves out the leaf penalties, so that
+    a search grid that holds them can run."""
+    bad = [k for k in params if k not in GBT_PARAM_MAP and k != "num_leaves" and not (unsupported == "drop" and k in GBT_UNSUPPORTED)]
     if bad:
         raise ValueError(f"no Spark GBT parameter for {bad}")
-    kw = {}
-    for k, v in params.items():
-        kw[GBT_PARAM_MAP[k]] = str(v) if k == "colsample_bytree" else v
+    kw = {GBT_PARAM_MAP[k]: str(v) if k == "colsample_bytree" else v for k, v in params.items() if k in GBT_PARAM_MAP}
+    if kw.get("maxDepth", 1) < 1:
+        del kw["maxDepth"]  # "no limit" in the reference's boosters
+    if "num_leaves" in params:
+        kw["maxDepth"] = min(kw.get("maxDepth", MAX_DEPTH), max(1, (int(params["num_leaves"]) - 1).bit_length()))
     return GBTClassifier(featuresCol="features", labelCol="y", **kw)
 
 
+WEIGHT = "weight"
+
+
+def fit_estimator(estimator, train: DataFrame):
+    """Fit on prepared training rows: an estimator that depends on their number gets it, one with a weight column gets class weights."""
+    if not isinstance(estimator, Estimator):
+        estimator = estimator(train.count())
+    if estimator.hasParam("weightCol") and estimator.isDefined("weightCol") and estimator.getOrDefault("weightCol") == WEIGHT:
+        train = class_weights(train, "y")
+    return estimator.fit(train)
+
+
 # ---------------------------------------------------------------- data
 
 
@@ -86,6 +117,18 @@ class Prepared:
     scaler: Standardizer
     features: list[str]
 
+    def stages(self) -> list:
+        """The same steps as savable pipeline stages: one projection, then the vector."""
+        kept = [c for c in self.features if c not in self.imputer.dropped]
+
+        def value(c: str) -> str:
+            x = f"CAST({q(c)} AS DOUBLE)"
+            x = f"coalesce({x}, {float(self.imputer.medians[c])!r}D)" if c in self.imputer.medians else x
+            x = f"({x} - {float(self.scaler.means[c] or 0.0)!r}D)" if self.scaler.with_mean and c in self.scaler.means else x
+            return f"{x} / {float(self.scaler.stds[c])!r}D" if c in self.scaler.stds else x
+        sql = "SELECT *, " + ", ".join(f"{value(c)} AS {q('_x_' + c)}" for c in kept) + " FROM __THIS__"
+        return [SQLTransformer(statement=sql), VectorAssembler(inputCols=["_x_" + c for c in kept], outputCol="features", handleInvalid="keep")]
+
     def apply(self, df: DataFrame) -> DataFrame:
         d = self.scaler.transform(self.imputer.transform(df))
         feats = [c for c in self.features if c not in self.imputer.dropped]
@@ -139,16 +182,22 @@ class RunLog:
             self.rows = []
 
 
-def resolve_run(runs: DataFrame, run_id: str | None = None, model_version: str | None = None,
-                run_name: str | None = None) -> DataFrame:
-    """EXP2: by id; else the run tagged with the highest model version; else
-    the latest run with the name.  Empty result raises."""
-    r = runs
+def resolve_run(runs: DataFrame, run_id: str | None = None, model_name: str | None = None, model_version: str | None = None,
+                run_name: str | None = None, experiment: str | None = None) -> DataFrame:
+    """EXP2: by id; else the run registered under the model name (tag ``model_name``) with the given version, or with the
+    highest one (tag ``model_version``, a number); else the latest run with the name.  ``experiment`` narrows all of them.
+    An empty result raises."""
+    r = runs.filter(F.col("experiment") == experiment) if experiment else runs
     if run_id:
         out = r.filter(F.col("run_id") == run_id)
-    elif model_version:
-        out = r.filter((F.col("kind") == "tag") & (F.col("key") == "model_version"))
-        out = out.orderBy(F.desc(F.col("value").cast("long")), F.desc("start_time")).limit(1)
+    elif model_name or model_version:
+        tags = r.filter(F.col("kind") == "tag").groupBy("run_id", "start_time").agg(
+            F.max(F.when(F.col("key") == "model_name", F.col("value"))).alias("name"),
+            F.max(F.when(F.col("key") == "model_version", F.col("value").try_cast("long"))).alias("version"))
+        out = tags.filter(F.col("version").isNotNull())
+        out = out.filter(F.col("name") == model_name) if model_name else out
+        out = out.filter(F.col("version") == int(model_version)) if model_version not in (None, "latest") else out
+        out = out.orderBy(F.desc("version"), F.desc("start_time")).limit(1)
     else:
         out = r.filter(F.col("run_name") == run_name).orderBy(F.desc("start_time")).limit(1)
     first = out.select("run_id").first()
@@ -164,7 +213,7 @@ def run_model(estimator, train: DataFrame, valid: DataFrame, features: list[str]
               log: RunLog | None = None, name: str = "run") -> dict:
     """ML8: fit on train (impute -> scale -> model), metrics on train and valid."""
     prep = prepare(train, features)
-    model = estimator.fit(prep.apply(train))
+    model = fit_estimator(estimator, prep.apply(train))
     res = {}
     for prefix, d in (("train", train), ("valid", valid)):
         scored = positive_proba(model, prep.apply(d)).select("y", "p")
@@ -176,6 +225,14 @@ def run_model(estimator, train: DataFrame, valid: DataFrame, features: list[str]
     return {"model": model, "prep": prep, **res}
 
 
+def resampled(rows: DataFrame, features: list[str], key: str, smote_ratio: float, under_ratio: float | None, seed: int) -> DataFrame:
+    """Training rows after SMOTE and, if asked, under-sampling.  A synthetic row's key follows from its number, so a recomputed row
+    keeps its key and its hash."""
+    out = smote(rows, "y", key, features, smote_ratio, 5, seed)
+    out = out.withColumn(key, F.coalesce(F.col(key), -F.col("synthetic_no") - 1)).drop("synthetic", "synthetic_no")
+    return out if under_ratio is None else under_sample(out, "y", key, under_ratio, seed)
+
+
 def run_model_cv(estimator, data: DataFrame, features: list[str], key: str = "vec_id", n_splits: int = 3,
                  seed: int = 42, threshold: float = 0.5, use_sampling: bool = False, smote_ratio: float = 1.0,
                  use_under: bool = False, under_ratio: float = 1.0,
@@ -193,12 +250,9 @@ def run_model_cv(estimator, data: DataFrame, features: list[str], key: str = "ve
         if use_sampling:
             # impute -> scale -> SMOTE -> (under-sample) -> model, samplers on the training fold only
             tr = prep.scaler.transform(prep.imputer.transform(tr))
-            tr = smote(tr, "y", key, features, smote_ratio, 5, seed).drop("synthetic")
-            tr = tr.withColumn(key, F.coalesce(F.col(key), F.monotonically_increasing_id() * -1 - 1))
-            if use_under:
-                tr = under_sample(tr, "y", key, under_ratio, seed)
+            tr = resampled(tr, features, key, smote_ratio, under_ratio if use_under else None, seed)
             fit_prep = Prepared(MedianImputer({}, []), Standardizer({}, {}, False), features)
-        model = estimator.fit(fit_prep.apply(tr))
+        model = fit_estimator(estimator, fit_prep.apply(tr))
         p = positive_proba(model, prep.apply(va)).select(key, "y", "p", F.lit(k).alias("fold"))
         p = cut_lineage(p)
         m = M.metrics_dict(p, threshold)
@@ -229,11 +283,24 @@ def run_model_cv(estimator, data: DataFrame, features: list[str], key: str = "ve
 # ---------------------------------------------------------------- search and selection
 
 
+def draw_parameters(grid: dict[str, list], n_iter: int, seed: int = 42) -> list[dict]:
+    """``n_iter`` different combinations of the grid's values."""
+    names = sorted(grid)
+    total = math.prod(len(grid[k]) for k in names)
+    draws = []
+    for number in random.Random(seed).sample(range(total), min(n_iter, total)):
+        draw = {}
+        for k in names:
+            number, i = divmod(number, len(grid[k]))
+            draw[k] = grid[k][i]
+        draws.append(draw)
+    return draws
+
+
 def random_search(make_estimator, grid: dict[str, list], data: DataFrame, features: list[str], n_iter: int = 10,
                   n_splits: int = 3, seed: int = 42, key: str = "vec_id") -> tuple[dict, list[dict]]:
-    """ML10: seeded draws from the grid, each scored by CV mean AP; best first."""
-    rng = random.Random(seed)
-    draws = [{k: rng.choice(v) for k, v in sorted(grid.items())} for _ in range(n_iter)]
+    """ML10: seeded draws from the grid without replacement (all of it, if it is smaller), each scored by CV mean AP; best first."""
+    draws = draw_parameters(grid, n_iter, seed)
     results = []
     for d in draws:
         r = run_model_cv(make_estimator(**d), data, features, key, n_splits, seed)
@@ -257,7 +324,7 @@ def eliminate_zero_importance(make_estimator, data: DataFrame, features: list[st
     feats = list(features)
     for _ in range(max_rounds):
         prep = prepare(data, feats)
-        model = make_estimator().fit(prep.apply(data))
+        model = fit_estimator(make_estimator(), prep.apply(data))
         imp = importances(spark, model, [c for c in feats if c not in prep.imputer.dropped])
         zero = [r["feature"] for r in imp.filter(F.col("importance") == 0.0).select("feature").collect()]
         dropped_per_round.append(zero)
@@ -267,14 +334,34 @@ def eliminate_zero_importance(make_estimator, data: DataFrame, features: list[st
     return feats, dropped_per_round
 
 
-def final_refit(estimator, data: DataFrame, features: list[str], path: str, metadata: dict) -> dict:
-    """ML15: refit on all rows (impute -> scale -> model) and persist the
-    model plus metadata (feature order, medians, scales, threshold)."""
+def top_importances(imp: DataFrame, k: int = 30) -> DataFrame:
+    """TOP4: the k most important features."""
+    return imp.orderBy(F.desc("importance"), "feature").limit(k)
+
+
+def zero_importances(imp: DataFrame) -> DataFrame:
+    """TOP4: the features that no tree used, by name."""
+    return imp.filter(F.col("importance") == 0.0).select("feature").orderBy("feature")
+
+
+def final_refit(estimator, data: DataFrame, features: list[str], path: str, metadata: dict, key: str = "vec_id",
+                smote_ratio: float | None = None, seed: int = 42) -> dict:
+    """ML15: refit on all rows (impute -> scale -> SMOTE if asked -> model); saves one fitted pipeline that takes raw rows,
+    and the metadata (feature order, medians, scales, threshold)."""
     prep = prepare(data, features)
-    model = estimator.fit(prep.apply(data))
-    model.write().overwrite().save(f"{path}/model")
+    rows, fitted_on = data, prep
+    if smote_ratio is not None:
+        rows = resampled(prep.scaler.transform(prep.imputer.transform(data)), features, key, smote_ratio, None, seed)
+        fitted_on = Prepared(MedianImputer({}, []), Standardizer({}, {}, False), features)
+    model = fit_estimator(estimator, fitted_on.apply(rows))
+    PipelineModel([*prep.stages(), model]).write().overwrite().save(f"{path}/model")
     meta = {**metadata, "feature_names": features, "medians": prep.imputer.medians,
             "means": prep.scaler.means, "stds": prep.scaler.stds}
     spark = data.sparkSession
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     return meta
+
+
+def load_and_score(path: str, rows: DataFrame) -> DataFrame:
+    """Probabilities ``p`` of raw rows by a pipeline that ``final_refit`` saved."""
+    return positive_proba(PipelineModel.load(f"{path}/model"), rows)

@@ -93,6 +93,9 @@ def test_run_log_and_champion(spark):
     assert best.filter("key = 'model_version'").first().value == "5"
     with pytest.raises(LookupError):
         TR.resolve_run(runs, run_id="nope")
+    with pytest.raises(LookupError):
+        TR.resolve_run(runs, model_version="latest", experiment="other")
+    assert TR.resolve_run(runs, model_version="3").filter("key = 'auc'").count() == 1
 
 
 def test_search_elimination_and_refit(spark):
@@ -104,9 +107,37 @@ def test_search_elimination_and_refit(spark):
     assert len(allr) == 2 and best["ap_mean_cv"] >= allr[-1]["ap_mean_cv"]
     kept, dropped = TR.eliminate_zero_importance(lambda: TR.random_forest(5, 2), data, feats, max_rounds=2)
     assert set(kept) | {f for d in dropped for f in d} == set(feats)
-    meta = TR.final_refit(TR.logistic_regression(0.1, 500), data, feats, f"{base}/model", {"threshold": 0.06})
+    meta = TR.final_refit(TR.logistic_regression(0.1, balanced=True), data, feats, f"{base}/model", {"threshold": 0.06}, smote_ratio=0.3)
     assert meta["feature_names"] == feats and len(meta["medians"]) == len(feats)
-    from pyspark.ml.classification import LogisticRegressionModel
-    assert LogisticRegressionModel.load(f"{base}/model/model").numFeatures == len(feats)
-    with pytest.raises(ValueError):
-        TR.gradient_boosting(num_leaves=31)
+    scored = TR.load_and_score(f"{base}/model", data.withColumn(feats[0], F.when(F.col("vec_id") != 3, F.col(feats[0])))).collect()
+    assert len(scored) == data.count() and all(0 <= r.p <= 1 for r in scored)
+
+
+def test_estimator_parameters():
+    grid = {"num_leaves": [15, 31], "min_child_samples": [10, 20], "reg_lambda": [0.0, 1.0], "reg_alpha": [0.0]}
+    draws = TR.draw_parameters(grid, 5)
+    assert len({tuple(sorted(d.items())) for d in draws}) == 5 and TR.draw_parameters(grid, 100) and len(TR.draw_parameters(grid, 100)) == 8
+    gbt = TR.gradient_boosting("drop", **draws[0])
+    assert gbt.getMaxDepth() in (4, 5) and gbt.getMinInstancesPerNode() == draws[0]["min_child_samples"]
+    with pytest.raises(ValueError, match="reg_lambda"):
+        TR.gradient_boosting(reg_lambda=1.0)
+    with pytest.raises(ValueError, match="max_depth"):
+        TR.random_forest(max_depth=31)
+    assert TR.random_forest(balanced=True).getWeightCol() == "weight" and TR.random_forest().getMaxDepth() == 30
+    assert TR.logistic_regression(0.5)(200).getRegParam() == pytest.approx(0.01)
+
+
+def test_resampling_in_folds_and_stable_keys(spark):
+    data, feats = TR.embedding_matrix(Tables(spark, SF_SMALL))
+    feats = feats[:4]
+    rows = TR.resampled(data.select("vec_id", "y", *feats), feats, "vec_id", 0.5, 0.8, 42)
+    a, b = (sorted(map(tuple, rows.collect())) for _ in range(2))
+    assert a == b and len({r[0] for r in a}) == len(a) and any(r[0] < 0 for r in a)
+    res = TR.run_model_cv(TR.logistic_regression(1.0), data, feats, "vec_id", 2, use_sampling=True, smote_ratio=0.5, use_under=True, under_ratio=0.8)
+    assert res["oof"].count() == data.count() and res["oof"].where("vec_id < 0").count() == 0
+
+
+def test_importance_lists(spark):
+    imp = spark.createDataFrame([("a", 0.5), ("b", 0.0), ("c", 0.5), ("d", 0.0)], "feature string, importance double")
+    assert [r.feature for r in TR.top_importances(imp, 2).collect()] == ["a", "c"]
+    assert [r.feature for r in TR.zero_importances(imp).collect()] == ["b", "d"]
