@@ -22,6 +22,8 @@ Ties in distance are broken by the neighbour's hash rank (deterministic).
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,24 +40,20 @@ def _score(features: list[str], seed: int) -> F.Column:
     rng = np.random.default_rng(seed)
     u = rng.normal(size=len(features))
     u = u / np.linalg.norm(u)
-    total = F.lit(0.0)
-    for f, w in zip(features, u):
-        total = total + F.col(q(f)).cast("double") * F.lit(float(w))
-    return total
+    values = F.expr("array(" + ", ".join(f"cast({q(f)} as double)" for f in features) + ")")
+    weights = F.from_json(F.lit(json.dumps([float(w) for w in u])), "array<double>")
+    return F.aggregate(F.zip_with(values, weights, lambda x, w: x * w), F.lit(0.0), lambda total, x: total + x)
 
 
 def _sqdist(features: list[str], a: str, b: str) -> F.Column:
-    total = F.lit(0.0)
-    for f in features:
-        d = F.col(f"{a}.{f}") - F.col(f"{b}.{f}")
-        total = total + d * d
-    return total
+    left, right = (F.expr("array(" + ", ".join(f"{side}.{q(f)}" for f in features) + ")") for side in (a, b))
+    return F.aggregate(F.zip_with(left, right, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x)
 
 
 def ranked_points(points: DataFrame, id_col: str, features: list[str], seed: int = 42) -> DataFrame:
     """(id, rank, blk, s, features...) with a global exact rank in (s, hash) order."""
     p = points.select(F.col(q(id_col)).alias("_id"), *[F.col(q(f)).cast("double").alias(f) for f in features])
-    p = p.withColumn("_s", _score(features, seed))
+    p = cut_lineage(p.withColumn("_s", _score(features, seed)))
     per_s = p.groupBy("_s").agg(F.count(F.lit(1)).alias("_c"))
     cum = ordered_cumsum(per_s, "_s", ["_c"], prefix="cum")
     local = rank_within(p, "_s", "_id", seed, out="_lr")

@@ -113,7 +113,7 @@ def test_search_elimination_and_refit(spark):
     assert len(scored) == data.count() and all(0 <= r.p <= 1 for r in scored)
 
 
-def test_estimator_parameters():
+def test_estimator_parameters(spark):
     grid = {"num_leaves": [15, 31], "min_child_samples": [10, 20], "reg_lambda": [0.0, 1.0], "reg_alpha": [0.0]}
     draws = TR.draw_parameters(grid, 5)
     assert len({tuple(sorted(d.items())) for d in draws}) == 5 and TR.draw_parameters(grid, 100) and len(TR.draw_parameters(grid, 100)) == 8
