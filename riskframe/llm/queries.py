@@ -115,4 +115,13 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+_GROUPS = ", ".join(f"('0x' || substr(x, {10 * g + 1}, 10))::BIGINT AS g{g}" for g in range(4))
+_BASE32 = " || ".join(f"substr('{warc.BASE32}', CAST((g{g} >> {35 - 5 * k}) & 31 AS INTEGER) + 1, 1)" for g in range(4) for k in range(8))
+
+ORACLE: dict[str, str] = {
+    "op2_warc": f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x FROM pages),
+        d AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS lead_id, {_GROUPS} FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = lead_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> lead_id THEN lead_id END AS refers_to FROM d""",
+}
