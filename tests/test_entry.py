@@ -29,3 +29,14 @@ def test_query_runs(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     assert df.count() >= 0
     assert len(df.columns) == len(set(df.columns))
+
+
+def test_entry_works_without_the_training_data_part(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+    root = Path(E.__file__).parent
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(n.startswith('op') for n in q); e.oracle_sql()"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "repo", check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)}, timeout=120)
