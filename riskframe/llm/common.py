@@ -23,6 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key with more rows than this, and than a thousandth of all rows, is split in joins.
+HOT_ROWS = 1_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, n: int, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``key``, unique in ``right``, with the frequent keys of ``left`` (``n`` rows) split over several tasks.
+
+    At most 1,000 keys can be frequent, so their broadcast is bounded; rows of such a key are dealt by a hash of the columns ``by``,
+    and its one row of ``right`` goes to every share.
+    """
+    least = max(HOT_ROWS, n // 1_000)
+    hot = F.broadcast(left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > least)
+                      .select(F.col(key), F.ceil(F.col("__n") / least).cast("int").alias("__shares")))
+    shares = F.coalesce("__shares", F.lit(1))
+    salted = left.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*by), shares).cast("int")).drop("__shares")
+    copies = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), shares - 1))).drop("__shares")
+    return salted.join(copies, [key, "__salt"], how).drop("__salt")
+
+
 def carried(docs: DataFrame, keys: Sequence[str], text: str) -> tuple[DataFrame, str]:
     """The key columns and the text for a task, and the text's name there.
 

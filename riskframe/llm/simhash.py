@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.common import carried, column_of
+from riskframe.llm.common import carried, column_of, spread_join
 from riskframe.session import cut_lineage
 
 #: The tree of shards is fitted on about this many fingerprints.
@@ -248,4 +248,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, text: st
     grouped = named.join(least, "root").select("fp", "root", "component_id")
     every = points.join(grouped, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("group"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
-    return marks.join(every, "fp").select(*keys, "fp", "group", "component_id")
+    return spread_join(marks, every, "fp", marks.count(), keys).select(*keys, "fp", "group", "component_id")
