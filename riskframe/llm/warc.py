@@ -40,6 +40,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskframe.llm.common import spread_join
+
 SEPARATOR = "\r\n\r\n"
 #: The alphabet of base 32, and the profile of revisits with an equal payload.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -233,4 +235,7 @@ def assemble(found: DataFrame) -> DataFrame:
               .select(F.col("capture_id").alias("__refers"),
                       F.struct(F.col("capture_id"), "response.payload_bytes", "response.payload_digest",
                                F.col("metadata.fields").alias("fields")).alias("refers_to")))
-    return whole.join(target, "__refers", "left").drop("__refers")
+    # a response names nothing: it takes its own id as the key, so that nulls do not meet in one task
+    keyed = whole.withColumn("__refers", F.coalesce("__refers", "capture_id"))
+    joined = spread_join(keyed, target, "__refers", found.count(), ["capture_id"], "left").drop("__refers")
+    return joined.withColumn("refers_to", F.when(F.col("response.type") == "revisit", F.col("refers_to")))
