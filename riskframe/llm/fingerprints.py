@@ -7,12 +7,19 @@ binary search over span lengths finds the longest common extension of two
 positions (``Prefixes.same``, ``Prefixes.extension``).
 
 The fingerprint of a text is a string of its length, the hash of the whole
-text, and the hashes of its prefixes and its suffixes at a ladder of lengths
-(four an octave: 1, 2, 3, 4, 5, 6, 8, ...).  Prefix equality is monotone in the
-length, so ``likeness`` finds by binary search the longest rung on which two
-fingerprints still agree, from the front and from the back; their sum over the
-longer text's length is the likeness: 1 for equal texts, about one half if only
-the second half differs, about 0 for unrelated texts.
+text, the hashes of its prefixes and its suffixes at a ladder of lengths
+(four an octave: 1, 2, 3, 4, 5, 6, 8, ...), and the lengths and hashes of all the
+spans into which the text falls at anchors.  An anchor is a position whose short
+window has a smaller hash than every window near it, so it depends on the characters
+around it and not on where they stand.
+
+Prefix equality is monotone in the length, so ``likeness`` finds by binary search the
+longest rung on which two fingerprints still agree, from the front and from the back.
+Spans that occur in both texts count with what the two rungs leave of them.  The sum
+over the longer text's length is the likeness: 1 for equal texts, about one half if only
+the second half differs, near 1 for a near copy wherever its edits are, about 0 for
+unrelated texts.  Texts under ``2 * REACH + WINDOW`` characters have no anchors: for them
+only the rungs count.
 
 Results
 -------
@@ -36,6 +43,10 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 998244353)
 #: Rungs an octave of the ladder of prefix lengths.
 RUNGS = 4
+#: Characters that an anchor's hash covers, and how many positions on either side it must be less than.
+WINDOW, REACH = 8, 28
+#: A text without an anchor for more than ``LONGEST`` characters is cut every ``STEP`` ones.
+LONGEST, STEP = 240, 57
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _inverses: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -108,26 +119,78 @@ def ladder(n: int) -> np.ndarray:
     return rungs[rungs <= n]
 
 
-def _words(hashes: list[np.ndarray]) -> str:
-    """32 bits of each rung's pair of hashes, in hex."""
+def _mixed(hashes: list[np.ndarray]) -> np.ndarray:
+    """32 bits of each pair of hashes."""
     mixed = (hashes[0] * np.uint64(2654435761) + hashes[1] * np.uint64(40503 << 16 | 1)) >> np.uint64(16)
-    return (mixed & np.uint64(0xFFFFFFFF)).astype(">u4").tobytes().hex()
+    return (mixed & np.uint64(0xFFFFFFFF)).astype(">u4")
+
+
+def _words(hashes: list[np.ndarray]) -> str:
+    return _mixed(hashes).tobytes().hex()
+
+
+def anchors(own: Prefixes) -> np.ndarray:
+    """Positions whose window's hash is less than those of the ``REACH`` positions before and after."""
+    count = own.n - WINDOW + 1
+    if count < 2 * REACH + 1:
+        return np.zeros(0, np.int64)
+    at = np.arange(count)
+    marks = _mixed(own.spans(at, at + WINDOW)).astype(np.uint32)
+    least, width = marks, 1
+    while width < REACH:  # minimum over ``width`` positions from each one on
+        more = min(width, REACH - width)
+        least, width = np.minimum(least[:-more], least[more:]), width + more
+    inner = marks[REACH:count - REACH]
+    return REACH + np.flatnonzero((inner < least[:len(inner)]) & (inner < least[REACH + 1:]))
+
+
+def cuts(own: Prefixes) -> np.ndarray:
+    """Bounds of the spans of a text: its ends, its anchors, and steps where anchors are far apart."""
+    bounds = np.concatenate(([0], anchors(own), [own.n]))
+    wide = np.flatnonzero(np.diff(bounds) > LONGEST)
+    steps = [np.arange(bounds[i] + STEP, bounds[i + 1], STEP) for i in wide.tolist()]
+    return np.sort(np.concatenate((bounds, *steps))) if steps else bounds
+
+
+def _spans(own: Prefixes) -> str:
+    """Two digits of length and eight of hash for every span, in order."""
+    if not own.n:
+        return ""
+    bounds = cuts(own)
+    out = np.empty((len(bounds) - 1, 5), np.uint8)
+    out[:, 0] = np.diff(bounds)
+    out[:, 1:] = _mixed(own.spans(bounds[:-1], bounds[1:])).view(np.uint8).reshape(-1, 4)
+    return out.tobytes().hex()
 
 
 def fingerprint(text: str) -> str:
-    """``length:whole:prefixes:suffixes`` in hex."""
+    """``length:whole:prefixes:suffixes:spans`` in hex."""
     own = Prefixes(text)
     rungs = ladder(own.n)
     whole = own.span(0, own.n)
     zero, full = np.zeros(len(rungs), np.int64), np.full(len(rungs), own.n)
-    return f"{own.n:x}:{whole[0]:08x}{whole[1]:08x}:{_words(own.spans(zero, rungs))}:{_words(own.spans(full - rungs, full))}"
+    return f"{own.n:x}:{whole[0]:08x}{whole[1]:08x}:{_words(own.spans(zero, rungs))}:{_words(own.spans(full - rungs, full))}:{_spans(own)}"
+
+
+def _left(spans: str, front: int, back: int) -> dict[str, list[int]]:
+    """For each span's length and hash, how many characters of every occurrence lie between ``front`` and ``back``, most first."""
+    out: dict[str, list[int]] = {}
+    at = 0
+    for i in range(0, len(spans), 10):
+        end = at + int(spans[i:i + 2], 16)
+        if (inside := min(end, back) - max(at, front)) > 0:
+            out.setdefault(spans[i:i + 10], []).append(inside)
+        at = end
+    for found in out.values():
+        found.sort(reverse=True)
+    return out
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the longer text that the common prefix and the common suffix cover, from two fingerprints."""
+    """Share of the longer text that the common prefix, the common suffix and the common spans between cover, from two fingerprints."""
     if a == b:
         return 1.0
-    (na, _, pa_, sa), (nb, _, pb, sb) = a.split(":"), b.split(":")
+    (na, _, pa_, sa, ia), (nb, _, pb, sb, ib) = a.split(":"), b.split(":")
     m, n = sorted((int(na, 16), int(nb, 16)))
     if not m:
         return 0.0
@@ -142,7 +205,12 @@ def likeness(a: str, b: str) -> float:
             else:
                 high = mid - 1
         return int(rungs[low - 1]) if low else 0
-    return min(float(m), agreed(pa_, pb) + agreed(sa, sb)) / n
+    front, back = agreed(pa_, pb), agreed(sa, sb)
+    if front + back >= m:
+        return m / n
+    there = _left(ib, front, int(nb, 16) - back)
+    inside = sum(sum(map(min, found, there[k])) for k, found in _left(ia, front, int(na, 16) - back).items() if k in there)
+    return (front + back + inside) / n
 
 
 def edited(text: str, following: str) -> str:

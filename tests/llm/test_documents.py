@@ -50,6 +50,33 @@ def test_likeness(a, b):
     assert near == pytest.approx(want)
 
 
+def test_likeness_credits_the_shared_middle():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(4000)]
+    text = " ".join(words)
+    mark = fingerprints.fingerprint(text)
+    near = lambda other: fingerprints.likeness(mark, fingerprints.fingerprint(other))
+    assert near("Zzz" + text[1:-1] + "yyyy") > 0.98  # an edit at each end
+    assert near(" ".join([*words[:5], "other", *words[6:2000], "new", "ones", *words[2000:3990], *words[3991:]])) > 0.97
+    assert near(" ".join(words[2000:] + words[:2000])) > 0.97  # halves exchanged
+    assert near(" ".join(words[::-1])) < 0.05
+    flat = "word " * 4000
+    assert fingerprints.likeness(*map(fingerprints.fingerprint, ("x" + flat + "y", "ab" + flat[:9000] + "--" + flat[9000:] + "c"))) > 0.9
+    # no text is credited twice, or beyond what both hold
+    once, twice = fingerprints.fingerprint("x" + text + "y"), fingerprints.fingerprint(text + "z" + text)
+    assert 0.45 < fingerprints.likeness(once, twice) == fingerprints.likeness(twice, once) <= len(text) / (2 * len(text) + 1)
+
+
+@given(st.text(st.sampled_from("ab "), max_size=700), st.text(st.sampled_from("ab "), max_size=700), st.integers(0, 700))
+@settings(max_examples=100, deadline=None)
+def test_spans_cover_the_text_once(a, b, cut):
+    own = fingerprints.Prefixes(a)
+    bounds = fingerprints.cuts(own).tolist() if a else [0]
+    assert bounds[0] == 0 and bounds[-1] == len(a) and all(0 < y - x <= fingerprints.LONGEST for x, y in zip(bounds, bounds[1:]))
+    x, y = fingerprints.fingerprint(a), fingerprints.fingerprint(b + a[cut:])
+    assert fingerprints.likeness(x, y) == fingerprints.likeness(y, x) <= 1
+
+
 def neighbours(rows):
     """Each row with the next one: descending id, null last, equal ids by descending text."""
     order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: r[1], reverse=True)
