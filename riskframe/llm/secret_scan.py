@@ -49,6 +49,12 @@ class Rule:
     fold: bool = False
 
 
+#: What follows a private key's BEGIN: all up to its END, or without one the header lines and the base64 (runs of
+#: 16 or more characters, and shorter ones that fill the rest of a line), also quoted or with \\n for line breaks.
+_TO_END = r"(?>[^-]+|-(?!----(?:BEGIN|END)\x20))*+-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+_BREAK = r"""(?>\s|\\[nrt]|[>"',]|\+(?=\s))"""
+_LINES = (rf"(?:{_BREAK}*+(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+"
+          r"""|[A-Za-z0-9+/]{16,}+={0,2}|[A-Za-z0-9+/]++={0,2}(?=["',\x20\t]*+(?:[\r\n]|\\[nr]|\Z))))*+""")
 #: The three base kinds, then well-known public token formats.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True, True),
@@ -59,7 +65,7 @@ RULES = (
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----" + f"(?:{_TO_END}|{_LINES})"),
 )
 
 # A query is True (anything may match), ("tri", bytes), ("and", [...]) or ("or", [...]).
