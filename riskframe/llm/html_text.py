@@ -3,7 +3,8 @@
 A page is parsed into blocks: runs of text between block-level tags.  A classifier
 gives each block a score for content against boilerplate, from its text (length,
 share of link text, sentence ends, ...) and from what encloses it (semantic tags,
-roles, words of class and id).  The blocks are the nodes of a flow network: a
+roles, words of class and id; words are weak evidence that text, an article around them
+and neighbours outweigh).  The blocks are the nodes of a flow network: a
 positive score is the capacity from the source, a negative one that to the sink;
 neighbours in page order and blocks with a common parent are joined by smoothness
 edges that are the stronger the nearer they are in the tree.  A maximum flow (by
@@ -43,7 +44,7 @@ from pyspark.sql import types as T
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NO_TEXT = frozenset("script style noscript template title textarea select button svg math iframe object canvas audio video".split())
+NO_TEXT = frozenset("script style noscript template title textarea select button svg annotation annotation-xml iframe object canvas audio video".split())
 #: What a start tag closes, if open, and the tags that it does not look beyond.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)),
           "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
@@ -55,7 +56,12 @@ notice notices alert popup modal overlay newsletter subscribe subscription signu
 recommendations trending popular comment comments commentlist disqus reply replies respond pagination pager tags legal copyright contentinfo complementary
 search searchbox skip""".split())
 CONTENT = frozenset("article content contents story post entry main body text prose".split())
-STRONG, HEADER, INSIDE = -8.0, -6.0, 3.0
+#: Roles that say as much as a tag, tags whose id is a name to link to, and words after which a class names a layout.
+LANDMARKS = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+LAYOUT = frozenset("has with no without hide show".split())
+#: Capacities of tags and roles, of a page's header, of an element with words of boilerplate, and of an article.
+STRONG, HEADER, WORDS, INSIDE = -8.0, -6.0, -4.0, 3.0
 #: Largest absolute score that text features may give.
 TEXT_LIMIT = 4.0
 #: Strength of the smoothness edges.
@@ -73,6 +79,7 @@ class Element:
     parent: Element | None
     prior: float = 0.0
     article: bool = False
+    doubted: bool = False
     seed: int = 0
     silent: bool = False
     linked: bool = False
@@ -87,9 +94,14 @@ class Block:
     features: list[float] = field(default_factory=list)
 
 
-def _names(attrs: dict[str, str | None]) -> set[str]:
-    value = " ".join(attrs.get(k) or "" for k in ("class", "id", "role"))
-    return {w.lower() for w in _WORD.findall(value)}
+def _names(tag: str, attrs: dict[str, str | None], article: bool) -> set[str]:
+    """Words of class and role, and of the id unless it only names a heading or a section of an article."""
+    keys = ("class", "role") if tag in HEADINGS or tag == "section" and article else ("class", "id", "role")
+    out = set()
+    for name in " ".join(attrs.get(k) or "" for k in keys).split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        out.update(words[:next((i for i, w in enumerate(words) if w in LAYOUT), len(words))])
+    return out
 
 
 class Blocks(HTMLParser):
@@ -101,6 +113,7 @@ class Blocks(HTMLParser):
         self.found: list[Block] = []
         self.parts: list[str] = []
         self.link_chars = 0
+        self.article_found = False
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -111,7 +124,7 @@ class Blocks(HTMLParser):
             words = text.split(" ")
             self.found.append(Block(text, place, place.prior, place.seed, [
                 1.0, float(np.log1p(len(words))), min(1.0, self.link_chars / len(text)), float(text[-1] in ".!?…\"”»"),
-                min(1.0, 5.0 * sum(w[-1] in ".,;" for w in words) / len(words)), float(place.tag in ("h1", "h2", "h3", "h4", "h5", "h6")),
+                min(1.0, 5.0 * sum(w[-1] in ".,;" for w in words) / len(words)), float(place.tag in HEADINGS),
                 float(place.tag in ("li", "td", "th", "dt", "dd")), float("©" in text)]))
         self.parts, self.link_chars = [], 0
 
@@ -138,19 +151,28 @@ class Blocks(HTMLParser):
                 if open_ in stops or not wanted and open_ in BLOCK:
                     break
         above, attrs = self.stack[-1], dict(attrs)
-        own = Element(tag, above.depth + (tag in BLOCK), above, above.prior, above.article, above.seed,
+        own = Element(tag, above.depth + (tag in BLOCK), above, above.prior, above.article, above.doubted, above.seed,
                       above.silent or tag in NO_TEXT, above.linked or tag == "a")
         if tag in BLOCK or attrs:
-            names = _names(attrs) if attrs else set()
+            names = _names(tag, attrs, above.article) if attrs else set()
+            role = (attrs.get("role") or "").strip().lower()
             hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "")
-            if tag in ("nav", "footer", "aside", "form", "menu", "dialog") or hidden or tag != "body" and tag != "html" and names & BOILERPLATE:
+            if tag in ("nav", "footer", "aside", "form", "menu", "dialog") or hidden or tag not in ("body", "html") and role in LANDMARKS:
                 own.prior, own.seed = own.prior + STRONG, -1
-            elif (tag == "header" or "header" in names and tag != "body") and not own.article:
+            elif tag == "header" and not own.article:
                 own.prior, own.seed = own.prior + HEADER, -1
-            elif tag in ("article", "main") or attrs.get("role") in ("main", "article"):
-                own.prior, own.article, own.seed = own.prior + INSIDE, True, own.seed or 1
-            elif tag in BLOCK and tag not in ("body", "html") and names & CONTENT:
-                own.prior += INSIDE / 2
+            else:
+                if tag not in ("body", "html") and (names & BOILERPLATE or "header" in names and not own.article):
+                    own.prior, own.doubted, own.seed = own.prior + WORDS, True, min(own.seed, 0)
+                if tag in ("article", "main") or role in ("main", "article"):
+                    # under doubt, an article after another one is a comment or a teaser rather than the text
+                    if not own.doubted or not self.article_found:
+                        own.prior += INSIDE
+                    own.article = True
+                    if not own.doubted:
+                        self.article_found, own.seed = True, own.seed or 1
+                elif tag in BLOCK and tag not in ("body", "html") and names & CONTENT:
+                    own.prior += INSIDE / 2
         self.stack.append(own)
 
     def handle_startendtag(self, tag, attrs):
@@ -275,7 +297,9 @@ def label(found: Sequence[Block], weights: np.ndarray = DEFAULT) -> list[bool]:
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, NEAR / (1 + tree_distance(found[i - 1].place, b.place))))
+            before = found[i - 1].place
+            heads = before.tag in HEADINGS and before.parent is b.place.parent  # a heading goes with what follows it
+            edges.append((i - 1, i, NEAR if heads else NEAR / (1 + tree_distance(before, b.place))))
         parent = id(b.place.parent)
         if last.get(parent, i - 1) != i - 1:
             edges.append((last[parent], i, SIBLING))

@@ -117,6 +117,39 @@ def test_page_without_article():
         ["Title here", "First & long paragraph of the text, with more words. After break", "item one", "item two", "Short."])
 
 
+PARA = "<p>The first of many sentences about this subject, which go on for a while. Then there is another one, and it ends here.</p>"
+
+
+@pytest.mark.parametrize("inside", [
+    f'<section id="related-work"><h2>Earlier work</h2>{PARA}{PARA}</section>', f'<h2 id="search">Searching</h2>{PARA}',
+    f'<section id="legal-framework"><h2>Laws</h2>{PARA}</section>', f'<h3 id="social-and-popular-tags">How they spread</h3>{PARA}',
+    f'<div class="notice">{PARA}</div>', f'<div class="content no-sidebar">{PARA}</div>'])
+@pytest.mark.parametrize("around", ["<article>{}</article>", '<div class="content has-sidebar"><article>{}</article></div>',
+                                    '<div class="content withSidebar"><main>{}</main></div>', '<div id="popular"><article>{}</article></div>'])
+def test_words_do_not_decide_inside_an_article(inside, around):
+    html = f"<nav><a href=x>home</a></nav>{around.format(f'<h1>Title of the text</h1>{PARA}{inside}{PARA}')}<footer>End</footer>"
+    text = html_text.main_text(html)
+    if 'class="notice"' in inside and "popular" in around:  # two elements with such words
+        assert text.count("The first of many") >= 2
+        return
+    assert text.count("The first of many") == html.count("The first of many") and "home" not in text and "End" not in text
+    assert [h for h in re.findall(r"<h[23][^>]*>([^<]*)", inside) if h not in text] == []
+
+
+def test_words_still_mark_boilerplate():
+    html = f"""<main><h1>Title of the text</h1>{PARA}<div class="newsletter"><p>Subscribe now</p></div>{PARA}
+<ul class="share"><li><a href=x>Send this</a><li><a href=y>Print this</a></ul>
+<div class="related-posts"><h3>More</h3><p><a href=z>Another page about something else</a></p></div></main>
+<section id="comments"><article><p>I think that this is great. Really good, thanks for it!</p></article></section><div role="search">Find it, here. Now.</div>"""
+    assert html_text.main_text(html) == "\n\n".join(["Title of the text", *[re.sub("<.*?>", "", PARA)] * 2])
+
+
+def test_math_is_text():
+    html = """<article><p>It holds that <math><semantics><mrow><mi>a</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding="application/x-tex">a = 2</annotation>
+</semantics></math> for all of the values, as was shown.</p></article>"""
+    assert html_text.main_text(html) == "It holds that a=2 for all of the values, as was shown."
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<script>x", "<!-- open", "</p></div>", "&am", "<nav><a href=x>y</a></nav>"])
 def test_pages_without_content_do_not_crash(page):
     assert html_text.main_text(page) in ("", "&am", "<")
