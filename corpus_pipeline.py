@@ -4,7 +4,8 @@ Five stages, each one of the operators of ``riskframe.llm`` over all that the st
 before kept:
 
 * ``quality``: documents that the quality rules reject go;
-* ``language``: documents without a language, or with no language for at least half of the words' weight, go;
+* ``language``: documents without a language, or whose words no language explains, go (texts in several
+  languages stay; without any labelled document nothing can be learned and all stay);
 * ``near_duplicates``: of each group of SimHash near-duplicates one row stays;
 * ``secrets``: every secret in a text is replaced by ``[REDACTED]`` (``n_chars`` follows);
 * ``packing``: the remaining texts become sequences of ids.
@@ -14,7 +15,7 @@ return the columns that they were given.  ``run`` writes each result as Parquet
 the shared folder and reads it again, so a lost executor costs one stage at most.
 
 Null and empty texts fail the quality rules and go with the first stage; each stage
-on its own also takes them: ``language`` drops them, ``near_duplicates`` keeps one,
+on its own also takes them: ``language`` drops them (if it learned a language), ``near_duplicates`` keeps one,
 ``secrets`` passes them on, ``packing`` gives them the separator only.  Repeated rows
 are near-duplicates.  An empty table gives an empty result.  Extra columns of any name
 are passed on up to the last stage.
@@ -33,7 +34,7 @@ from riskframe.llm import langid, packing, quality, secret_scan, simhash
 from riskframe.llm.queries import held_out
 from riskframe.session import ensure_checkpoint_dir
 
-#: Least mean posterior of a document's language.
+#: Least mean, over a document's words, of the posterior of each word's own most probable language.
 LEAST_SCORE = 0.5
 
 
@@ -44,10 +45,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is one of the learned ones with a clear score."""
+    """Keep the documents whose words are clearly of some learned language, one or several."""
     model = langid.fit(docs, ~F.coalesce(held_out(), F.lit(True)))
-    found = langid.predict(docs.select(F.struct(*docs.columns).alias("row")), model, text="row.text", keys=["row"])
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    if not model.labels:
+        return docs
+    found = langid.predict(docs.select(F.struct(*docs.columns).alias("row")), model, text="row.text", keys=["row"], certainty=True)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("certainty") >= LEAST_SCORE)).select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,18 +182,23 @@ class Model:
 
     def classify(self, texts: Sequence[str]) -> list[tuple[str, float]]:
         """Language and score of each text."""
+        return [f[:2] for f in self.judge(texts)]
+
+    def judge(self, texts: Sequence[str]) -> list[tuple[str, float, float]]:
+        """Language, score and certainty (mean of each word's largest posterior, whichever language has it) of each text."""
         if not self.labels:
-            return [(UNKNOWN, 0.0)] * len(texts)
+            return [(UNKNOWN, 0.0, 0.0)] * len(texts)
         found, counts = self.label(texts)
         ends = np.cumsum(counts)
         out = []
         for end, n in zip(ends.tolist(), counts.tolist()):
             if not n:
-                out.append((UNKNOWN, 0.0))
+                out.append((UNKNOWN, 0.0, 0.0))
                 continue
-            mean = found[end - n:end].mean(axis=0)
+            own = found[end - n:end]
+            mean = own.mean(axis=0)
             best = int(mean.argmax())
-            out.append((self.labels[best], min(1.0, float(mean[best]))))
+            out.append((self.labels[best], min(1.0, float(mean[best])), min(1.0, float(own.max(axis=1).mean()))))
         return out
 
 
@@ -292,11 +297,15 @@ def fit(docs: DataFrame, learn: Column, per_label: int = 200, window: int = 120,
     return train(sample(docs, learn, per_label, window, text, label))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keys: Sequence[str] = ("doc_id",), runs: bool = False) -> DataFrame:
-    """``keys``, ``lang_pred`` and ``score`` of every row; with ``runs`` also the runs of words with one label."""
+def predict(docs: DataFrame, model: Model, text: str = "text", keys: Sequence[str] = ("doc_id",), runs: bool = False,
+            certainty: bool = False) -> DataFrame:
+    """``keys``, ``lang_pred`` and ``score`` of every row; with ``certainty`` also the mean of the words' largest posteriors,
+    with ``runs`` also the runs of words with one label."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS x labels numbers, whatever the input's size
     slim, column = carried(docs, keys, text)
     fields = [*(slim.schema[k] for k in keys), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    if certainty:
+        fields.append(T.StructField("certainty", T.DoubleType()))
     if runs:
         fields.append(T.StructField("runs", T.ArrayType(T.StructType([
             T.StructField("lang", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("words", T.LongType())]))))
@@ -307,8 +316,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keys: Sequence[st
         own: Model = sent.value
         for batch in batches:
             for part, texts in chunks(batch, column, CHARS):
-                found = own.classify(texts)
+                found = own.judge(texts)
                 columns = [*(part.column(c) for c in names), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+                if certainty:
+                    columns.append(pa.array([f[2] for f in found], pa.float64()))
                 if runs:
                     columns.append(pa.array([label_runs(own, t) for t in texts], run_type))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)

@@ -102,3 +102,21 @@ def test_stages_keep_columns_and_take_awkward_rows(spark, tmp_path):
     assert len(kept["secrets"]) == len(DOCS) and sum(r.text is None for r in kept["secrets"]) == sum(r[1] is None for r in DOCS)
     changed = [r for r in kept["secrets"] if r.text and "[REDACTED]" in r.text]
     assert changed and all(r.n_chars == len(r.text) for r in changed)
+
+
+def test_language_stage_keeps_mixed_texts_and_unlabelled_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null and lang is not null")
+    words = {}
+    for r in docs.orderBy("doc_id").limit(600).collect():
+        words.setdefault(r.lang, []).extend(r.text.split())
+    assert len(words) >= 3
+    mixed = " ".join(" ".join(words[k][:60]) for k in sorted(words)[:4])
+    new = docs.limit(1).withColumns({"doc_id": F.lit(10 ** 9).cast(docs.schema["doc_id"].dataType), "text": F.lit(mixed),
+                                     "lang": F.lit(None).cast("string")}).select(docs.columns)
+    model = langid.fit(docs, ~F.coalesce(queries.held_out(), F.lit(True)))
+    [(_, score, certainty)] = model.judge([mixed])
+    assert score < corpus_pipeline.LEAST_SCORE < certainty
+    kept = corpus_pipeline.language_stage(spark, docs.unionByName(new), "")
+    assert kept.where(F.col("doc_id") == 10 ** 9).count() == 1
+    bare = docs.limit(20).withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_stage(spark, bare, "").count() == 20
