@@ -10,7 +10,10 @@ a million bytes.  Many pieces of similar length are merged in step: one row of
 a matrix is one piece's tree.
 
 The encoder remembers the ids of pieces it has seen, within a fixed number of
-bytes, so frequent words are merged once per worker process.
+bytes, so frequent words are merged once per worker process; a chunk's pieces are
+numbered by their distinct values and its ids gathered by offsets.  A tokenizers
+file's added tokens (``<|endoftext|>``) are matched in the texts before the
+pre-tokens, as its library does by default; a rank file has none.
 
 Results
 -------
@@ -25,10 +28,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +44,8 @@ from riskframe.llm.common import chunks
 
 #: Bytes of remembered pieces in a worker process; beyond, it starts anew.
 REMEMBER_BYTES = 96_000_000
+#: Characters of text encoded at once inside a task: distinct pieces are looked up once in each such chunk.
+CHUNK = 4_000_000
 #: Matrix cells (pieces x positions) that are merged in step.
 CELLS = 1 << 19
 
@@ -82,11 +90,33 @@ class Pairs:
         return self.rank[slot], self.merged[slot]
 
 
+class Grown:
+    """An array that grows at its end by doubling."""
+
+    def __init__(self, dtype):
+        self.data, self.size = np.empty(1024, dtype=dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self.data):
+            data = np.empty(max(need, 2 * len(self.data)), dtype=self.data.dtype)
+            data[:self.size] = self.values
+            self.data = data
+        self.data[self.size:need] = values
+        self.size = need
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.data[:self.size]
+
+
 class Vocabulary:
     """Ids of byte strings, the ranks of pairs, and the pieces remembered by this process."""
 
-    def __init__(self, tokens: dict[bytes, int], merges: Iterator[tuple[bytes, bytes, int]], direct: bool):
-        self.tokens, self.direct = tokens, direct
+    def __init__(self, tokens: dict[bytes, int], merges: Iterator[tuple[bytes, bytes, int]], direct: bool, added: dict[str, int] | None = None):
+        self.tokens, self.direct, self.added = tokens, direct, added or {}
+        names = sorted(self.added, key=len, reverse=True)
+        self.added_pattern = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
         rows = [(tokens[a], tokens[b], rank, tokens[a + b]) for a, b, rank in merges]
         table = np.array(rows, dtype=np.int64).reshape(-1, 4)
         self.pairs = Pairs(table[:, 0], table[:, 1], table[:, 2], table[:, 3])
@@ -100,8 +130,7 @@ class Vocabulary:
         self.lengths = np.array([len(t) for t in by_id], dtype=np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(by_id), dtype=np.uint8)
-        self.seen: dict[str, bytes] = {}
-        self.seen_bytes = 0
+        self.forget()
 
     @classmethod
     def from_ranks(cls, data: bytes) -> Vocabulary:
@@ -123,15 +152,17 @@ class Vocabulary:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in plain}
         letters |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take white space or whole words only are not supported")
         to_bytes = lambda s: bytes(letters[c] for c in s)
-        tokens = {to_bytes(t): i for t, i in model["vocab"].items() if t not in special}
+        tokens = {to_bytes(t): i for t, i in model["vocab"].items() if t not in added}
 
         def merges():
             for rank, pair in enumerate(model["merges"]):
                 a, b = pair.split(" ") if isinstance(pair, str) else pair
                 yield to_bytes(a), to_bytes(b), rank
-        return cls(tokens, merges(), direct=bool(model.get("ignore_merges")))
+        return cls(tokens, merges(), direct=bool(model.get("ignore_merges")), added=added)
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece (not empty) as little-endian 32-bit numbers, by segment trees."""
@@ -201,31 +232,71 @@ class Vocabulary:
             out[i] = ids[start:end]
             start = end
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers."""
-        pieces, counts = pretokens.split(texts)
-        new = set(pieces).difference(self.seen)
+    def _learn(self, names: list[str]) -> np.ndarray:
+        """Slots of distinct pieces; those not yet seen are merged and remembered."""
         if self.seen_bytes > REMEMBER_BYTES:
-            self.seen, self.seen_bytes, new = {}, 0, set(pieces)
+            self.forget()
+        slots = [self.seen.get(name, -1) for name in names]
+        new = [i for i, slot in enumerate(slots) if slot < 0]
         if new:
-            names, rest = list(new), []
-            data = [w.encode() for w in names]
-            if self.direct:
-                for name, d in zip(names, data):
-                    if (i := self.tokens.get(d)) is None:
-                        rest.append((name, d))
-                    else:
-                        self.seen[name] = i.to_bytes(4, "little")
-            else:
-                rest = list(zip(names, data))
-            ids = self.merge([d for _, d in rest])
-            self.seen.update(zip((name for name, _ in rest), ids))
-            self.seen_bytes += sum(map(len, ids)) + sum(map(len, data)) + 160 * len(names)
-        get, out, at = self.seen.__getitem__, [], 0
-        for k in counts.tolist():
-            out.append(b"".join(map(get, pieces[at:at + k])))
-            at += k
-        return out
+            data = [names[i].encode() for i in new]
+            whole = [self.tokens.get(d) if self.direct else None for d in data]
+            rest = [k for k, i in enumerate(whole) if i is None]
+            found = [b"" if i is None else i.to_bytes(4, "little") for i in whole]
+            for k, ids in zip(rest, self.merge([data[k] for k in rest])):
+                found[k] = ids
+            at, lengths = len(self.seen), np.array([len(ids) // 4 for ids in found], dtype=np.int64)
+            for i, slot in zip(new, range(at, at + len(new))):
+                self.seen[names[i]] = slots[i] = slot
+            begin = self.slot_ids.size
+            self.slot_ids.extend(np.frombuffer(b"".join(found), dtype="<i4"))
+            self.slot_from.extend(begin + np.cumsum(lengths) - lengths)
+            self.slot_len.extend(lengths)
+            self.seen_bytes += int(lengths.sum()) * 4 + sum(map(len, data)) + 160 * len(new)
+        return np.array(slots, dtype=np.int64)
+
+    def forget(self) -> None:
+        """Start the memory of pieces anew."""
+        self.seen: dict[str, int] = {}
+        self.seen_bytes = 0
+        self.slot_ids, self.slot_from, self.slot_len = Grown(np.int32), Grown(np.int64), Grown(np.int64)
+
+    def encode_flat(self, texts: list[str], added: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row (32-bit), and how many each text has.
+
+        With ``added``, the file's added tokens are matched in the texts first, as its library does by default.
+        """
+        if added and self.added_pattern is not None and any(map(self.added_pattern.search, texts)):
+            return self._encode_added(texts)
+        pieces, per_text = pretokens.cut(texts)
+        if not len(pieces):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        coded = pieces.dictionary_encode()
+        slot = self._learn(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy(zero_copy_only=False)]
+        lengths = self.slot_len.values[slot]
+        ends = np.cumsum(lengths)
+        ids = self.slot_ids.values[np.repeat(self.slot_from.values[slot] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))]
+        return ids, np.diff(bounds)
+
+    def _encode_added(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts, owner, fixed = [], [], []  # the parts between added tokens, their text, the token after each (-1: none)
+        for i, t in enumerate(texts):
+            cut = self.added_pattern.split(t)
+            parts += cut[::2]
+            owner += [i] * len(cut[::2])
+            fixed += [self.added[c] for c in cut[1::2]] + [-1]
+        ids, counts = self.encode_flat(parts, added=False)
+        after = np.array(fixed)
+        has = after >= 0
+        out = np.insert(ids, np.cumsum(counts)[has], after[has].astype(np.int32))
+        return out, np.bincount(owner, weights=counts + has, minlength=len(texts)).astype(np.int64)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers."""
+        ids, counts = self.encode_flat(texts)
+        data, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of one row of ids."""
@@ -242,25 +313,27 @@ class Vocabulary:
 _loaded: dict[str, Vocabulary] = {}
 
 
+def load(key: str, sent: Broadcast, kind: str) -> Vocabulary:
+    """The vocabulary of a broadcast file, built once in a worker process.
+
+    A function of the module, so tasks get it by name and share ``_loaded``.
+    """
+    if key not in _loaded:
+        _loaded[key] = Vocabulary.from_json(sent.value) if kind == "json" else Vocabulary.from_ranks(sent.value)
+    return _loaded[key]
+
+
 def vocabulary(spark: SparkSession, path: str) -> Callable[[], Vocabulary]:
     """A function that gives the vocabulary of ``path`` inside tasks; the driver reads the file (a few MB) once and broadcasts it."""
     with open(path, "rb") as f:
         data = f.read()
-    key, sent = hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
-    load = Vocabulary.from_json if path.endswith(".json") else Vocabulary.from_ranks
-
-    def get() -> Vocabulary:
-        if key not in _loaded:
-            _loaded[key] = load(sent.value)
-        return _loaded[key]
-    return get
+    kind = "json" if path.endswith(".json") else "ranks"
+    return partial(load, hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data), kind)
 
 
-def id_array(rows: Sequence[bytes]) -> pa.Array:
-    """Rows of little-endian 32-bit ids as an Arrow list column."""
-    ends = np.cumsum([0] + [len(r) // 4 for r in rows]).astype(np.int32)
-    values = np.frombuffer(b"".join(rows), dtype="<i4")
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+def id_array(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Rows of ids, laid end to end, as an Arrow list column."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keys: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -273,8 +346,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", keys: Sequence[str] =
     def run(batches):
         vocab = get()
         for batch in batches:
-            for part, texts in chunks(batch, "__text"):
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in names), id_array(vocab.encode(texts))],
+            for part, texts in chunks(batch, "__text", CHUNK):
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in names), id_array(*vocab.encode_flat(texts))],
                                                  names=[*names, "ids"])
     return slim.mapInArrow(run, schema)
 

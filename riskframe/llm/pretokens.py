@@ -18,6 +18,7 @@ places are looked at one by one.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -42,14 +43,9 @@ def classes() -> np.ndarray:
     return _classes
 
 
-def split(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """The pieces of all texts in order, and how many each text has."""
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    whole = "".join(texts)
-    n = len(whole)
-    if not n:
-        return [], np.zeros(len(texts), dtype=np.int64)
-    points = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
+def starts_of(whole: str, points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Where pieces start in the texts of these lengths, laid end to end (not all empty)."""
+    n = len(points)
     kind = classes()[points]
     ends = np.cumsum(lengths)
     firsts = (ends - lengths)[lengths > 0]
@@ -82,9 +78,36 @@ def split(texts: list[str]) -> tuple[list[str], np.ndarray]:
             starts[i + 1] = False
             if i + size < n:
                 starts[i + size] = True
-    at = np.flatnonzero(starts)
-    counts = np.add.reduceat(starts, firsts, dtype=np.int64)
-    per_text = np.zeros(len(texts), dtype=np.int64)
-    per_text[lengths > 0] = counts
+    return starts
+
+
+def places(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts laid end to end, their code points, the places where pieces start, and how many pieces each text has."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    whole = "".join(texts)
+    if not whole:
+        return "", np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    points = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
+    at = np.flatnonzero(starts_of(whole, points, lengths))
+    ends = np.cumsum(lengths)
+    return whole, points, at, np.searchsorted(at, ends) - np.searchsorted(at, ends - lengths)
+
+
+def split(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The pieces of all texts in order, and how many each text has."""
+    whole, _, at, per_text = places(texts)
     bounds = at.tolist()
-    return [whole[a:b] for a, b in zip(bounds, [*bounds[1:], n])], per_text
+    return [whole[a:b] for a, b in zip(bounds, [*bounds[1:], len(whole)])], per_text
+
+
+def cut(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """As ``split``, with the pieces as one Arrow column over the texts' UTF-8 bytes."""
+    whole, points, at, per_text = places(texts)
+    data = whole.encode()
+    if len(data) != len(whole):
+        sizes = 1 + (points >= 0x80).view(np.int8) + (points >= 0x800) + (points >= 0x10000)
+        at = (np.cumsum(sizes, dtype=np.int64) - sizes)[at]
+    offsets = np.append(at, len(data))
+    if not len(at):
+        return pa.array([], pa.large_string()), per_text
+    return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)), per_text

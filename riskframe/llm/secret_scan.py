@@ -214,6 +214,14 @@ class Scanner:
 
 _scanners: dict[tuple, Scanner] = {}
 
+
+def scanner_of(rules: tuple[Rule, ...]) -> Scanner:
+    """The scanner of the rules, built once in a worker process (tasks get this function by name)."""
+    if rules not in _scanners:
+        _scanners[rules] = Scanner(rules)
+    return _scanners[rules]
+
+
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
 
@@ -231,9 +239,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", key
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        if rules not in _scanners:
-            _scanners[rules] = Scanner(rules)
-        scanner = _scanners[rules]
+        scanner = scanner_of(rules)
         for batch in batches:
             for part, texts in chunks(batch, column):
                 found = scanner.scan(texts)
