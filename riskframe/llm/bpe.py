@@ -110,7 +110,52 @@ class Grown:
         return self.data[:self.size]
 
 
-class Vocabulary:
+class Remembering:
+    """The ids of pieces of text, remembered within ``REMEMBER_BYTES``."""
+
+    def ids_of(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these pieces in a row, and how many each has."""
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        """Start the memory of pieces anew."""
+        self.seen: dict[str, int] = {}
+        self.seen_bytes = 0
+        self.slot_ids, self.slot_from, self.slot_len = Grown(np.int32), Grown(np.int64), Grown(np.int64)
+
+    def _slots(self, names: list[str]) -> np.ndarray:
+        """Places of distinct pieces in the memory; those not there yet are looked up."""
+        if self.seen_bytes > REMEMBER_BYTES:
+            self.forget()
+        slots = list(map(self.seen.get, names))
+        new = [i for i, slot in enumerate(slots) if slot is None]
+        if new:
+            wanted = [names[i] for i in new]
+            ids, lengths = self.ids_of(wanted)
+            at = len(self.seen)
+            self.seen.update(zip(wanted, range(at, at + len(new))))
+            for i, slot in zip(new, range(at, at + len(new))):
+                slots[i] = slot
+            self.slot_from.extend(self.slot_ids.size + np.cumsum(lengths) - lengths)
+            self.slot_ids.extend(ids)
+            self.slot_len.extend(lengths)
+            self.seen_bytes += 4 * len(ids) + sum(map(len, wanted)) + 160 * len(new)
+        return np.array(slots, dtype=np.int64)
+
+    def gather(self, pieces: pa.Array, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row (32-bit) and how many each has, from their pieces and how many each has of these."""
+        if not len(pieces):
+            return np.zeros(0, np.int32), np.zeros(len(per_text), np.int64)
+        coded = pieces.dictionary_encode()
+        slot = self._slots(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy(zero_copy_only=False)]
+        lengths = self.slot_len.values[slot]
+        ends = np.cumsum(lengths)
+        ids = self.slot_ids.values[np.repeat(self.slot_from.values[slot] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))]
+        return ids, np.diff(bounds)
+
+
+class Vocabulary(Remembering):
     """Ids of byte strings, the ranks of pairs, and the pieces remembered by this process."""
 
     def __init__(self, tokens: dict[bytes, int], merges: Iterator[tuple[bytes, bytes, int]], direct: bool, added: dict[str, int] | None = None):
@@ -232,34 +277,14 @@ class Vocabulary:
             out[i] = ids[start:end]
             start = end
 
-    def _learn(self, names: list[str]) -> np.ndarray:
-        """Slots of distinct pieces; those not yet seen are merged and remembered."""
-        if self.seen_bytes > REMEMBER_BYTES:
-            self.forget()
-        slots = [self.seen.get(name, -1) for name in names]
-        new = [i for i, slot in enumerate(slots) if slot < 0]
-        if new:
-            data = [names[i].encode() for i in new]
-            whole = [self.tokens.get(d) if self.direct else None for d in data]
-            rest = [k for k, i in enumerate(whole) if i is None]
-            found = [b"" if i is None else i.to_bytes(4, "little") for i in whole]
-            for k, ids in zip(rest, self.merge([data[k] for k in rest])):
-                found[k] = ids
-            at, lengths = len(self.seen), np.array([len(ids) // 4 for ids in found], dtype=np.int64)
-            for i, slot in zip(new, range(at, at + len(new))):
-                self.seen[names[i]] = slots[i] = slot
-            begin = self.slot_ids.size
-            self.slot_ids.extend(np.frombuffer(b"".join(found), dtype="<i4"))
-            self.slot_from.extend(begin + np.cumsum(lengths) - lengths)
-            self.slot_len.extend(lengths)
-            self.seen_bytes += int(lengths.sum()) * 4 + sum(map(len, data)) + 160 * len(new)
-        return np.array(slots, dtype=np.int64)
-
-    def forget(self) -> None:
-        """Start the memory of pieces anew."""
-        self.seen: dict[str, int] = {}
-        self.seen_bytes = 0
-        self.slot_ids, self.slot_from, self.slot_len = Grown(np.int32), Grown(np.int64), Grown(np.int64)
+    def ids_of(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        data = [name.encode() for name in names]
+        whole = [self.tokens.get(d) if self.direct else None for d in data]
+        rest = [k for k, i in enumerate(whole) if i is None]
+        found = [b"" if i is None else i.to_bytes(4, "little") for i in whole]
+        for k, ids in zip(rest, self.merge([data[k] for k in rest])):
+            found[k] = ids
+        return np.frombuffer(b"".join(found), dtype="<i4"), np.array([len(ids) // 4 for ids in found], dtype=np.int64)
 
     def encode_flat(self, texts: list[str], added: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row (32-bit), and how many each text has.
@@ -268,16 +293,7 @@ class Vocabulary:
         """
         if added and self.added_pattern is not None and any(map(self.added_pattern.search, texts)):
             return self._encode_added(texts)
-        pieces, per_text = pretokens.cut(texts)
-        if not len(pieces):
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        coded = pieces.dictionary_encode()
-        slot = self._learn(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy(zero_copy_only=False)]
-        lengths = self.slot_len.values[slot]
-        ends = np.cumsum(lengths)
-        ids = self.slot_ids.values[np.repeat(self.slot_from.values[slot] - (ends - lengths), lengths) + np.arange(ends[-1])]
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))]
-        return ids, np.diff(bounds)
+        return self.gather(*pretokens.cut(texts))
 
     def _encode_added(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts, owner, fixed = [], [], []  # the parts between added tokens, their text, the token after each (-1: none)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -9,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.session import ensure_checkpoint_dir
+
 #: Characters of text that one step inside a task handles at once (a longer single text goes alone).
 CHUNK_CHARS = 2_000_000
 
@@ -23,6 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written once as Parquet in the shared folder and read back: computed once, and kept when executors are lost."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: A key with more rows than this, and than a thousandth of all rows, is split in joins.
 HOT_ROWS = 1_000
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, fingerprints, html_text, langid, packing, quality, secret_scan, sharding, simhash, warc
+from riskframe.llm import bpe, fingerprints, html_text, langid, packing, quality, secret_scan, sharding, simhash, token_alignment, warc
 from riskframe.llm.common import table
 from riskframe.session import cut_lineage, ensure_checkpoint_dir
 
@@ -102,6 +102,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
+    """Align the tokens of both tokenizers in every document and count the linked id pairs over all."""
+    found = token_alignment.align(table(spark, sf_dir, "documents"), path_a or public_tokenizers.path("byte_bpe_50k.json"),
+                                  path_b or public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_warc": op2_warc,
@@ -113,6 +120,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
+    "op11_alignment": op11_alignment,
 }
 
 _GROUPS = ", ".join(f"('0x' || substr(x, {10 * g + 1}, 10))::BIGINT AS g{g}" for g in range(4))

@@ -126,34 +126,6 @@ def test_vocabulary_is_built_once_in_a_process(spark):
     assert cloudpickle.loads(cloudpickle.dumps(get.func)) is bpe.load and get() is get()
 
 
-@given(st.lists(st.integers(1, 10_000), min_size=1, max_size=5), st.sampled_from([1, 8, 1024]))
-@settings(deadline=None)
-def test_pieces(totals, most):
-    which, starts, lengths = packing.pieces_of(np.array(totals), most)
-    for i, n in enumerate(totals):
-        mine = sorted((s, k) for w, s, k in zip(which.tolist(), starts.tolist(), lengths.tolist()) if w == i)
-        got = [k for _, k in mine]
-        assert [s for s, _ in mine] == [sum(got[:j]) for j in range(len(got))]
-        assert sum(got) == n and all(c & (c - 1) == 0 and 0 < c <= most for c in got) and got == sorted(got, reverse=True)
-        assert len(got) == n // most + bin(n % most).count("1")
-
-
-def test_added_tokens_only_where_asked():
-    vocab, own = bpe.Vocabulary.from_json(open(JSON, "rb").read()), Tokenizer.from_file(JSON)
-    own.encode_special_tokens = True
-    texts = ["a <|endoftext|> b", "", "x"]
-    got, counts = vocab.encode_flat(texts, added=False)
-    assert got.tolist() == sum((own.encode(t, add_special_tokens=False).ids for t in texts), []) and counts.sum() == len(got)
-
-
-def test_vocabulary_is_built_once_in_a_process(spark):
-    """Each task unpickles its own copy of the function; the vocabulary must not be among what is copied."""
-    from pyspark import cloudpickle
-    data = cloudpickle.dumps(bpe.vocabulary(spark, RANKS))
-    assert len(data) < 10_000
-    assert cloudpickle.loads(data)() is cloudpickle.loads(data)()
-
-
 def test_pack_frames(spark):
     own = Tokenizer.from_file(JSON)
     rows = packing.pack(documents(spark), JSON, keys=("doc_id", "text"), max_length=16).collect()
