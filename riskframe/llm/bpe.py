@@ -111,7 +111,9 @@ class Grown:
 
 
 class Remembering:
-    """The ids of pieces of text, remembered within ``REMEMBER_BYTES``."""
+    """The ids of pieces of text, remembered within ``remember`` bytes (``REMEMBER_BYTES`` where it is not set)."""
+
+    remember: int | None = None
 
     def ids_of(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these pieces in a row, and how many each has."""
@@ -125,7 +127,7 @@ class Remembering:
 
     def _slots(self, names: list[str]) -> np.ndarray:
         """Places of distinct pieces in the memory; those not there yet are looked up."""
-        if self.seen_bytes > REMEMBER_BYTES:
+        if self.seen_bytes > (REMEMBER_BYTES if self.remember is None else self.remember):
             self.forget()
         slots = list(map(self.seen.get, names))
         new = [i for i, slot in enumerate(slots) if slot is None]

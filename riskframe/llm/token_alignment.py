@@ -59,7 +59,11 @@ from riskframe.llm.common import chunks, shuffle_partitions, spread_join, stored
 #: Characters of a chunk of a document.
 CHUNK = 1 << 16
 #: Characters of a block of documents, within which an id pair is counted and asked for once.
-BLOCK = 8_000_000
+BLOCK = 4_000_000
+#: Characters of short documents summarised at once.
+STEP = 1_000_000
+#: Bytes of pieces that each tokenizer remembers in a worker process.
+REMEMBER = 40_000_000
 #: Neighbouring fragments that one composition of a round takes.
 FAN_IN = 16
 
@@ -226,6 +230,7 @@ class Aligner:
 
     def __init__(self, a: Vocabulary, b: Pieces):
         self.a, self.b, self.width = a, b, len(b.lengths)
+        a.remember = b.remember = REMEMBER
         if len(a.lengths) * self.width >= 1 << 32:
             raise ValueError("an id pair must fit 32 bits")
         self.decimal = pa.array([str(i) for i in range(max(len(a.lengths), self.width))])
@@ -434,7 +439,7 @@ def _short_blocks(docs: DataFrame, aligner, keys: Sequence[str], size: int, bloc
     def run(batches):
         align, out = aligner(), _Block(schema, TaskContext.get().partitionId() << 33)
         for batch in batches:
-            for part, texts in chunks(batch, "__text"):
+            for part, texts in chunks(batch, "__text", STEP):
                 has = [i for i, t in enumerate(texts) if t]
                 given = [" " + texts[i] for i in has]
                 figures = [(0, 0, 0, 0, "")] * len(texts)
