@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, fingerprints, html_text, langid, packing, phrases, quality, secret_scan, sharding, simhash, token_alignment, warc
+from riskframe.llm import bpe, fingerprints, html_text, langid, packing, phrases, quality, secret_scan, sharding, simhash, suffix_dedup, token_alignment, warc
 from riskframe.llm.common import table
 from riskframe.session import cut_lineage, ensure_checkpoint_dir
 
@@ -109,6 +109,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str, path_a: str | None = None,
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every passage of 400 bytes or more that stands elsewhere too."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's first 2000 phrases of two or three words."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
@@ -126,6 +131,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
     "op11_alignment": op11_alignment,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_phrases": op13_phrases,
 }
 
