@@ -270,14 +270,15 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     counts = (pairs.count(), triples.count())
     w1, w2 = F.shiftright("pair", 32).alias("w1"), second("pair").alias("w2")
     short = kept.select(w1, w2, "a")
-    short = spread_join(spread_join(short, one("w1"), "w1", counts[0], ["w2"]), one("w2"), "w2", counts[0], ["w1"])
+    for key, other in (("w1", "w2"), ("w2", "w1")):  # stored: a split join names its left side twice, a chain of them would double the plan each time
+        short = stored(spread_join(short, one(key), key, counts[0], [other]))
     short = short.select("lang", F.concat_ws(" ", "w1_word", "w2_word").alias("phrase"), "a",
                          F.array(F.struct(_score("a", F.col("w1_f"), F.col("w2_f")).alias("score"), F.lit(1).alias("k"),
                                           F.col("w1_f").alias("l"), F.col("w2_f").alias("r"))).alias("cuts"))
     long = triples.select(w1, w2, F.col("third").alias("w3"), "pair", "rest", "a")
     for key, other, right in (("w1", "w2", one("w1")), ("w2", "w1", one("w2")), ("w3", "w1", one("w3")),
                               ("pair", "w3", two("pair", "pair_f")), ("rest", "w1", two("rest", "rest_f"))):
-        long = spread_join(long, right, key, counts[1], [other])
+        long = stored(spread_join(long, right, key, counts[1], [other]))
     long = long.select("lang", F.concat_ws(" ", "w1_word", "w2_word", "w3_word").alias("phrase"), "a", F.array(
         *(F.struct(_score("a", F.col(x), F.col(y)).alias("score"), F.lit(k).alias("k"), F.col(x).alias("l"), F.col(y).alias("r"))
           for k, x, y in ((1, "w1_f", "rest_f"), (2, "pair_f", "w3_f")))).alias("cuts"))
