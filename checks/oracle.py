@@ -212,10 +212,28 @@ ORACLE.update({
                            f"count(*) AS n FROM ({g.SCORED}) s"),
 })
 
+def _smote_sql() -> str:
+    """Neighbours, the drawn pairs and the points on their segments, anew from the embeddings."""
+    h = "md5(no::VARCHAR || '|smote|42')"
+    made = ", ".join(f"{g.f32(f'x[{i + 1}] + gap * (y[{i + 1}] - x[{i + 1}])')} AS f{i}" for i in range(64))
+    kept = ", ".join(f"{g.f32(f'e[{i + 1}]')} AS f{i}" for i in range(64))
+    return (
+        "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(label = 0 AS INTEGER) AS y FROM embeddings), "
+        "m AS (SELECT vec_id, e, row_number() OVER (ORDER BY vec_id) - 1 AS rank FROM e WHERE y = 1), "
+        "d AS (SELECT a.rank, a.e AS x, b.e AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS pos "
+        "FROM m a JOIN m b ON a.vec_id <> b.vec_id), "
+        "c AS (SELECT count(*) AS n, CAST(floor((SELECT count(*) FROM e WHERE y = 0) * 0.5) - count(*) AS BIGINT) AS n_new FROM m), "
+        f"r AS (SELECT no, ('0x' || substr({h}, 1, 15))::BIGINT % (5 * (SELECT n FROM c)) AS pair, "
+        f"('0x' || substr({h}, 16, 8))::BIGINT / 4294967296.0 AS gap FROM range((SELECT n_new FROM c)) t(no)) "
+        f"SELECT vec_id, y, {kept}, false AS synthetic, CAST(NULL AS BIGINT) AS synthetic_no FROM e UNION ALL "
+        f"SELECT NULL, 1, {made}, true, no FROM r JOIN d ON d.rank = r.pair // 5 AND d.pos = r.pair % 5 + 1")
+
+
 ORACLE.update({
     "smp6_smote_neighbours": (
-        "WITH m AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label = 0), "
+        "WITH m AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), "
         "d AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_distance(a.e, b.e) AS dist FROM m a JOIN m b ON a.vec_id <> b.vec_id), "
         "r AS (SELECT vec_id, neighbour_id, row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour_id) AS pos FROM d) "
         "SELECT vec_id, CAST(pos AS INTEGER) AS pos, neighbour_id FROM r WHERE pos <= 5"),
+    "smp6_smote_rows": _smote_sql(),
 })

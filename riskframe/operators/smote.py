@@ -1,155 +1,73 @@
-"""SMOTE (SMP6): exact k nearest minority neighbours without an all-pairs step.
+"""SMOTE (SMP6): synthetic minority rows between exact nearest neighbours.
 
-1. Every minority point gets a score s = u . x on a fixed random unit vector u
-   and a global rank in (s, hash) order (``ordered_cumsum`` + ``rank_within``,
-   no single-task window).  Ranks are cut into blocks of B points.
-2. Candidates of a point are the points of its own and its two neighbouring
-   blocks (at most 3B), so the first pass compares a bounded number of pairs
-   per point; the k closest give a radius r_k.
-3. Certification: |s(x) - s(y)| <= ||x - y||, so a point y outside the
-   examined blocks can only beat the k-th neighbour if its score lies within
-   r_k of s(x).  When the nearest unexamined block boundary is farther than
-   r_k on both sides, the k neighbours are exact.  Otherwise the window grows
-   (ring of blocks at distance W+1..2W) for the uncertified points only, and
-   the check repeats until every point is certified -- no cap on candidates.
-4. Synthetic rows: ``int(n_major * ratio - n_minor)`` rows from ``range``;
-   row j picks (point, neighbour) = md5(j) mod (n_minor * k) and a gap in
-   [0, 1) from a second hash; x_new = x + gap * (neighbour - x).  All joins
-   are equi-joins on rank / id.
+1. Minority points are numbered in the order of their id: rows are range-partitioned
+   and sorted, partitions' counts give the offsets (no single-task window).
+2. ``neighbours.nearest`` finds each point's k nearest minority points, exactly.
+3. ``int(n_major * ratio - n_minor)`` rows from ``range``: row j picks a (point,
+   neighbour) pair and a gap in [0, 1) by a hash of j; x_new = x + gap * (neighbour - x).
 
-Ties in distance are broken by the neighbour's hash rank (deterministic).
+A point is one array column throughout; joins are on numbers and ids.  A hash-drawn
+pair is spread evenly, so no key of these joins is hot.
 """
 
 from __future__ import annotations
 
-import json
-
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import q
-from riskframe.operators.ordered import ordered_cumsum
-from riskframe.operators.sampling import rank_within
+from riskframe.operators.neighbours import CELL, nearest
 from riskframe.session import cut_lineage
 
-BLOCK = 64
-
-
-def _score(features: list[str], seed: int) -> F.Column:
-    rng = np.random.default_rng(seed)
-    u = rng.normal(size=len(features))
-    u = u / np.linalg.norm(u)
-    values = F.expr("array(" + ", ".join(f"cast({q(f)} as double)" for f in features) + ")")
-    weights = F.from_json(F.lit(json.dumps([float(w) for w in u])), "array<double>")
-    return F.aggregate(F.zip_with(values, weights, lambda x, w: x * w), F.lit(0.0), lambda total, x: total + x)
-
-
-def _sqdist(features: list[str], a: str, b: str) -> F.Column:
-    left, right = (F.expr("array(" + ", ".join(f"{side}.{q(f)}" for f in features) + ")") for side in (a, b))
-    return F.aggregate(F.zip_with(left, right, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x)
-
-
-def ranked_points(points: DataFrame, id_col: str, features: list[str], seed: int = 42) -> DataFrame:
-    """(id, rank, blk, s, features...) with a global exact rank in (s, hash) order."""
-    p = points.select(F.col(q(id_col)).alias("_id"), *[F.col(q(f)).cast("double").alias(f) for f in features])
-    p = cut_lineage(p.withColumn("_s", _score(features, seed)))
-    per_s = p.groupBy("_s").agg(F.count(F.lit(1)).alias("_c"))
-    cum = ordered_cumsum(per_s, "_s", ["_c"], prefix="cum")
-    local = rank_within(p, "_s", "_id", seed, out="_lr")
-    r = local.join(cum.select("_s", (F.col("cum_c") - F.col("_c")).alias("_before")), "_s")
-    r = r.withColumn("_rank", (F.col("_before") + F.col("_lr") - 1).cast("long")).drop("_before", "_lr")
-    return r.withColumn("_blk", F.floor(F.col("_rank") / F.lit(BLOCK)).cast("long"))
-
 
-def _block_bounds(r: DataFrame) -> DataFrame:
-    return r.groupBy("_blk").agg(F.min("_s").alias("_smin"), F.max("_s").alias("_smax"))
+def numbered(points: DataFrame, order: str) -> DataFrame:
+    """The rows with ``rank``: 0, 1, ... in the order of a column without repeats."""
+    sorted_rows = points.repartitionByRange(order).sortWithinPartitions(order)
+    rows = cut_lineage(sorted_rows.withColumn("__at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("__part", F.shiftright("__at", 33))
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__part", before.alias("__from"))
+    rank = F.col("__from") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(offsets), "__part").withColumn("rank", rank).drop("__at", "__part", "__from")
 
 
-def _top_k(cands: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("_id").orderBy("_d2", "_nrank")
-    return cands.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") <= k)
-
-
-def _candidates(r: DataFrame, who: DataFrame, offsets_col: F.Column, features: list[str]) -> DataFrame:
-    """Distances from the points in ``who`` (id, blk) to every point of the
-    blocks blk + offsets."""
-    q_ = who.select("_id", "_blk", F.explode(offsets_col).alias("_off")).withColumn("_tblk", F.col("_blk") + F.col("_off"))
-    me = r.select("_id", *features).alias("a")
-    other = r.select(F.col("_id").alias("_nid"), F.col("_rank").alias("_nrank"), F.col("_blk").alias("_tblk"),
-                     *features).alias("b")
-    j = q_.join(other, "_tblk").join(me, "_id").filter(F.col("_nid") != F.col("_id"))
-    return j.select("_id", "_nid", "_nrank", _sqdist(features, "a", "b").alias("_d2"))
-
-
-def exact_knn(r: DataFrame, features: list[str], k: int = 5) -> DataFrame:
-    """(_id, _nid, _pos, _d2): the k nearest other points of every point (exact)."""
-    r = cut_lineage(r)
-    bounds = cut_lineage(_block_bounds(r))
-    n_blocks_row = bounds.agg(F.max("_blk")).first()[0]
-    last_blk = int(n_blocks_row) if n_blocks_row is not None else 0
-    who = r.select("_id", "_blk", "_s")
-    best = _top_k(_candidates(r, who, F.array(F.lit(-1), F.lit(0), F.lit(1)), features), k)
-    best = cut_lineage(best)
-    width = 1
-    while True:  # the window doubles, so it covers all blocks after log2(blocks) rounds
-        # radius and the score gap to the nearest unexamined block on each side
-        rad = best.groupBy("_id").agg(F.max("_d2").alias("_r2"), F.count(F.lit(1)).alias("_n"))
-        st = who.join(rad, "_id", "left")
-        left = bounds.select((F.col("_blk") + width + 1).alias("_blk"), F.col("_smax").alias("_lmax"))
-        right = bounds.select((F.col("_blk") - width - 1).alias("_blk"), F.col("_smin").alias("_rmin"))
-        st = st.join(left, "_blk", "left").join(right, "_blk", "left")
-        r_k = F.sqrt(F.col("_r2"))
-        ok_left = F.col("_lmax").isNull() | ((F.col("_s") - F.col("_lmax")) > r_k)
-        ok_right = F.col("_rmin").isNull() | ((F.col("_rmin") - F.col("_s")) > r_k)
-        # fewer than k found with blocks left to look at also needs a wider window
-        more_left = F.col("_blk") - width > 0
-        more_right = F.col("_blk") + width < last_blk
-        full = F.coalesce(F.col("_n"), F.lit(0)) >= k
-        open_ = (~full & (more_left | more_right)) | (full & ~(ok_left & ok_right))
-        todo = cut_lineage(st.filter(open_).select("_id", "_blk"))
-        if todo.isEmpty():
-            return best
-        if width > last_blk:
-            raise RuntimeError("nearest-neighbour window covers all blocks but points remain uncertified")
-        ring = list(range(-2 * width, -width)) + list(range(width + 1, 2 * width + 1))
-        extra = _candidates(r, todo, F.array(*[F.lit(o) for o in ring]), features)
-        keep = best.join(todo.select("_id"), "_id", "left_anti")
-        upd = _top_k(best.join(todo.select("_id"), "_id", "left_semi").select("_id", "_nid", "_nrank", "_d2")
-                     .unionByName(extra), k)
-        best = cut_lineage(keep.unionByName(upd))
-        width *= 2
+def points_of(rows: DataFrame, id_col: str, features: list[str]) -> DataFrame:
+    """``id`` and ``x``, the features as one array."""
+    return rows.select(F.col(q(id_col)).alias("id"), F.expr("array(" + ", ".join(f"cast({q(f)} as double)" for f in features) + ")").alias("x"))
 
 
 def smote(data: DataFrame, label: str, id_col: str, features: list[str], ratio: float = 1.0, k: int = 5,
-          seed: int = 42) -> DataFrame:
+          seed: int = 42, cell: int = CELL) -> DataFrame:
     """Original rows plus ``int(n_major * ratio - n_minor)`` synthetic minority
-    rows (label 1, id NULL, ``synthetic`` = true, numbered by ``synthetic_no``)."""
-    counts = {r[label]: r["n"] for r in data.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows (the minority's label, id NULL, ``synthetic`` = true, numbered by ``synthetic_no``).
+
+    Ids are different whole numbers; features have no nulls."""
+    counts = {r[label]: r["n"] for r in data.groupBy(q(label)).agg(F.count(F.lit(1)).alias("n")).collect()}
+    base = data.select(q(id_col), q(label), *[F.col(q(f)).cast("double").alias(f) for f in features], F.lit(False).alias("synthetic"),
+                       F.lit(None).cast("long").alias("synthetic_no"))
+    if not counts:
+        return base
     minority = min(counts, key=lambda c: (counts[c], c))
     n_min = counts[minority]
     n_maj = max(v for c, v in counts.items() if c != minority) if len(counts) > 1 else 0
     n_new = int(n_maj * ratio - n_min)
-    base = data.select(q(id_col), q(label), *[q(f) for f in features], F.lit(False).alias("synthetic"),
-                       F.lit(None).cast("long").alias("synthetic_no"))
     if n_new <= 0 or n_min < 2:
         return base
     kk = min(k, n_min - 1)
-    r = ranked_points(data.filter(F.col(q(label)) == minority), id_col, features, seed)
-    r = cut_lineage(r)
-    nn = exact_knn(r, features, kk)
-    spark = data.sparkSession
-    h = F.md5(F.concat(F.col("id").cast("string"), F.lit(f"|smote|{seed}")))
-    gen = spark.range(n_new).select(F.col("id").alias("_no"),
-        F.pmod(F.conv(F.substring(h, 1, 15), 16, 10).cast("long"), F.lit(n_min * kk)).alias("_pair"),
-        (F.conv(F.substring(h, 16, 8), 16, 10).cast("double") / F.lit(float(16 ** 8))).alias("_gap"))
-    gen = gen.select("_no", (F.floor(F.col("_pair") / kk)).cast("long").alias("_rank"),
-                     (F.col("_pair") % kk + 1).cast("int").alias("_pos"), "_gap")
-    pts = r.select("_id", "_rank", *features)
-    x = gen.join(pts, "_rank").join(nn.select("_id", "_pos", "_nid"), ["_id", "_pos"])
-    nb = r.select(F.col("_id").alias("_nid"), *[F.col(f).alias(f"_n_{f}") for f in features])
-    x = x.join(nb, "_nid")
-    synth = x.select(F.lit(None).cast(data.schema[id_col].dataType).alias(id_col), F.lit(minority).alias(label),
-                     *[(F.col(f) + F.col("_gap") * (F.col(f"_n_{f}") - F.col(f))).alias(f) for f in features],
-                     F.lit(True).alias("synthetic"), F.col("_no").alias("synthetic_no"))
-    return base.unionByName(synth)
+    points = cut_lineage(numbered(points_of(data.filter(F.col(q(label)) == minority), id_col, features), "id"))
+    found = nearest(points, "id", "x", kk, cell, seed).rows
+    h = F.md5(F.concat(F.col("no").cast("string"), F.lit(f"|smote|{seed}")))
+    drawn = data.sparkSession.range(n_new).select(F.col("id").alias("no")).select(
+        "no", F.pmod(F.conv(F.substring(h, 1, 15), 16, 10).cast("long"), F.lit(n_min * kk)).alias("pair"),
+        (F.conv(F.substring(h, 16, 8), 16, 10).cast("double") / F.lit(float(16 ** 8))).alias("gap"))
+    drawn = drawn.select("no", F.floor(F.col("pair") / kk).cast("long").alias("rank"), (F.col("pair") % kk + 1).cast("int").alias("position"), "gap")
+    ends = points.select(F.col("id").alias("neighbour"), F.col("x").alias("y"))
+    pairs = (drawn.join(points, "rank").join(found.select("id", "position", "neighbour"), ["id", "position"]).join(ends, "neighbour"))
+    made = pairs.select("no", "gap", F.zip_with("x", "y", lambda a, b: b - a).alias("way"), "x").select(
+        "no", F.zip_with("x", F.transform("way", lambda w: F.col("gap") * w), lambda a, w: a + w).alias("x"))
+    made = cut_lineage(made)
+    synthetic = made.select(F.lit(None).cast(data.schema[id_col].dataType).alias(id_col), F.lit(minority).cast(data.schema[label].dataType).alias(label),
+                            *[F.get("x", F.lit(i)).alias(f) for i, f in enumerate(features)], F.lit(True).alias("synthetic"),
+                            F.col("no").alias("synthetic_no"))
+    return base.unionByName(synthetic)

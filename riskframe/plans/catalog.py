@@ -473,20 +473,19 @@ def F_col(name):
 
 
 # --- SMOTE (exact neighbours on the minority of the embeddings) ------------------------------------
+from riskframe.operators import neighbours as NB  # noqa: E402
 from riskframe.operators import smote as SMOTE  # noqa: E402
 
 
 @register("smp6_smote_neighbours")
 def q_smote_nn(spark, sf):
-    from pyspark.sql import functions as F
+    """All embeddings' nearest neighbours, in cells small enough that there are several."""
     data, feats = TR.embedding_matrix(Tables(spark, sf))
-    r = SMOTE.ranked_points(data.filter("y = 1"), "vec_id", feats)
-    nn = SMOTE.exact_knn(r, feats, 5)
-    return nn.select(F.col("_id").alias("vec_id"), F.col("_pos").cast("int").alias("pos"),
-                     F.col("_nid").alias("neighbour_id"))
+    found = NB.nearest(SMOTE.points_of(data, "vec_id", feats), "id", "x", 5, cell=128).rows
+    return found.selectExpr("id AS vec_id", "CAST(position AS INT) AS pos", "neighbour AS neighbour_id")
 
 
 @register("smp6_smote_rows")
 def q_smote_rows(spark, sf):
     data, feats = TR.embedding_matrix(Tables(spark, sf))
-    return SMOTE.smote(data, "y", "vec_id", feats, ratio=0.5, k=5)
+    return feat.snap_doubles(SMOTE.smote(data, "y", "vec_id", feats, ratio=0.5, k=5))
