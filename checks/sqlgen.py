@@ -315,10 +315,15 @@ KDE_SQL = (f"WITH d AS ({PBY}), st AS (SELECT y, count(l_quantity) AS n, stddev_
            "st2 AS (SELECT *, sd * pow(n::DOUBLE, -0.2) AS h FROM st), "
            "st3 AS (SELECT *, mn - 3.0 * h AS lo, mx + 3.0 * h AS hi FROM st2), "
            "g AS (SELECT y, gi, CASE WHEN gi = 199 THEN hi ELSE lo + gi::DOUBLE * ((hi - lo) / 199.0) END AS x, n, h "
-           "FROM st3, range(0, 200) r(gi)) "
+           "FROM st3, range(0, 200) r(gi)), "
+           # linear binning on nodes of h / 256
+           "b AS (SELECT d.y, lo, h, (l_quantity - lo) / (h / 256.0) AS pos FROM d JOIN st3 ON d.y = st3.y), "
+           "nodes AS (SELECT y, lo + floor(pos) * (h / 256.0) AS node, 1 - (pos - floor(pos)) AS w FROM b UNION ALL "
+           "SELECT y, lo + (floor(pos) + 1) * (h / 256.0), pos - floor(pos) FROM b), "
+           "k AS (SELECT y, node, sum(w) AS w FROM nodes GROUP BY y, node) "
            f"SELECT g.y, CAST(gi AS INTEGER) AS gi, {f32('x')} AS x, "
-           f"{f32('sum(exp(-0.5 * ((x - l_quantity) / h) * ((x - l_quantity) / h))) / (max(n) * max(h) * sqrt(2 * pi()))')} AS density "
-           "FROM g JOIN d ON g.y = d.y GROUP BY g.y, gi, x")
+           f"{f32('sum(w * exp(-0.5 * ((x - node) / h) * ((x - node) / h))) / (max(n) * max(h) * sqrt(2 * pi()))')} AS density "
+           "FROM g JOIN k ON g.y = k.y GROUP BY g.y, gi, x")
 
 
 def fixed_bins_sql():
