@@ -1,8 +1,9 @@
 """Prediction log: writer (SNK2, SNK3, SNK6) and reader (SRC4, TOP1).
 
-The log is an append-only Parquet table partitioned by ``model_version`` and
-``ds`` (the UTC day); those partition columns replace the store's indexes, so
-a scan for one model or one day prunes files.  Schema (FIXTURES F1):
+The log is an append-only Parquet table of committed batches (see
+``transactions``) partitioned by ``model_version`` and ``ds`` (the UTC day); those
+partition columns replace the store's indexes, so a scan for one model or one
+day prunes files.  Schema (FIXTURES F1):
 log_seq, ts_utc, request_id, model_version, proba_default, threshold,
 decision, latency_ms, input_json.
 """
@@ -10,11 +11,14 @@ decision, latency_ms, input_json.
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskframe.functions.expr import clean_double, q
+from riskframe.sources.transactions import TransactionLog
 
 LOG_COLUMNS = ["log_seq", "ts_utc", "request_id", "model_version", "proba_default", "threshold",
                "decision", "latency_ms", "input_json"]
@@ -29,14 +33,31 @@ def json_safe_payload(features: list[str]) -> F.Column:
     return F.to_json(F.map_from_arrays(names, F.transform(values, clean_double)), {"ignoreNullFields": "false"})
 
 
-def append_predictions(log_rows: DataFrame, path: str) -> None:
-    """SNK2/SNK3: one append job for a whole batch (a one-row batch is SNK2)."""
-    (log_rows.withColumn("ds", F.to_date("ts_utc"))
-     .write.mode("append").partitionBy("model_version", "ds").parquet(path))
+#: A log row as stored: ``log_seq`` is given by the commit, ``row_index`` is the request's own number.
+STORED = T.StructType([T.StructField(n, t) for n, t in (
+    ("row_index", T.LongType()), ("ts_utc", T.TimestampType()), ("request_id", T.StringType()), ("model_version", T.StringType()),
+    ("proba_default", T.DoubleType()), ("threshold", T.DoubleType()), ("decision", T.IntegerType()), ("latency_ms", T.DoubleType()),
+    ("input_json", T.StringType()), ("ds", T.DateType()))])
 
 
-def read_log(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def prediction_log(spark: SparkSession, path: str) -> TransactionLog:
+    """The log at ``path``: batches are transactions, files are partitioned by model version and day."""
+    return TransactionLog(spark, path, ("model_version", "ds"))
+
+
+def append_predictions(log_rows: DataFrame, path: str, batch: str | None = None) -> bool:
+    """SNK2/SNK3: one transaction for a whole batch (a one-row batch is SNK2), in the order of the requests.
+
+    A batch id that is in the log already adds nothing (false), so a retry after a commit is harmless; without an id
+    every call is a batch of its own."""
+    rows = log_rows.withColumnRenamed("log_seq", "row_index").withColumn("ds", F.to_date("ts_utc"))
+    rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in STORED.fields])
+    return prediction_log(log_rows.sparkSession, path).append(rows, batch or uuid.uuid4().hex, "row_index")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The committed rows with their gapless ``log_seq``."""
+    return prediction_log(spark, path).read(STORED)
 
 
 def latest(log: DataFrame, limit: int | None = 2000, order_cols=("ts_utc", "log_seq")) -> DataFrame:
@@ -61,18 +82,14 @@ def payload_long(parsed: DataFrame, id_col: str = "log_seq") -> DataFrame:
     return parsed.select(q(id_col), F.explode("payload").alias("feature", "value"))
 
 
-#: Most distinct payload keys that ``payload_wide`` turns into columns by itself.
-MAX_PAYLOAD_KEYS = 10_000
-
-
-def payload_wide(parsed: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Union of keys as columns (text).  The key list is found with one small
-    distinct job unless given; a log with more than ``MAX_PAYLOAD_KEYS`` keys
-    is refused by name (no table has that many columns), never cut."""
+def payload_wide(parsed: DataFrame, keys: list[str] | None = None, max_keys: int | None = None) -> DataFrame:
+    """Union of keys as columns (text).  The key list is found with one distinct job unless given; it becomes the
+    result's columns.  With ``max_keys``, a log with more keys is refused by name, never cut."""
     if keys is None:
-        found = parsed.select(F.explode(F.map_keys("payload"))).distinct().limit(MAX_PAYLOAD_KEYS + 1).collect()
-        if len(found) > MAX_PAYLOAD_KEYS:
-            raise ValueError(f"the payloads hold more than {MAX_PAYLOAD_KEYS} different keys: name the wanted ones")
+        found = parsed.select(F.explode(F.map_keys("payload"))).distinct()
+        found = (found if max_keys is None else found.limit(max_keys + 1)).collect()
+        if max_keys is not None and len(found) > max_keys:
+            raise ValueError(f"the payloads hold more than {max_keys} different keys: name the wanted ones")
         keys = sorted(r[0] for r in found)
     return parsed.select(*[F.try_element_at(F.col("payload"), F.lit(k)).alias(k) for k in keys])
 
