@@ -237,3 +237,7 @@ ORACLE.update({
         "SELECT vec_id, CAST(pos AS INTEGER) AS pos, neighbour_id FROM r WHERE pos <= 5"),
     "smp6_smote_rows": _smote_sql(),
 })
+
+from checks.oracle_io import ORACLE_IO  # noqa: E402
+
+ORACLE.update(ORACLE_IO)

@@ -489,3 +489,6 @@ def q_smote_nn(spark, sf):
 def q_smote_rows(spark, sf):
     data, feats = TR.embedding_matrix(Tables(spark, sf))
     return feat.snap_doubles(SMOTE.smote(data, "y", "vec_id", feats, ratio=0.5, k=5))
+
+
+from riskframe.plans import catalog_io  # noqa: E402, F401
