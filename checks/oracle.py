@@ -239,5 +239,6 @@ ORACLE.update({
 })
 
 from checks.oracle_io import ORACLE_IO  # noqa: E402
+from checks.oracle_ml import ORACLE_ML  # noqa: E402
 
-ORACLE.update(ORACLE_IO)
+ORACLE.update(ORACLE_IO | ORACLE_ML)

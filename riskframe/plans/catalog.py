@@ -342,6 +342,28 @@ def q_gbt(spark, sf):
                                  ", ".join(f"{k} double" for k in sorted(res) if k.endswith(("auc", "ap"))))
 
 
+@register("ml7_boosted_tree")
+def q_boosted_tree(spark, sf):
+    """One tree of three leaves with penalties, on all embeddings in bins of 0.05: its splits and leaf values."""
+    from pyspark.sql import functions as F
+    from riskframe.operators import boosting as B
+    data, feats = TR.embedding_matrix(Tables(spark, sf))
+    rows = data.select(F.col("vec_id").alias("key"), "y", F.lit(1.0).alias("w"), F.array(*feats).alias("x"))
+    growth = B.Growth(n_estimators=1, learning_rate=1.0, num_leaves=3, min_child_samples=20, reg_alpha=0.5, reg_lambda=2.0)
+    tree = B.fit_trees(rows, growth, [[round(-0.25 + 0.05 * i, 2) for i in range(11)]] * len(feats))["trees"][0]
+    out, todo = [], [("0", "R")]
+    while todo:
+        node, path = todo.pop()
+        n = int(tree["counts"][node])
+        if node in tree["splits"]:
+            s = tree["splits"][node]
+            out.append((path, n, feats[s["feature"]], s["bin"], s["gain"], None))
+            todo += [(str(s["left"]), path + "L"), (str(s["right"]), path + "R")]
+        else:
+            out.append((path, n, None, None, None, tree["values"][node]))
+    return feat.snap_doubles(spark.createDataFrame(out, "node string, n long, feature string, bin int, gain double, value double"))
+
+
 # --- projections, filters, encodings (PRJ1-PRJ14) ---------------------------------------------
 from riskframe.functions.expr import safe_div  # noqa: E402
 from riskframe.operators import encode as ENC  # noqa: E402

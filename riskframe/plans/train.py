@@ -11,6 +11,7 @@ Binding on the driver tables: ``embeddings`` (64 floats) with
 
 from __future__ import annotations
 
+import dataclasses
 import json
 import math
 import random
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.expr import q
 from riskframe.operators import metrics as M
+from riskframe.operators.boosting import BoostedTrees, BoostedTreesModel, Growth
 from riskframe.operators.preprocess import MedianImputer, Standardizer, class_weights
 from riskframe.operators.sampling import stratified_folds, under_sample
 from riskframe.operators.smote import smote
@@ -67,24 +69,29 @@ def random_forest(n_estimators: int = 100, max_depth: int | None = None, min_sam
 GBT_PARAM_MAP = {"n_estimators": "maxIter", "learning_rate": "stepSize", "subsample": "subsamplingRate",
                  "max_depth": "maxDepth", "colsample_bytree": "featureSubsetStrategy", "random_state": "seed",
                  "min_child_samples": "minInstancesPerNode"}
-#: Leaf penalties, which Spark's boosted trees do not have.
-GBT_UNSUPPORTED = ("reg_alpha", "reg_lambda")
-
-
-def gradient_boosting(unsupported: str = "raise", **params):
-    """ML7: one ``GBTClassifier`` for the reference's boosters.
-
-    ``num_leaves`` becomes the depth of a full tree with that many leaves (with ``max_depth``, the smaller of both).
-    Parameters without a Spark counterpart are refused by name; ``unsupported="drop"`` leaves out the leaf penalties, so that
-    a search grid that holds them can run."""
-    bad = [k for k in params if k not in GBT_PARAM_MAP and k != "num_leaves" and not (unsupported == "drop" and k in GBT_UNSUPPORTED)]
+#: What only the library's own boosted trees have: penalties on leaves, a number of leaves, a least gain.
+OWN_BOOSTER = ("reg_alpha", "reg_lambda", "num_leaves", "min_split_gain", "min_child_weight")
+
+
+def gradient_boosting(key: str = "", **params):
+    """ML7: one estimator for the reference's boosters.
+
+    With leaf penalties, ``num_leaves`` or the like the trees are those of ``operators.boosting`` (histograms, leaf-wise growth);
+    else Spark's ``GBTClassifier``.  A parameter that neither has is refused by name."""
+    if any(k in params for k in OWN_BOOSTER):
+        known = {f.name for f in dataclasses.fields(Growth)}
+        if bad := sorted(set(params) - known):
+            raise ValueError(f"no parameter of boosted trees: {bad}")
+        if "max_depth" in params and "num_leaves" not in params:  # depth-wise growth: as many leaves as the depth allows
+            depth = int(params["max_depth"])
+            params = {**params, "num_leaves": 1 << depth} if 0 < depth < 16 else params
+        return BoostedTrees(growth=json.dumps(params), key=key)
+    bad = [k for k in params if k not in GBT_PARAM_MAP]
     if bad:
         raise ValueError(f"no Spark GBT parameter for {bad}")
-    kw = {GBT_PARAM_MAP[k]: str(v) if k == "colsample_bytree" else v for k, v in params.items() if k in GBT_PARAM_MAP}
+    kw = {GBT_PARAM_MAP[k]: str(v) if k == "colsample_bytree" else v for k, v in params.items()}
     if kw.get("maxDepth", 1) < 1:
         del kw["maxDepth"]  # "no limit" in the reference's boosters
-    if "num_leaves" in params:
-        kw["maxDepth"] = min(kw.get("maxDepth", MAX_DEPTH), max(1, (int(params["num_leaves"]) - 1).bit_length()))
     return GBTClassifier(featuresCol="features", labelCol="y", **kw)
 
 
@@ -311,7 +318,7 @@ def random_search(make_estimator, grid: dict[str, list], data: DataFrame, featur
 
 def importances(spark: SparkSession, model, features: list[str]) -> DataFrame:
     """ML11: (feature, importance) sorted descending (ties by name)."""
-    imp = model.featureImportances.toArray().tolist()
+    imp = model.gains() if isinstance(model, BoostedTreesModel) else model.featureImportances.toArray().tolist()
     df = spark.createDataFrame(list(zip(features, [float(x) for x in imp])), "feature string, importance double")
     return df.orderBy(F.desc("importance"), "feature")
 

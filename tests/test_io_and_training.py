@@ -117,10 +117,12 @@ def test_estimator_parameters(spark):
     grid = {"num_leaves": [15, 31], "min_child_samples": [10, 20], "reg_lambda": [0.0, 1.0], "reg_alpha": [0.0]}
     draws = TR.draw_parameters(grid, 5)
     assert len({tuple(sorted(d.items())) for d in draws}) == 5 and TR.draw_parameters(grid, 100) and len(TR.draw_parameters(grid, 100)) == 8
-    gbt = TR.gradient_boosting("drop", **draws[0])
-    assert gbt.getMaxDepth() in (4, 5) and gbt.getMinInstancesPerNode() == draws[0]["min_child_samples"]
-    with pytest.raises(ValueError, match="reg_lambda"):
-        TR.gradient_boosting(reg_lambda=1.0)
+    own = TR.gradient_boosting(**draws[0])
+    assert json.loads(own.getOrDefault("growth")) == draws[0]
+    gbt = TR.gradient_boosting(max_depth=4, min_child_samples=7)
+    assert gbt.getMaxDepth() == 4 and gbt.getMinInstancesPerNode() == 7
+    with pytest.raises(ValueError, match="colour"):
+        TR.gradient_boosting(colour=1.0)
     with pytest.raises(ValueError, match="max_depth"):
         TR.random_forest(max_depth=31)
     assert TR.random_forest(balanced=True).getWeightCol() == "weight" and TR.random_forest().getMaxDepth() == 30
