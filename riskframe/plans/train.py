@@ -17,8 +17,10 @@ import math
 import random
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -98,13 +100,15 @@ def gradient_boosting(key: str = "", **params):
 WEIGHT = "weight"
 
 
-def fit_estimator(estimator, train: DataFrame):
-    """Fit on prepared training rows: an estimator that depends on their number gets it, one with a weight column gets class weights."""
+def fit_estimator(estimator, train: DataFrame, rows: int | None = None):
+    """Fit on prepared training rows: an estimator that depends on their number gets it, one with a weight column gets class weights
+    (which rows may have already), any other does not see them."""
     if not isinstance(estimator, Estimator):
-        estimator = estimator(train.count())
-    if estimator.hasParam("weightCol") and estimator.isDefined("weightCol") and estimator.getOrDefault("weightCol") == WEIGHT:
+        estimator = estimator(train.count() if rows is None else rows)
+    weighted = estimator.hasParam("weightCol") and estimator.isDefined("weightCol") and estimator.getOrDefault("weightCol") == WEIGHT
+    if weighted and WEIGHT not in train.columns:
         train = class_weights(train, "y")
-    return estimator.fit(train)
+    return estimator.fit(train if weighted else train.drop(WEIGHT))
 
 
 # ---------------------------------------------------------------- data
@@ -240,18 +244,25 @@ def resampled(rows: DataFrame, features: list[str], key: str, smote_ratio: float
     return out if under_ratio is None else under_sample(out, "y", key, under_ratio, seed)
 
 
-def run_model_cv(estimator, data: DataFrame, features: list[str], key: str = "vec_id", n_splits: int = 3,
-                 seed: int = 42, threshold: float = 0.5, use_sampling: bool = False, smote_ratio: float = 1.0,
-                 use_under: bool = False, under_ratio: float = 1.0,
-                 log: RunLog | None = None, name: str = "cv") -> dict:
-    """ML9: stratified folds; preprocessing and resampling fitted inside each
-    training fold only (never on validation rows); out-of-fold probabilities;
-    per-fold auc/ap/f1 and their means (EV10); global OOF metrics (EV6)."""
+@dataclass
+class Fold:
+    """One fold's prepared rows: ``train`` and ``valid`` with their vector column, both stored; ``rows``: the number of training rows."""
+
+    number: int
+    train: DataFrame
+    valid: DataFrame
+    rows: int
+
+
+def prepare_folds(data: DataFrame, features: list[str], key: str = "vec_id", n_splits: int = 3, seed: int = 42, use_sampling: bool = False,
+                  smote_ratio: float = 1.0, use_under: bool = False, under_ratio: float = 1.0) -> list[Fold]:
+    """Stratified folds with preprocessing and resampling fitted inside each training fold only (never on validation rows).
+
+    Everything that does not depend on an estimator is done here, once, and stored, so that any number of estimators share it."""
     folded = cut_lineage(stratified_folds(data, "y", key, n_splits, seed))
-    oof_parts, fold_rows = [], []
+    folds = []
     for k in range(n_splits):
-        tr = folded.filter(F.col("fold") != k)
-        va = folded.filter(F.col("fold") == k)
+        tr, va = folded.filter(F.col("fold") != k), folded.filter(F.col("fold") == k)
         prep = prepare(tr, features)          # fitted on the training fold, applied to both
         fit_prep = prep
         if use_sampling:
@@ -259,22 +270,41 @@ def run_model_cv(estimator, data: DataFrame, features: list[str], key: str = "ve
             tr = prep.scaler.transform(prep.imputer.transform(tr))
             tr = resampled(tr, features, key, smote_ratio, under_ratio if use_under else None, seed)
             fit_prep = Prepared(MedianImputer({}, []), Standardizer({}, {}, False), features)
-        model = fit_estimator(estimator, fit_prep.apply(tr))
-        p = positive_proba(model, prep.apply(va)).select(key, "y", "p", F.lit(k).alias("fold"))
-        p = cut_lineage(p)
+        train = class_weights(fit_prep.apply(tr).select(key, "y", "features"), "y")
+        train = cut_lineage(train)
+        folds.append(Fold(k, train, cut_lineage(prep.apply(va).select(key, "y", "features")), train.count()))
+    return folds
+
+
+def score_folds(estimator, folds: list[Fold], key: str = "vec_id", threshold: float = 0.5) -> tuple[DataFrame, list[tuple]]:
+    """Out-of-fold probabilities (key, y, p, fold) and per fold its number from 1, auc, ap, f1."""
+    parts, rows = [], []
+    for fold in folds:
+        model = fit_estimator(estimator, fold.train, fold.rows)
+        p = cut_lineage(positive_proba(model, fold.valid).select(key, "y", "p", F.lit(fold.number).alias("fold")))
         m = M.metrics_dict(p, threshold)
-        fold_rows.append((k + 1, m["auc"], m["ap"], m["f1"]))
-        oof_parts.append(p)
-    oof = oof_parts[0]
-    for part in oof_parts[1:]:
+        rows.append((fold.number + 1, m["auc"], m["ap"], m["f1"]))
+        parts.append(p)
+    oof = parts[0]
+    for part in parts[1:]:
         oof = oof.unionByName(part)
-    spark = data.sparkSession
-    folds = spark.createDataFrame(fold_rows, "fold int, auc double, ap double, f1 double")
-    means = M.fold_means(folds, ["auc", "ap", "f1"]).first().asDict()
+    return oof, rows
+
+
+def run_model_cv(estimator, data: DataFrame, features: list[str], key: str = "vec_id", n_splits: int = 3,
+                 seed: int = 42, threshold: float = 0.5, use_sampling: bool = False, smote_ratio: float = 1.0,
+                 use_under: bool = False, under_ratio: float = 1.0,
+                 log: RunLog | None = None, name: str = "cv", folds: list[Fold] | None = None) -> dict:
+    """ML9: cross-validation on ``prepare_folds`` (or folds prepared before): out-of-fold probabilities;
+    per-fold auc/ap/f1 and their means (EV10); global OOF metrics (EV6)."""
+    folds = folds or prepare_folds(data, features, key, n_splits, seed, use_sampling, smote_ratio, use_under, under_ratio)
+    oof, fold_rows = score_folds(estimator, folds, key, threshold)
+    frame = data.sparkSession.createDataFrame(fold_rows, "fold int, auc double, ap double, f1 double")
+    means = M.fold_means(frame, ["auc", "ap", "f1"]).first().asDict()
     oof_m = M.metrics_dict(oof, threshold, prefix="oof_")
     if log:
         log.start(name)
-        for pk, pv in (("n_splits", n_splits), ("random_state", seed), ("threshold", threshold),
+        for pk, pv in (("n_splits", len(folds)), ("random_state", seed), ("threshold", threshold),
                        ("use_sampling", use_sampling), ("smote_ratio", smote_ratio if use_sampling else None),
                        ("use_under", use_under), ("under_ratio", under_ratio if (use_sampling and use_under) else None)):
             log.log("param", pk, pv)
@@ -284,7 +314,7 @@ def run_model_cv(estimator, data: DataFrame, features: list[str], key: str = "ve
             log.log("metric", "f1_fold", f1, f)
         for k2, v in {**means, **oof_m}.items():
             log.log("metric", k2, v)
-    return {"oof": oof, "folds": folds, **means, **oof_m}
+    return {"oof": oof, "folds": frame, **means, **oof_m}
 
 
 # ---------------------------------------------------------------- search and selection
@@ -305,14 +335,19 @@ def draw_parameters(grid: dict[str, list], n_iter: int, seed: int = 42) -> list[
 
 
 def random_search(make_estimator, grid: dict[str, list], data: DataFrame, features: list[str], n_iter: int = 10,
-                  n_splits: int = 3, seed: int = 42, key: str = "vec_id") -> tuple[dict, list[dict]]:
-    """ML10: seeded draws from the grid without replacement (all of it, if it is smaller), each scored by CV mean AP; best first."""
+                  n_splits: int = 3, seed: int = 42, key: str = "vec_id", parallel: int = 4, **sampling) -> tuple[dict, list[dict]]:
+    """ML10: seeded draws from the grid without replacement (all of it, if it is smaller), each scored by CV mean AP; best first.
+
+    Folds, medians, scales and resampled rows are made once and shared by all draws; ``parallel`` draws are submitted at a time."""
     draws = draw_parameters(grid, n_iter, seed)
-    results = []
-    for d in draws:
-        r = run_model_cv(make_estimator(**d), data, features, key, n_splits, seed)
-        results.append({"params": d, "ap_mean_cv": r["ap_mean_cv"], "auc_mean_cv": r["auc_mean_cv"]})
-    results.sort(key=lambda x: -x["ap_mean_cv"])
+    folds = prepare_folds(data, features, key, n_splits, seed, **sampling)
+
+    def score(draw: dict) -> dict:
+        _, rows = score_folds(make_estimator(**draw), folds, key)
+        return {"params": draw, "ap_mean_cv": sum(r[2] for r in rows) / len(rows), "auc_mean_cv": sum(r[1] for r in rows) / len(rows)}
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        results = list(pool.map(inheritable_thread_target(data.sparkSession)(score), draws))
+    results.sort(key=lambda x: -x["ap_mean_cv"])  # ties keep the order of the draws
     return results[0], results
 
 

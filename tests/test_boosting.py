@@ -111,3 +111,45 @@ def test_saved_pipeline_scores_the_same(spark, tmp_path):
     assert imp[0].importance > 0 and len(imp) == 5
     with pytest.raises(ValueError):
         TR.gradient_boosting(num_leaves=5, colour=1)
+
+
+def test_search_prepares_once_and_folds_agree_with_sql(spark, monkeypatch):
+    """Ten draws, one preparation per fold; fold metrics anew by DuckDB from the out-of-fold rows."""
+    import duckdb
+
+    from riskframe.plans.tables import Tables
+    from tests.conftest import SF_CHECK
+    rows, feats = TR.embedding_matrix(Tables(spark, SF_CHECK))
+    feats = feats[:6]
+    made = []
+    prepare = TR.prepare
+    monkeypatch.setattr(TR, "prepare", lambda *a, **k: made.append(1) or prepare(*a, **k))
+    best, results = TR.random_search(lambda C: TR.logistic_regression(C, max_iter=5), {"C": [10.0 ** -k for k in range(10)]}, rows, feats, 10, 2)
+    assert len(made) == 2 and len(results) == 10 and best["ap_mean_cv"] == max(r["ap_mean_cv"] for r in results)
+    folds = TR.prepare_folds(rows, feats, n_splits=3)
+    res = TR.run_model_cv(TR.logistic_regression(0.1, balanced=True), rows, feats, folds=folds)
+    oof = res["oof"].toPandas()
+    assert sorted(oof.vec_id) == sorted(r.vec_id for r in rows.select("vec_id").collect())
+    want = duckdb.sql("""WITH d AS (SELECT fold, y, p, rank() OVER (PARTITION BY fold ORDER BY p) + (count(*) OVER (PARTITION BY fold, p) - 1) / 2.0 AS r FROM oof)
+        SELECT fold + 1, (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)),
+        2.0 * count(*) FILTER (y = 1 AND p >= 0.5) / (2.0 * count(*) FILTER (y = 1 AND p >= 0.5) + count(*) FILTER (y = 0 AND p >= 0.5) + count(*) FILTER (y = 1 AND p < 0.5))
+        FROM d GROUP BY fold ORDER BY fold""").fetchall()
+    got = [(r.fold, r.auc, r.f1) for r in res["folds"].orderBy("fold").collect()]
+    assert np.allclose(np.array(got), np.array(want, dtype=float), atol=1e-9)
+
+
+def test_logistic_gradient_vanishes(spark):
+    """ML4: at the returned weights the penalised loss has no slope."""
+    from riskframe.plans.tables import Tables
+    from tests.conftest import SF_CHECK
+    rows, feats = TR.embedding_matrix(Tables(spark, SF_CHECK))
+    feats = feats[:8]
+    C = 0.5
+    prep = TR.prepare(rows, feats)
+    prepared = prep.apply(rows)
+    model = TR.fit_estimator(TR.logistic_regression(C), prepared)
+    table = prepared.select("y", vector_to_array("features").alias("x")).collect()
+    x, y = np.array([r.x for r in table]), np.array([r.y for r in table])
+    w, b = model.coefficients.toArray(), model.intercept
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(C * x.T @ (p - y) + w).max() < 1e-2 and abs((p - y).sum()) < 1e-2
