@@ -3,8 +3,11 @@
 A page is parsed into blocks: runs of text between block-level tags.  A classifier
 gives each block a score for content against boilerplate, from its text (length,
 share of link text, sentence ends, ...) and from what encloses it (semantic tags,
-roles, words of class and id; words are weak evidence that text, an article around them
-and neighbours outweigh).  The blocks are the nodes of a flow network: a
+roles, words of class and id).  Words are weak evidence that text, an article around
+them and neighbours outweigh, unless a whole name says what an element inside an
+article is (``ad``, ``notice-box``, ``comments``).  What an element says is weighed against
+what it holds: tags of boilerplate around most of a page's prose (an unclosed ``nav``, a ``form``
+around the body) say nothing, and a name around most of an article's text is weak again.  The blocks are the nodes of a flow network: a
 positive score is the capacity from the source, a negative one that to the sink;
 neighbours in page order and blocks with a common parent are joined by smoothness
 edges that are the stronger the nearer they are in the tree.  A maximum flow (by
@@ -23,7 +26,8 @@ Results
 One row per row.  A null or empty html, or a page without content, has the empty
 text.  White space inside a block (line breaks included) becomes one space; blocks
 are joined by two line feeds.  Repeated rows get equal results; other columns are
-left out.  Broken markup is read as far as it goes.
+left out.  Broken markup is read as far as it goes: an unclosed title, button or
+list of choices ends at the next block-level tag.
 """
 
 from __future__ import annotations
@@ -55,6 +59,13 @@ nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars widget
 notice notices alert popup modal overlay newsletter subscribe subscription signup login register paywall share sharing social related recommended
 recommendations trending popular comment comments commentlist disqus reply replies respond pagination pager tags legal copyright contentinfo complementary
 search searchbox skip""".split())
+#: Words that decide if they are a whole name but for fillers, and these fillers.
+DECISIVE = BOILERPLATE - frozenset("""legal copyright tags social popular trending search alert related recommended recommendations register
+banner banners""".split())
+FILLERS = frozenset("box block wrapper wrap container section list area inline bar item unit slot inner outer top bottom left right text body".split())
+#: Tags of boilerplate, and tags without text that block-level tags end.
+BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog".split())
+BRIEF = frozenset("title button select textarea".split())
 CONTENT = frozenset("article content contents story post entry main body text prose".split())
 #: Roles that say as much as a tag, tags whose id is a name to link to, and words after which a class names a layout.
 LANDMARKS = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog".split())
@@ -62,6 +73,8 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 LAYOUT = frozenset("has with no without hide show".split())
 #: Capacities of tags and roles, of a page's header, of an element with words of boilerplate, and of an article.
 STRONG, HEADER, WORDS, INSIDE = -8.0, -6.0, -4.0, 3.0
+#: Further capacity of a whole name inside an article.
+NAMED = -7.0
 #: Largest absolute score that text features may give.
 TEXT_LIMIT = 4.0
 #: Strength of the smoothness edges.
@@ -83,6 +96,30 @@ class Element:
     seed: int = 0
     silent: bool = False
     linked: bool = False
+    strong: bool = False
+    named: bool = False
+    scope: Element | None = None  # the article around it
+    #: Characters, characters of links, and blocks that are sentences of prose, in the whole element.
+    size: int = 0
+    links: int = 0
+    prose: int = 0
+    #: What the elements around a block add to its prior once all is read, and whether its tags still settle it.
+    later: float | None = None
+    settled: bool = True
+
+    def weigh(self, page: Element) -> None:
+        """Fill ``later`` and ``settled`` from the root down to this element."""
+        todo = [self]
+        while todo[-1].later is None and todo[-1].parent is not None:
+            todo.append(todo[-1].parent)
+        for e in reversed(todo):
+            if e.later is not None:
+                continue
+            e.later, e.settled = (e.parent.later, e.parent.settled) if e.parent is not None else (0.0, True)
+            if e.strong and 2 * e.size > page.size and 3 * e.links < e.size and e.prose:
+                e.later, e.settled = e.later - STRONG, False
+            if e.named and e.scope is not None and 2 * e.size <= e.scope.size:
+                e.later += NAMED
 
 
 @dataclass
@@ -104,9 +141,21 @@ def _names(tag: str, attrs: dict[str, str | None], article: bool) -> set[str]:
     return out
 
 
+def _named(tag: str, attrs: dict[str, str | None]) -> bool:
+    """Whether a class or, but for headings, the id is a decisive word and fillers."""
+    for key in ("class",) if tag in HEADINGS else ("class", "id"):
+        for name in (attrs.get(key) or "").split():
+            words = {w.lower() for w in _WORD.findall(name)}
+            if words & DECISIVE and words <= DECISIVE | FILLERS:
+                return True
+    return False
+
+
 class Blocks(HTMLParser):
     """Reads a page into blocks, with a small stack of open elements."""
 
+    RCDATA_CONTENT_ELEMENTS = ()  # an unclosed title does not take the rest of the page
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack = [Element("#root", 0, None)]
@@ -126,12 +175,19 @@ class Blocks(HTMLParser):
                 1.0, float(np.log1p(len(words))), min(1.0, self.link_chars / len(text)), float(text[-1] in ".!?…\"”»"),
                 min(1.0, 5.0 * sum(w[-1] in ".,;" for w in words) / len(words)), float(place.tag in HEADINGS),
                 float(place.tag in ("li", "td", "th", "dt", "dd")), float("©" in text)]))
+            top = self.stack[-1]
+            top.size += len(text)
+            top.links += min(self.link_chars, len(text))
+            top.prose += len(words) >= 8 and text[-1] in ".!?…"
         self.parts, self.link_chars = [], 0
 
     def close_to(self, index: int) -> None:
         if any(e.tag in BLOCK for e in self.stack[index:]):
             self.flush()
-        del self.stack[index:]
+        while len(self.stack) > index:
+            gone = self.stack.pop()
+            above = self.stack[-1]
+            above.size, above.links, above.prose = above.size + gone.size, above.links + gone.links, above.prose + gone.prose
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -142,6 +198,9 @@ class Blocks(HTMLParser):
             return
         if tag in BLOCK:
             self.flush()
+            brief = next((i for i, e in enumerate(self.stack) if e.tag in BRIEF), 0)
+            if brief:
+                self.close_to(brief)
             wanted, stops = CLOSES.get(tag, ((), ()))
             for i in range(len(self.stack) - 1, 0, -1):
                 open_ = self.stack[i].tag
@@ -152,23 +211,26 @@ class Blocks(HTMLParser):
                     break
         above, attrs = self.stack[-1], dict(attrs)
         own = Element(tag, above.depth + (tag in BLOCK), above, above.prior, above.article, above.doubted, above.seed,
-                      above.silent or tag in NO_TEXT, above.linked or tag == "a")
+                      above.silent or tag in NO_TEXT, above.linked or tag == "a", scope=above.scope)
         if tag in BLOCK or attrs:
             names = _names(tag, attrs, above.article) if attrs else set()
             role = (attrs.get("role") or "").strip().lower()
             hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "")
-            if tag in ("nav", "footer", "aside", "form", "menu", "dialog") or hidden or tag not in ("body", "html") and role in LANDMARKS:
-                own.prior, own.seed = own.prior + STRONG, -1
+            own.named = tag not in ("body", "html") and _named(tag, attrs)
+            if tag in BOILERPLATE_TAGS or hidden or tag not in ("body", "html") and role in LANDMARKS:
+                own.prior, own.seed, own.strong = own.prior + STRONG, -1, not hidden
             elif tag == "header" and not own.article:
                 own.prior, own.seed = own.prior + HEADER, -1
             else:
-                if tag not in ("body", "html") and (names & BOILERPLATE or "header" in names and not own.article):
+                if tag not in ("body", "html") and (own.named or names & BOILERPLATE or "header" in names and not own.article):
                     own.prior, own.doubted, own.seed = own.prior + WORDS, True, min(own.seed, 0)
                 if tag in ("article", "main") or role in ("main", "article"):
                     # under doubt, an article after another one is a comment or a teaser rather than the text
-                    if not own.doubted or not self.article_found:
+                    if not own.article and (not own.doubted or not self.article_found):
                         own.prior += INSIDE
                     own.article = True
+                    if not own.named:
+                        own.scope = own.scope or own
                     if not own.doubted:
                         self.article_found, own.seed = True, own.seed or 1
                 elif tag in BLOCK and tag not in ("body", "html") and names & CONTENT:
@@ -202,6 +264,12 @@ def blocks(html: str) -> list[Block]:
     parser.feed(html)
     parser.close()
     parser.flush()
+    page = parser.stack[0]
+    parser.close_to(1)
+    for b in parser.found:
+        b.place.weigh(page)
+        b.prior += b.place.later
+        b.seed = b.seed if b.place.settled else 0
     return parser.found
 
 
