@@ -11,8 +11,8 @@ each payload; payloads are shuffled once, to meet their capture's decision.
 
 Reading.  Every archive file is one row of Spark's binary reader; a task inflates
 it as a stream and cuts records by their Content-Length, so payloads may hold
-blank lines or anything else.  The writer starts a new file after
-``RECORDS_PER_FILE`` records, which bounds what a reader holds.
+blank lines or anything else.  The writer starts a new file after ``FILE_BYTES``
+of records, which bounds what a reader holds (a larger record has a file of its own).
 
 Assembly.  Requests and metadata meet their response or revisit through the
 concurrent-to id, one nested row per capture; where several claim the same
@@ -36,7 +36,9 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,8 @@ SEPARATOR = "\r\n\r\n"
 #: The alphabet of base 32, and the profile of revisits with an equal payload.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 6_000
+#: Bytes of records after which a writing task begins another file (a larger record has one of its own).
+FILE_BYTES = 64_000_000
 #: Bytes of payload that a reading task holds before it passes rows on.
 HELD_BYTES = 4_000_000
 
@@ -120,10 +123,26 @@ def records(found: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     return found.select(F.explode(F.array(request, F.when(F.col("lead").isNull(), response).otherwise(revisit), metadata)).alias("value"))
 
 
-def write(pages: DataFrame, path: str, smallest: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write the captures of ``pages`` as gzip-compressed WARC files into the folder ``path``."""
-    (records(captures(pages, smallest)).write.mode("overwrite").option("lineSep", SEPARATOR).option("compression", "gzip")
-     .option("maxRecordsPerFile", records_per_file).text(path))
+def _parts(found: DataFrame, file_bytes: int) -> DataFrame:
+    """The records with ``part``, which counts up inside a task after every ``file_bytes`` of records."""
+    def run(batches):
+        part, size = 0, 0
+        for batch in batches:
+            sizes = pc.binary_length(batch.column("value")).to_numpy(zero_copy_only=False)
+            parts = np.empty(len(sizes), dtype=np.int32)
+            for i, n in enumerate(sizes.tolist()):
+                if size and size + n > file_bytes:
+                    part, size = part + 1, 0
+                size += n
+                parts[i] = part
+            yield pa.RecordBatch.from_arrays([batch.column("value"), pa.array(parts)], names=["value", "part"])
+    return found.mapInArrow(run, "value string, part int")
+
+
+def write(pages: DataFrame, path: str, smallest: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Write the captures of ``pages`` as gzip-compressed WARC files of about ``file_bytes`` (before compression) under the folder ``path``."""
+    (_parts(records(captures(pages, smallest)), file_bytes).write.mode("overwrite").option("lineSep", SEPARATOR).option("compression", "gzip")
+     .partitionBy("part").text(path))
 
 
 def inflated(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
