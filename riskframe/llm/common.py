@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.session import ensure_checkpoint_dir
@@ -33,6 +33,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def columns(names: Sequence[str]) -> list[Column]:
+    """Columns by their exact names, dots and back quotes included."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in names]
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 #: A key with more rows than this, and than a thousandth of all rows, is split in joins.
 HOT_ROWS = 1_000
 

@@ -14,7 +14,8 @@ groups) are differenced with each other.  Spreads of blocks are small, so
 opposite ordering cancels them almost wholly.
 
 Equal texts are counted by a digest with map-side sums before any shuffle, so a
-text that a third of all rows share is one partial row per task.  A group larger
+text that a third of all rows share is one partial row per task; when shards go back
+to the rows, such a text's rows are split over several tasks.  A group larger
 than the mean shard cannot be split; its shard is then that much larger.
 
 Results
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import shuffle_partitions
+from riskframe.llm.common import shuffle_partitions, spread_join
 from riskframe.session import cut_lineage
 
 #: Groups that one task differences at once (rows of numbers, a few MB).
@@ -141,4 +142,5 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
         F.monotonically_increasing_id().alias("copy")))
     groups = slim.groupBy("digest").agg(F.sum("size").alias("bytes"))
     placed = spread_groups(groups, "digest", "bytes", shards)
-    return number_slots(slim.join(placed, "digest").drop("digest"), slim.count()).drop("copy")
+    n = slim.count()
+    return number_slots(spread_join(slim, placed, "digest", n, ["copy"]).drop("digest"), n).drop("copy")
