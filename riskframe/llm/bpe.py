@@ -43,9 +43,9 @@ from riskframe.llm import pretokens
 from riskframe.llm.common import chunks
 
 #: Bytes of remembered pieces in a worker process; beyond, it starts anew.
-REMEMBER_BYTES = 96_000_000
+REMEMBER_BYTES = 64_000_000
 #: Characters of text encoded at once inside a task: distinct pieces are looked up once in each such chunk.
-CHUNK = 4_000_000
+CHUNK = 3_000_000
 #: Matrix cells (pieces x positions) that are merged in step.
 CELLS = 1 << 19
 

@@ -32,6 +32,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.llm.common import columns
+
 #: The base's symbols, white space, capitals, and frequent function words of four languages.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -73,7 +75,7 @@ def counts(docs: DataFrame, keep: Sequence[str], text: str = "text") -> DataFram
     trimmed = F.trim(plain)
     removed = lambda chars: F.length("t") - F.length(F.translate("t", chars, ""))
     long = lambda **c: F.struct(*[v.cast("long").alias(k) for k, v in c.items()])
-    step = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    step = docs.select(F.struct(*columns(keep)).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     step = step.select(
         "row",
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " +")).alias("words"),

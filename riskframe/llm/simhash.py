@@ -41,8 +41,8 @@ from pyspark.sql import types as T
 from riskframe.llm.common import carried, column_of, spread_join
 from riskframe.session import cut_lineage
 
-#: The tree of shards is fitted on about this many fingerprints.
-SAMPLE = 16_384
+#: The tree of shards is fitted on about this many fingerprints a shard, at least and at most so many in all (32 MB).
+SHARD_SAMPLE, LEAST_SAMPLE, MOST_SAMPLE = 16, 16_384, 1 << 22
 #: Residents of a shard, in the mean.
 SHARD_ROWS = 8_192
 #: Fewest shards, so that small inputs also spread.
@@ -195,9 +195,15 @@ def linked(residents: np.ndarray, guests: np.ndarray, radius: int) -> np.ndarray
     return _forest(edges, len(points), label)
 
 
+def sample_size(n: int) -> int:
+    """How many of ``n`` fingerprints the tree is fitted on: enough that it has a shard for every ``SHARD_ROWS`` of up to 2 x 10^9."""
+    return min(MOST_SAMPLE, max(LEAST_SAMPLE, SHARD_SAMPLE * n // SHARD_ROWS))
+
+
 def links(points: DataFrame, radius: int, n: int) -> DataFrame:
     """Spanning links ``u``, ``v`` (fingerprints) of the distinct fingerprints ``fp``; ``n`` is their number."""
-    pick = F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), F.lit(max(n, SAMPLE)).cast("long")) < SAMPLE
+    wanted = sample_size(n)
+    pick = F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), F.lit(max(n, wanted)).cast("long")) < wanted
     sample = np.sort(np.array([r[0] for r in points.where(pick).collect()], dtype=np.int64)).view(np.uint64)
     sample = sample[np.random.default_rng(0).permutation(len(sample))]
     nodes = fit_tree(sample, max(LEAST_SHARDS, -(-n // SHARD_ROWS)))

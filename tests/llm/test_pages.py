@@ -37,7 +37,7 @@ def expected(rows, smallest=0):
 
 @pytest.mark.parametrize("smallest", [0, 11])
 def test_warc_round_trip(spark, tmp_path, smallest):
-    warc.write(pages(spark), str(tmp_path / "w"), smallest=smallest, records_per_file=7)
+    warc.write(pages(spark), str(tmp_path / "w"), smallest=smallest, file_bytes=600)
     found = warc.assemble(warc.read(spark, str(tmp_path / "w"))).collect()
     page = lambda f: None if f is None or f["page-id"] == "none" else int(f["page-id"])
     got = []
@@ -123,19 +123,42 @@ PARA = "<p>The first of many sentences about this subject, which go on for a whi
 @pytest.mark.parametrize("inside", [
     f'<section id="related-work"><h2>Earlier work</h2>{PARA}{PARA}</section>', f'<h2 id="search">Searching</h2>{PARA}',
     f'<section id="legal-framework"><h2>Laws</h2>{PARA}</section>', f'<h3 id="social-and-popular-tags">How they spread</h3>{PARA}',
-    f'<div class="notice">{PARA}</div>', f'<div class="content no-sidebar">{PARA}</div>'])
+    f'<div class="notice-of-death">{PARA}</div>', f'<div class="content no-sidebar">{PARA}</div>'])
 @pytest.mark.parametrize("around", ["<article>{}</article>", '<div class="content has-sidebar"><article>{}</article></div>',
                                     '<div class="content withSidebar"><main>{}</main></div>', '<div id="popular"><article>{}</article></div>'])
 def test_words_do_not_decide_inside_an_article(inside, around):
     html = f"<nav><a href=x>home</a></nav>{around.format(f'<h1>Title of the text</h1>{PARA}{inside}{PARA}')}<footer>End</footer>"
     text = html_text.main_text(html)
-    if 'class="notice"' in inside and "popular" in around:  # two elements with such words
+    if 'class="notice' in inside and "popular" in around:  # two elements with such words
         assert text.count("The first of many") >= 2
         return
     assert text.count("The first of many") == html.count("The first of many") and "home" not in text and "End" not in text
     assert [h for h in re.findall(r"<h[23][^>]*>([^<]*)", inside) if h not in text] == []
 
 
+@pytest.mark.parametrize("other", [
+    '<div class="ad">{}</div>', '<div class="advert">{}</div>', '<div class="notice">{}</div>', '<div class="comments">{}</div>', '<section id="comments">{}</section>',
+    '<section id="comments"><h2>Comments</h2><article class="comment">{0}</article><article class="comment">{0}</article></section>',
+    '<div class="cookie-notice">{}</div>', '<div class="sidebar">{}</div>', '<aside>{}</aside>', '<div class="ad-slot top">{}</div>', '<form>{}</form>',
+    '<div class="comment-list"><div class="comment-body">{}</div></div>'])
+@pytest.mark.parametrize("where", ["middle", "end", "after"])
+@pytest.mark.parametrize("around", ["<article>{}</article>", '<div class="content"><main><article>{}</article></main></div>'])
+def test_boilerplate_inside_an_article_goes(other, where, around):
+    odd = other.format("<p>Another voice says something here, at some length and in sentences. It is not a part of the text.</p>")
+    inside = {"middle": f"{PARA}{odd}{PARA}{PARA}", "end": f"{PARA}{PARA}{PARA}{odd}", "after": f"{PARA}{PARA}{PARA}"}[where]
+    html = f"<body>{around.format('<h1>Title of the text</h1>' + inside)}{odd if where == 'after' else ''}<footer>End</footer></body>"
+    assert html_text.main_text(html) == "\n\n".join(["Title of the text", *[re.sub("<.*?>", "", PARA)] * 3])
+
+
+@pytest.mark.parametrize("page", [
+    "<title>T<body>{}", "<button>B{}", "<select><option>x{}", "<nav><a href=x>Home page</a>{}", "<form>{}", "<form><input>{}</form>", "<textarea>t{}",
+    "<head><title>T</head><body><nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul>{}", '<div class="notice">{}</div>', "<aside>{}"])
+def test_unclosed_tags_do_not_empty_a_page(page):
+    html = page.format(f"<article><h1>Title of the text</h1>{PARA}{PARA}</article><footer>End</footer>")
+    text = html_text.main_text(html)
+    assert text.count("The first of many") == 2 and "Title of the text" in text and "End" not in text and "Home" not in text
+
+
 def test_words_still_mark_boilerplate():
     html = f"""<main><h1>Title of the text</h1>{PARA}<div class="newsletter"><p>Subscribe now</p></div>{PARA}
 <ul class="share"><li><a href=x>Send this</a><li><a href=y>Print this</a></ul>
