@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.llm import langid, packing, quality, secret_scan, simhash
+from riskframe.llm.common import columns, drop_folder, stored
 from riskframe.llm.queries import held_out
 from riskframe.session import ensure_checkpoint_dir
 
@@ -39,9 +40,11 @@ LEAST_SCORE = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that weak supervision over all documents' votes finds good."""
-    model = quality.fit(quality.counts(docs, ["doc_id"]))
-    return quality.counts(docs, docs.columns).where(quality.kept(model)).select("row.*")
+    """Keep the documents that weak supervision over all documents' votes finds good.
+
+    One pass counts and writes the rows with their counts; the model is fitted on, and the verdict read from, what was written."""
+    counted = stored(quality.counts(docs, docs.columns))
+    return counted.where(quality.kept(quality.fit(counted))).select("row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = langid.fit(docs, ~F.coalesce(held_out(), F.lit(True)))
     if not model.labels:
         return docs
-    found = langid.predict(docs.select(F.struct(*docs.columns).alias("row")), model, text="row.text", keys=["row"], certainty=True)
+    found = langid.predict(docs.select(F.struct(*columns(docs.columns)).alias("row")), model, text="row.text", keys=["row"], certainty=True)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("certainty") >= LEAST_SCORE)).select("row.*")
 
 
@@ -58,8 +61,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Only ids, fingerprints and 128 bits that stand for a row are grouped; the texts are shuffled once, to meet the rows that stay.
     """
-    plain = [F.col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"),
+    plain = [columns([f.name])[0] for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    keyed = docs.select(F.struct(*columns(docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"),
                         F.xxhash64(*plain).alias("key_a"), F.xxhash64(F.lit("b"), *plain[::-1]).alias("key_b"))
     found = simhash.near_duplicates(keyed, shingle=3, radius=2, keys=["doc_id", "key_a", "key_b"])
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key_a"), F.col("key_b"))
@@ -69,11 +72,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Redact every span of every rule."""
-    found = secret_scan.scan(docs.select(F.struct(*docs.columns).alias("row")), text="row.text", keys=["row"], redact=True)
+    found = secret_scan.scan(docs.select(F.struct(*columns(docs.columns)).alias("row")), text="row.text", keys=["row"], redact=True)
     changed = {"text": F.col("redacted")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.size("spans") > 0, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
-    return found.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return found.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -101,4 +104,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if number:  # what the stage before wrote is not needed any more
+            drop_folder(spark, before)
+        before = path
     return docs
