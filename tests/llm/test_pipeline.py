@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from riskframe.llm import langid, packing, quality, queries
+from riskframe.llm import langid, quality, queries
 from tests.llm.helpers import DOCS, documents
 from tests.llm.test_documents import WORD, plain_components, plain_counts, plain_fingerprint
 
@@ -60,19 +60,27 @@ def redacted(text):
     return "".join([*out, text[at:]])
 
 
+def plain_cuts(n, most):
+    out = []
+    while n:
+        out.append(most if n >= most else 1 << n.bit_length() - 1)
+        n -= out[-1]
+    return out
+
+
 def test_pipeline_against_plain_version(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = plain_quality(docs.collect())
     kept = spark.createDataFrame(rows, docs.schema)
     model = langid.fit(kept, ~F.coalesce(queries.held_out(), F.lit(True)))
-    rows = [r for r, (lang, score) in zip(rows, model.classify([r.text for r in rows])) if lang != "und" and score >= corpus_pipeline.LEAST_SCORE]
+    rows = [r for r, (lang, _, sure) in zip(rows, model.judge([r.text for r in rows])) if lang != "und" and sure >= corpus_pipeline.LEAST_SCORE]
     stay = {d for d, _, c in plain_components([(r.doc_id, r.text) for r in rows]) if d == c}
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {}
     for r in rows:
         if r.doc_id in stay:
             ids, start = own.encode(redacted(r.text), add_special_tokens=False).ids + [0], 0
-            for size in packing.cuts(len(ids), 1024):
+            for size in plain_cuts(len(ids), 1024):
                 want[r.doc_id, start] = (size, np.array(ids[start:start + size], "<u4").tobytes(), len(ids), 0)
                 start += size
     got = corpus_pipeline.run(spark, SMALL).collect()
@@ -120,3 +128,27 @@ def test_language_stage_keeps_mixed_texts_and_unlabelled_tables(spark):
     assert kept.where(F.col("doc_id") == 10 ** 9).count() == 1
     bare = docs.limit(20).withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.language_stage(spark, bare, "").count() == 20
+
+
+def test_columns_of_any_name_pass_through(spark, tmp_path):
+    names = ["meta.src", "a`b", "row", "key_a", "text.len", "q", "__text", "spans"]
+    docs = documents(spark, extra=False)
+    for n in names:
+        docs = docs.withColumn(n, F.lit("kept"))
+    docs.write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and {r[n] for r in out.collect() for n in names} <= {"kept"}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count()
+
+
+def test_run_leaves_the_last_folder_only(spark):
+    import pathlib
+
+    from riskframe.session import ensure_checkpoint_dir
+    root = pathlib.Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(root.glob("corpus-*"))
+    corpus_pipeline.run(spark, SMALL)
+    [new] = set(root.glob("corpus-*")) - before
+    assert [p.name for p in new.iterdir() if p.is_dir()] == ["4-packing"]
