@@ -143,10 +143,11 @@ ORACLE.update({
 
 _ORD_FEATS = ["O_TOTALPRICE", "O_CUSTKEY", "FLAG_URGENT"] + [f"O_ORDERPRIORITY_{p}" for p in g.PRIOS] + [
     f"O_ORDERSTATUS_{s}" for s in g.STATS_]
+# one aggregate for all features: equal indicators then get equal values
 _IMP = ("WITH a AS (" + g.ALIGN_SQL + "), acc AS (SELECT *, CAST(\"O_TOTALPRICE\" > 250000 AS INTEGER) AS y FROM a "
-        "WHERE reject_reason IS NULL), imp AS (" + " UNION ALL ".join(
-            f"SELECT {g.lit(f)} AS feature, coalesce(round(abs(corr({g.qi(f)}::DOUBLE, y::DOUBLE)), 6), 0.0) AS importance FROM acc"
-            for f in _ORD_FEATS) + ") ")
+        "WHERE reject_reason IS NULL), one AS MATERIALIZED (SELECT " + ", ".join(
+            f"coalesce(abs(corr({g.qi(f)}::DOUBLE, y::DOUBLE)), 0.0) AS c{i}" for i, f in enumerate(_ORD_FEATS)) + " FROM acc), imp AS ("
+        + " UNION ALL ".join(f"SELECT {g.lit(f)} AS feature, c{i} AS importance FROM one" for i, f in enumerate(_ORD_FEATS)) + ") ")
 _CUM = (_IMP + ", c AS (SELECT feature, importance, sum(importance) OVER () AS tot, count(*) OVER () AS n FROM imp), "
         "c2 AS (SELECT feature, importance, CASE WHEN tot > 0 THEN importance / tot ELSE 1.0 / n END AS importance_norm FROM c), "
         "c3 AS (SELECT *, sum(importance_norm) OVER (ORDER BY importance DESC, feature ROWS UNBOUNDED PRECEDING) AS cum, "
@@ -193,10 +194,12 @@ ORACLE.update({
         + ["CAST(o_orderstatus IS NULL AS INTEGER) AS o_orderstatus_nan"]
         + [f"CAST(o_orderpriority IS NOT DISTINCT FROM {g.lit(v)} AS INTEGER) AS {g.qi('o_orderpriority_' + v)}" for v in g.CATS["o_orderpriority"]]
         + ["CAST(o_orderpriority IS NULL AS INTEGER) AS o_orderpriority_nan"]) + " FROM orders"),
-    "prj12_align_train_test": ("SELECT c_custkey, c_nationkey, " + g.f32("c_acctbal") + " AS c_acctbal, " + ", ".join(
-        f"CAST(c_mktsegment IS NOT DISTINCT FROM {g.lit(v)} AS INTEGER) AS {g.qi('c_mktsegment_' + v)}" for v in _SEG if v != "MACHINERY")
-        + " FROM customer WHERE c_mktsegment <> 'MACHINERY'"),
-    "prj13_column_difference": "SELECT 'left_only' AS side, 'c_mktsegment_MACHINERY' AS \"column\"",
+    "prj12_align_train_test": " UNION ALL ".join(
+        "SELECT c_custkey, c_nationkey, c_acctbal, " + ", ".join(
+            f"CAST(c_mktsegment IS NOT DISTINCT FROM {g.lit(v)} AS INTEGER) AS {g.qi('c_mktsegment_' + v)}" for v in _SEG if v != "MACHINERY")
+        + f", '{side}' AS side FROM customer{where}" for side, where in (("train", ""), ("test", " WHERE c_mktsegment <> 'MACHINERY'"))),
+    "prj13_column_difference": ("SELECT 'left_only' AS side, 'c_mktsegment_MACHINERY' AS \"column\", "
+                                "count(*) FILTER (c_mktsegment = 'MACHINERY') AS n_set FROM customer"),
     "prj14_reindex_union": (f"SELECT o_orderkey, {g.f32('o_totalprice')} AS o_totalprice, NULL::VARCHAR AS o_orderstatus, 'ref' AS side "
                             "FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01 00:00:00' UNION ALL "
                             "SELECT o_orderkey, NULL::DOUBLE, o_orderstatus, 'prod' FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01 00:00:00'"),
@@ -241,4 +244,4 @@ ORACLE.update({
 from checks.oracle_io import ORACLE_IO  # noqa: E402
 from checks.oracle_ml import ORACLE_ML  # noqa: E402
 
-ORACLE.update(ORACLE_IO | ORACLE_ML)
+ORACLE.update(ORACLE_IO | ORACLE_ML | {"agg3_four_children": g.four_children_sql()})

@@ -66,8 +66,13 @@ def rollup_sql(source: str, key: str, prefix: str, numeric: list[str], cats: lis
             f"WHERE {qi(key)} IS NOT NULL GROUP BY {qi(key)}")
 
 
+def of_the_data(name: str) -> bool:
+    """Values that no engine computes: smallest and largest ones, and the balance."""
+    return name == "c_acctbal" or name.endswith(("_MIN", "_MAX")) and not any(s in name for s in ("_MEAN", "_SUM", "_VAR"))
+
+
 def snap_select(inner: str, doubles: list[str], others: list[str]) -> str:
-    cols = [qi(c) for c in others] + [f"{f32(qi(c))} AS {qi(c)}" for c in doubles]
+    cols = [qi(c) for c in others] + [qi(c) if of_the_data(c) else f"{f32(qi(c))} AS {qi(c)}" for c in doubles]
     return f"SELECT {', '.join(cols)} FROM ({inner}) AS s"
 
 
@@ -119,6 +124,22 @@ def feature_table_sql() -> str:
     return snap_select(inner, doubles, others)
 
 
+def four_children_sql() -> str:
+    sup_num, evt_num = ["s_suppkey", "s_acctbal"], EVT_NUM + ["props_k"]
+    parts = [
+        ("EVT_", "user_id", "c.c_custkey", "SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS props_k FROM events", evt_num, EVT_CAT),
+        ("PREV_", "o_custkey", "c.c_custkey", "SELECT * FROM orders", ORD_NUM, ORD_CAT),
+        ("INST_", "o_custkey", "c.c_custkey", "SELECT l.*, o_custkey FROM lineitem l JOIN orders ON l_orderkey = o_orderkey", ["l_orderkey", *LI_NUM], LI_CAT),
+        ("SUP_", "s_nationkey", "c.c_nationkey", "SELECT * FROM supplier", sup_num, [])]
+    select, joins, doubles = ["c.c_custkey", "c.c_nationkey", "c.c_name"], [], []
+    for i, (prefix, key, parent, source, num, cat) in enumerate(parts):
+        columns = rollup_columns(prefix, num, cat)
+        doubles += columns
+        select += [f"r{i}.{qi(x)}" for x in columns]
+        joins.append(f"LEFT JOIN ({rollup_sql(source, key, prefix, num, cat)}) r{i} ON {parent} = r{i}.{qi(key)}")
+    return snap_select(f"SELECT {', '.join(select)} FROM customer c {' '.join(joins)}", doubles, ["c_custkey", "c_nationkey", "c_name"])
+
+
 # --- metrics ------------------------------------------------------------------
 YP = ("d AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, l_extendedprice / 110000.0 AS p FROM lineitem), "
       "t AS (SELECT CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg FROM d), "
@@ -345,10 +366,10 @@ PRIOS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 STATS_ = ["F", "O", "P"]
 _FLAG = "CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END"
 ALIGN_COLS = (
-    f"o_orderkey AS row_index, {f32('CASE WHEN o_totalprice > 400000 THEN NULL ELSE o_totalprice END')} AS \"O_TOTALPRICE\", "
-    f"{f32('o_custkey::DOUBLE')} AS \"O_CUSTKEY\", {f32(_FLAG)} AS \"FLAG_URGENT\", "
-    + ", ".join(f"{f32(f'CAST(o_orderpriority = {lit(p)} AS DOUBLE)')} AS {qi('O_ORDERPRIORITY_' + p)}" for p in PRIOS) + ", "
-    + ", ".join(f"{f32(f'CAST(o_orderstatus = {lit(s)} AS DOUBLE)')} AS {qi('O_ORDERSTATUS_' + s)}" for s in STATS_))
+    "o_orderkey AS row_index, CASE WHEN o_totalprice > 400000 THEN NULL ELSE o_totalprice END AS \"O_TOTALPRICE\", "
+    f"o_custkey::DOUBLE AS \"O_CUSTKEY\", CAST({_FLAG} AS DOUBLE) AS \"FLAG_URGENT\", "
+    + ", ".join(f"CAST(o_orderpriority = {lit(p)} AS DOUBLE) AS {qi('O_ORDERPRIORITY_' + p)}" for p in PRIOS) + ", "
+    + ", ".join(f"CAST(o_orderstatus = {lit(s)} AS DOUBLE) AS {qi('O_ORDERSTATUS_' + s)}" for s in STATS_))
 REJECT = ("CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'F' THEN 'unknown_keys' "
           "WHEN o_totalprice > 400000 THEN 'insufficient_filled_requested' END")
 NMISS = "CAST(CASE WHEN o_totalprice > 400000 THEN 1 ELSE 0 END AS INTEGER)"

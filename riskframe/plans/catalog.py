@@ -25,22 +25,35 @@ def register(name: str):
     return deco
 
 
+def _snap_rollup(df):
+    """Sums, means and variances to float precision; values of the data as they are."""
+    return feat.snap_doubles(df, [c for c in df.columns if c == "c_acctbal" or feat.passed_through(c)])
+
+
 @register("agg1_orders_rollup")
 def q_orders_rollup(spark, sf_dir):
     df, _ = feat.orders_rollup(Tables(spark, sf_dir))
-    return feat.snap_doubles(df)
+    return _snap_rollup(df)
 
 
 @register("agg2_order_lines_rollup")
 def q_order_lines_rollup(spark, sf_dir):
     df, _, _ = feat.order_lines_rollup(Tables(spark, sf_dir))
-    return feat.snap_doubles(df)
+    return _snap_rollup(df)
 
 
 @register("agg4_feature_table")
 def q_feature_table(spark, sf_dir):
     df, _ = feat.feature_table(Tables(spark, sf_dir))
-    return feat.snap_doubles(df)
+    return _snap_rollup(df)
+
+
+@register("agg3_four_children")
+def q_four_children(spark, sf_dir):
+    """Every customer, name included, with the rollups of four children."""
+    t = Tables(spark, sf_dir)
+    df, _ = feat.attach_children(t.customer.select("c_custkey", "c_nationkey", "c_name"), feat.children_of_customers(t))
+    return _snap_rollup(df)
 
 
 # --- metrics on (y = returnflag 'R', p = extendedprice / 110000) ----------------
@@ -194,7 +207,7 @@ from riskframe.plans import scoring as SCR  # noqa: E402
 @register("adp8_align_compact_rows")
 def q_align(spark, sf_dir):
     a = SCR.aligned_orders(Tables(spark, sf_dir))
-    return feat.snap_doubles(a.drop("used_groups", "reject_detail"))
+    return feat.snap_doubles(a.drop("used_groups", "reject_detail"), SCR.ORDER_FEATURES)
 
 
 @register("adp9_alignment_stats")
@@ -290,15 +303,15 @@ from riskframe.operators import profile as _PR  # noqa: E402
 
 
 def _order_importances(spark, sf):
-    """importance = |corr(feature, y)| over accepted aligned orders, y = price > 250000,
-    reported with 6 decimals (identical indicators then tie exactly and are
-    ordered by name); an undefined correlation counts as 0 (SRC5 rule)."""
+    """importance = |corr(feature, y)| over accepted aligned orders, y = price > 250000, in full
+    (equal indicators come out of one aggregate with equal values, so they tie and are ordered by
+    name); an undefined correlation counts as 0 (SRC5 rule)."""
     from pyspark.sql import functions as F
     from riskframe.sources.tables import read_importances
     a = SCR.aligned_orders(Tables(spark, sf)).filter("reject_reason is null")
     a = a.withColumn("y", (F.col("O_TOTALPRICE") > 250000).cast("int"))
     c = _PR.corr_with_label(a, "y", SCR.ORDER_FEATURES)
-    return read_importances(c.select("feature", F.round(F.abs("corr"), 6).cast("string").alias("importance")))
+    return read_importances(c.select("feature", F.abs("corr").cast("string").alias("importance")))
 
 
 register("src5_importances")(lambda spark, sf: feat.snap_doubles(_order_importances(spark, sf)))
@@ -448,15 +461,23 @@ def _train_test_dummies(spark, sf):
 
 @register("prj12_align_train_test")
 def q_align_tt(spark, sf):
-    tr, te = _train_test_dummies(spark, sf)
-    _, te2 = ENC.align_columns(tr, te)
-    return feat.snap_doubles(te2)
+    """Both sides on their common columns, all rows."""
+    from pyspark.sql import functions as F
+    tr, te = ENC.align_columns(*_train_test_dummies(spark, sf))
+    return tr.withColumn("side", F.lit("train")).unionByName(te.withColumn("side", F.lit("test")))
 
 
 @register("prj13_column_difference")
 def q_coldiff(spark, sf):
+    """The columns of one side only, each with the rows that are set there."""
+    from pyspark.sql import functions as F
     tr, te = _train_test_dummies(spark, sf)
-    return ENC.column_difference(spark, tr, te)
+    apart = ENC.column_difference(spark, tr, te)
+    counts = [df.agg(*[F.sum(F.col(f"`{c}`").cast("long")).alias(c) for c in df.columns if c not in other.columns] or [F.lit(0).alias("none")])
+              for df, other in ((tr, te), (te, tr))]
+    found = counts[0].unpivot([], counts[0].columns, "column", "n_set").withColumn("side", F.lit("left_only")).unionByName(
+        counts[1].unpivot([], counts[1].columns, "column", "n_set").withColumn("side", F.lit("right_only")))
+    return apart.join(found, ["side", "column"])
 
 
 @register("prj14_reindex_union")

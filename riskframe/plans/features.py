@@ -67,6 +67,33 @@ def feature_table(t: Tables, extra_children: list[ChildRollup] | None = None) ->
     return out, {"specs": specs, "dummies": dummies}
 
 
+def children_of_customers(t: Tables) -> list[tuple[ChildRollup, str]]:
+    """Four children of a customer with the parent column that each is attached by: events (the number in their JSON included), orders,
+    line items of these orders, and the suppliers of the customer's nation."""
+    events = t.events.withColumn("props_k", F.get_json_object("props", "$.k").try_cast("double")).drop("props")
+    lines = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    return [(ChildRollup(events, "user_id", "EVT_"), "c_custkey"), (ChildRollup(t.orders, "o_custkey", "PREV_"), "c_custkey"),
+            (ChildRollup(lines, "o_custkey", "INST_"), "c_custkey"), (ChildRollup(t.supplier, "s_nationkey", "SUP_", ("s_name",)), "c_nationkey")]
+
+
+def attach_children(parent: DataFrame, children: list[tuple[ChildRollup, str]]) -> tuple[DataFrame, dict[str, RollupSpec]]:
+    """AGG3: one-level rollups of any number of children, left-joined to the parent; the categories of all of them come from one job."""
+    pairs = None
+    for i, (ch, _) in enumerate(children):
+        cats = string_columns(ch.table, {ch.key, *ch.exclude})
+        if cats:
+            found = ch.table.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), F.col(q(c)).alias("v")) for c in cats])))
+            pairs = found if pairs is None else pairs.unionAll(found)
+    vocab: dict[int, dict[str, list]] = {i: {c: [] for c in string_columns(ch.table, {ch.key, *ch.exclude})} for i, (ch, _) in enumerate(children)}
+    for r in pairs.where("v IS NOT NULL").distinct().orderBy("i", "c", "v").collect() if pairs is not None else []:  # each becomes a column
+        vocab[r["i"]][r["c"]].append(r["v"])
+    specs, out = {}, parent
+    for i, (ch, parent_key) in enumerate(children):
+        specs[ch.prefix] = spec = rollup_spec(ch.table, ch.key, ch.prefix, ch.exclude, vocab[i])
+        out = left_attach(out, agg_numeric_and_cat(ch.table, ch.key, ch.prefix, spec=spec), parent_key, ch.key)
+    return out, specs
+
+
 def orders_rollup(t: Tables) -> tuple[DataFrame, RollupSpec]:
     """AGG1 alone: orders by customer, prefix ORD_."""
     spec = rollup_spec(t.orders, "o_custkey", "ORD_")
@@ -88,14 +115,19 @@ def snap(c):
     return (c.cast("double") * F.lit(SNAP_SCALE)).cast("float").cast("double") / F.lit(SNAP_SCALE)
 
 
-def snap_doubles(df: DataFrame) -> DataFrame:
-    """Round every double to float precision (for order-insensitive checks
+def passed_through(name: str) -> bool:
+    """Whether a rollup's column is a value of the data (a smallest or largest one), not the result of a summation."""
+    return name.endswith(("_MIN", "_MAX")) and not any(s in name for s in ("_MEAN", "_SUM", "_VAR"))
+
+
+def snap_doubles(df: DataFrame, raw: tuple | list = ()) -> DataFrame:
+    """Round doubles but the ``raw`` ones to float precision (for order-insensitive checks
     where summation order differs between engines).  Built as SQL text: one
     call per column instead of one per operator."""
     from pyspark.sql import types as T
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if f.name not in set(raw) and isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             cols.append(f"CAST(CAST(CAST({q(f.name)} AS DOUBLE) * {SNAP_SCALE!r} AS FLOAT) AS DOUBLE) "
                         f"/ {SNAP_SCALE!r} AS {q(f.name)}")
         else:
