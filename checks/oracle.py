@@ -244,4 +244,9 @@ ORACLE.update({
 from checks.oracle_io import ORACLE_IO  # noqa: E402
 from checks.oracle_ml import ORACLE_ML  # noqa: E402
 
-ORACLE.update(ORACLE_IO | ORACLE_ML | {"agg3_four_children": g.four_children_sql()})
+ORACLE.update(ORACLE_IO | ORACLE_ML | {
+    "agg3_four_children": g.four_children_sql(),
+    "top4_importances": _IMP + ("SELECT * FROM (SELECT feature, 'top' AS list FROM imp ORDER BY importance DESC, feature LIMIT 3) UNION ALL "
+                                "SELECT feature, 'zero' FROM imp WHERE importance = 0"),
+    "snk7_requested_report_file": "SELECT *, " + g.f32("0.8") + " AS target, 'orders' AS source FROM (" + ORACLE["ml13_ml14_requested_keys"] + ") r",
+})

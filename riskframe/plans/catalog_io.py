@@ -113,3 +113,138 @@ def q_stream(spark, sf):
     rejects = ST.read_rejects(spark, f"{base}/rejects").select("row_index", "reject_reason", F.lit(None).cast("double").alias("proba_default"),
                                                                 F.lit(None).cast("int").alias("decision"))
     return feat.snap_doubles(log.unionByName(rejects))
+
+
+# --- sinks as the rows they write ------------------------------------------------------------------------------
+
+
+@register("snk1_feature_table_files")
+def q_feature_files(spark, sf):
+    """The orders rollup written as Parquet and as CSV, and both read back."""
+    from riskframe.sources.sinks import write_table
+    df, _ = feat.orders_rollup(Tables(spark, sf))
+    base = folder(spark, "features")
+    write_table(df, f"{base}/parquet")
+    write_table(df, f"{base}/csv", "csv")
+    parquet = spark.read.parquet(f"{base}/parquet").withColumn("source", F.lit("parquet"))
+    csv = spark.read.schema(df.schema).option("header", True).csv(f"{base}/csv").withColumn("source", F.lit("csv"))
+    both = parquet.unionByName(csv)
+    return feat.snap_doubles(both, [c for c in both.columns if feat.passed_through(c)])
+
+
+@register("snk4_drift_report_files")
+def q_report_files(spark, sf):
+    """The orders' drift report written as one JSON document and as rows; the document's lists, unfolded."""
+    from riskframe.operators import drift as D
+    from riskframe.plans import monitoring as mon
+    from riskframe.sources.sinks import write_drift_report
+    report = mon.drift_report_orders(Tables(spark, sf))
+    base = folder(spark, "report")
+    doc = D.report_document(report, {"generated_by": "batch"}, k=2)
+    write_drift_report(doc, base, report)
+    saved = spark.read.schema(doc.schema).json(f"{base}/report")
+    lists = [saved.select(F.lit(n).alias("list"), "generated_by", "n_ref_rows", "n_prod_rows", "features_total", F.posexplode(n).alias("pos", "f"))
+             .select("list", "pos", "generated_by", "n_ref_rows", "n_prod_rows", "features_total", "f.feature", "f.psi", "f.missing_rate_delta", "f.severity")
+             for n in ("top_psi", "top_missing_delta", "all_features")]
+    return feat.snap_doubles(lists[0].unionByName(lists[1]).unionByName(lists[2]))
+
+
+@register("snk5_reference_sample_file")
+def q_sample_file(spark, sf):
+    """1000 events by hash order (the limit is the feature), as CSV with a header, read back."""
+    from riskframe.sources.sinks import write_reference_sample
+    events = Tables(spark, sf).events.select("event_id", "user_id", "event_type", "value")
+    path = f"{folder(spark, 'reference')}/sample"
+    write_reference_sample(events, "event_id", path, 1000)
+    return spark.read.schema(events.schema).option("header", True).csv(path)
+
+
+@register("snk7_requested_report_file")
+def q_requested_file(spark, sf):
+    from riskframe.operators import importance as IMP
+    from riskframe.plans.catalog import _order_importances
+    from riskframe.sources.sinks import write_requested_config
+    report = IMP.requested_keys(_order_importances(spark, sf), SCR.order_spec(), 0.8)
+    path = f"{folder(spark, 'requested')}/report"
+    write_requested_config(spark, report, path, {"target": 0.8, "source": {"table": "orders"}})
+    saved = spark.read.schema(report.schema.add("target", "double").add("source", "string")).json(path)
+    return feat.snap_doubles(saved.withColumn("requested_groups", F.array_join("requested_groups", ",")).withColumn(
+        "source", F.get_json_object("source", "$.table")))
+
+
+@register("top4_importances")
+def q_top_importances(spark, sf):
+    """The three most important features and those without importance."""
+    from riskframe.plans import train as TR
+    from riskframe.plans.catalog import _order_importances
+    imp = _order_importances(spark, sf).cache()
+    top = TR.top_importances(imp, 3).select("feature", F.lit("top").alias("list"))
+    return top.unionByName(TR.zero_importances(imp).select("feature", F.lit("zero").alias("list")))
+
+
+# --- alignment and scoring ---------------------------------------------------------------------------------------
+
+
+@register("sc6_lenient_scores")
+def q_lenient(spark, sf):
+    """Every order as a request of its own by the lenient switch: unknown keys are ignored, missing ones imputed."""
+    log, _ = SCR.predict_batch(SCR.compact_order_rows(Tables(spark, sf)), SCR.order_spec(), SCR.order_model(), SCR.order_rule(), strict=False, deterministic=True)
+    return feat.snap_doubles(log.select(F.col("log_seq").alias("row_index"), "proba_default", "decision"))
+
+
+@register("adp12_rules_of_metadata")
+def q_rules(spark, sf):
+    """Requests judged by the rules that differently written metadata state: a list and a share, legacy names, a share above one, unusable entries."""
+    from riskframe.operators.align import RequestedRule
+    keys = ["O_TOTALPRICE", "O_ORDERPRIORITY", "O_ORDERSTATUS"]
+    metas = {"plain": {"requested_groups": keys, "min_filled_rate_requested": 1.0}, "legacy": {"required_groups": keys, "min_filled_rate_groups": "0.9"},
+             "clipped": {"requested_groups": keys, "min_filled_rate_requested": 7}, "bad_share": {"requested_groups": keys, "min_filled_rate_requested": "much"},
+             "bad_list": {"requested_groups": "O_TOTALPRICE", "min_filled_rate_requested": 1.0}, "none": {}}
+    rows = SCR.compact_order_rows(Tables(spark, sf))
+    out = None
+    for name, meta in metas.items():
+        part = align_rows(rows, SCR.order_spec(), strict=True, rule=RequestedRule.read(meta)).groupBy("reject_reason").agg(F.count("*").alias("n"))
+        part = part.select(F.lit(name).alias("meta"), "reject_reason", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("adp14_feature_catalogue")
+def q_catalogue(spark, sf):
+    """Allowed keys with their examples, and how many requests name each."""
+    from riskframe.operators.align import feature_catalogue
+    named = SCR.compact_order_rows(Tables(spark, sf)).select(F.explode(F.map_keys("features")).alias("key")).groupBy("key").agg(F.count("*").alias("n_requests"))
+    known = feature_catalogue(spark, SCR.order_spec()).join(named, "key", "left")
+    return known.select("key", "kind", "n_dummies", F.array_join("examples", "|").alias("examples"), F.coalesce("n_requests", F.lit(0)).cast("long").alias("n_requests"))
+
+
+# --- run log ----------------------------------------------------------------------------------------------------------
+
+
+@register("exp1_exp2_champion_run")
+def q_champion(spark, sf):
+    """A run for every customer's orders (metrics: their prices, step: the order), written as a run log, and the run
+    that is found by name, by model version and by the highest version."""
+    from riskframe.plans.train import resolve_run
+    o = Tables(spark, sf).orders
+    who = F.concat(F.lit("run-"), F.col("o_custkey").cast("string"))
+    start = (F.col("o_custkey") % 997).cast("double") + F.col("o_custkey") / 1e7
+    base = o.select(F.lit("orders").alias("experiment"), who.alias("run_id"), F.concat(F.lit("group-"), (F.col("o_custkey") % 5).cast("string")).alias("run_name"),
+                    start.alias("start_time"), "o_orderkey", "o_totalprice", "o_custkey")
+    row = lambda kind, key, value, step: F.struct(F.lit(kind).alias("kind"), F.lit(key).alias("key"), value.cast("string").alias("value"), step.cast("int").alias("step"))
+    none = F.lit(None)
+    log = base.select("experiment", "run_id", "run_name", "start_time", row("metric", "price", F.col("o_totalprice"), F.col("o_orderkey")).alias("r")).unionAll(
+        base.select("experiment", "run_id", "run_name", "start_time", "o_custkey").distinct().select(
+            "experiment", "run_id", "run_name", "start_time", F.explode(F.array(
+                row("tag", "model_name", F.concat(F.lit("model-"), (F.col("o_custkey") % 3).cast("string")), none),
+                row("tag", "model_version", F.col("o_custkey") % 11, none))).alias("r"))).select("experiment", "run_id", "run_name", "start_time", "r.*")
+    path = folder(spark, "runs")
+    log.write.parquet(path)
+    runs = spark.read.parquet(path)
+    found = {"name": dict(run_name="group-2"), "version": dict(model_name="model-1", model_version="4"), "latest": dict(model_name="model-2", model_version="latest"),
+             "id": dict(run_id="run-7")}
+    out = None
+    for how, wanted in found.items():
+        part = resolve_run(runs, experiment="orders", **wanted).select(F.lit(how).alias("how"), "run_id", "kind", "key", "value", "step")
+        out = part if out is None else out.unionByName(part)
+    return out

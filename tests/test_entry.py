@@ -21,13 +21,13 @@ def test_every_query_has_an_oracle_or_is_rows_only(spark):
     assert set(orc) <= set(qs)
     # the training-data queries, when present, have brute-force tests of their own
     rows_only = {q for q in set(qs) - set(orc) if not re.match(r"op\d+_|pipeline$", q)}
-    assert rows_only <= SLOW | {"prf3_dtype_counts", "smp6_smote_rows"}
+    assert rows_only <= SLOW | {"prf3_dtype_counts"}
 
 
 @pytest.mark.parametrize("name", sorted(q for q in set(E.queries()) - SLOW if q != "pipeline"))
 def test_query_runs(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
-    assert df.count() >= 0
+    df.write.format("noop").mode("overwrite").save()  # all columns: a count would prune them
     assert len(df.columns) == len(set(df.columns))
 
 
