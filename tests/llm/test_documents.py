@@ -379,6 +379,52 @@ def test_op9(spark):
         assert set(want) <= set(r.spans.split(","))
 
 
+def plain_differencing(sizes, parts):
+    """The textbook form: partial partitions as lists of (sum, members), the two with the largest spread combined in opposite order."""
+    partial = [[(s, {i})] + [(0, set()) for _ in range(parts - 1)] for i, s in enumerate(sizes)]
+    order = list(range(len(partial)))
+    made = len(partial)
+    while len(partial) > 1:
+        spread = lambda j: (-(partial[j][0][0] - partial[j][-1][0]), order[j])
+        a, b = sorted(range(len(partial)), key=spread)[:2]
+        joined = [(x + y, m | n) for (x, m), (y, n) in zip(partial[a], reversed(partial[b]))]
+        joined = sorted(joined, key=lambda p: -p[0])
+        for j in sorted((a, b), reverse=True):
+            del partial[j], order[j]
+        partial.append(joined)
+        order.append(made)
+        made += 1
+    return {frozenset(m) for _, m in partial[0] if m}
+
+
+@pytest.mark.parametrize("n, parts", [(1, 3), (7, 2), (40, 4), (60, 16)])
+def test_difference_equals_the_textbook(n, parts):
+    rng = random.Random(n)
+    sizes = sorted((rng.randint(1, 400) for _ in range(n)), reverse=True)
+    sums = np.zeros((n, parts), dtype=np.int64)
+    sums[:, 0] = sizes
+    label, _ = sharding.difference(sums)
+    got = {}
+    for i in range(n):
+        got.setdefault(int(label[i, 0]), set()).add(i)
+    assert {frozenset(m) for m in got.values()} == plain_differencing(sizes, parts)
+
+
+def test_op10_equals_the_textbook(spark):
+    """All of sf0.001 is one block: the query's shards are those of the plain form, equal texts as one group."""
+    d = "/root/testdata/sf0.001"
+    texts = {}
+    for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect():
+        texts.setdefault((r.text or "").encode(), []).append(r.doc_id)
+    groups = sorted(texts, key=lambda t: (-(len(t) + 1) * len(texts[t]), hashlib.sha256(t).digest()))
+    want = {frozenset(d for i in part for d in texts[groups[i]]) for part in plain_differencing([(len(t) + 1) * len(texts[t]) for t in groups], 16)}
+    got = {}
+    for r in queries.op10_sharding(spark, d).select("doc_id", "shard").collect():
+        got.setdefault(r.shard, set()).add(r.doc_id)
+    assert {frozenset(m) for m in got.values()} == want
+
+
+
 # sharding -------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("n,parts", [(0, 4), (1, 4), (7, 2), (300, 16), (2000, 3)])
