@@ -246,6 +246,7 @@ from checks.oracle_ml import ORACLE_ML  # noqa: E402
 
 ORACLE.update(ORACLE_IO | ORACLE_ML | {
     "agg3_four_children": g.four_children_sql(),
+    "prf3_dtype_counts": f"SELECT dtype, count(*) AS n_columns, CAST(sum(non_null) AS BIGINT) AS n_values FROM ({ORACLE['prf1_table_info']}) i GROUP BY dtype",
     "top4_importances": _IMP + ("SELECT * FROM (SELECT feature, 'top' AS list FROM imp ORDER BY importance DESC, feature LIMIT 3) UNION ALL "
                                 "SELECT feature, 'zero' FROM imp WHERE importance = 0"),
     "snk7_requested_report_file": "SELECT *, " + g.f32("0.8") + " AS target, 'orders' AS source FROM (" + ORACLE["ml13_ml14_requested_keys"] + ") r",

@@ -49,10 +49,8 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def dtype_counts(df: DataFrame) -> DataFrame:
-    """PRF3: number of columns per type (schema metadata only)."""
-    spark = df.sparkSession
-    rows = [(f.dataType.simpleString(),) for f in df.schema.fields]
-    return spark.createDataFrame(rows, "dtype string").groupBy("dtype").agg(F.count(F.lit(1)).alias("n_columns"))
+    """PRF3: number of columns per type, and of the values in them (one aggregate over all rows)."""
+    return table_info(df).groupBy("dtype").agg(F.count(F.lit(1)).alias("n_columns"), F.sum("non_null").alias("n_values"))
 
 
 def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

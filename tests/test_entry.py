@@ -21,7 +21,7 @@ def test_every_query_has_an_oracle_or_is_rows_only(spark):
     assert set(orc) <= set(qs)
     # the training-data queries, when present, have brute-force tests of their own
     rows_only = {q for q in set(qs) - set(orc) if not re.match(r"op\d+_|pipeline$", q)}
-    assert rows_only <= SLOW | {"prf3_dtype_counts"}
+    assert rows_only <= SLOW
 
 
 @pytest.mark.parametrize("name", sorted(q for q in set(E.queries()) - SLOW if q != "pipeline"))
