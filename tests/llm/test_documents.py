@@ -509,3 +509,77 @@ def test_private_key_rule_leaves_prose():
     assert {b"-----BEGIN"[:3].lower(), b"vat"} <= set(scanner.names)
     [many] = scanner.scan(["-----BEGIN PRIVATE KEY----- - " * 20_000])
     assert len(many) == 20_000
+
+
+# fingerprints, anew ----------------------------------------------------------------------------------------------------
+
+
+def plain_hash(points):
+    return tuple(sum((c + 1) * pow(b, j, p) for j, c in enumerate(points)) % p for p, b in zip(fingerprints.PRIMES, fingerprints.BASES))
+
+
+def plain_mixed(points):
+    a, b = plain_hash(points)
+    return ((a * 2654435761 + b * (40503 << 16 | 1)) % 2 ** 64 >> 16) & 0xFFFFFFFF
+
+
+def plain_print(text):
+    """The fingerprint by its description: rungs, anchors and spans hashed one by one."""
+    points, n = [ord(c) for c in text], len(text)
+    whole = plain_hash(points)
+    rungs = sorted({int(2 ** (k / 4)) for k in range(200) if int(2 ** (k / 4)) <= n})
+    marks = [plain_mixed(points[i:i + 8]) for i in range(n - 7)]
+    found = [i for i in range(28, len(marks) - 28) if all(marks[i] < marks[j] for j in range(i - 28, i + 29) if j != i)]
+    bounds = [0, *found, n]
+    for a, b in list(zip(bounds, bounds[1:])):
+        if b - a > 240:
+            bounds += range(a + 57, b, 57)
+    bounds.sort()
+    spans = "".join(f"{b - a:02x}{plain_mixed(points[a:b]):08x}" for a, b in zip(bounds, bounds[1:])) if n else ""
+    return (f"{n:x}:{whole[0]:08x}{whole[1]:08x}:" + "".join(f"{plain_mixed(points[:r]):08x}" for r in rungs) + ":"
+            + "".join(f"{plain_mixed(points[n - r:]):08x}" for r in rungs) + ":" + spans)
+
+
+def plain_likeness(a, b):
+    """From the texts themselves: the longest equal rungs, and equal spans between them."""
+    if a == b:
+        return 1.0
+    short = min(len(a), len(b))
+    if not short:
+        return 0.0
+    rungs = sorted({int(2 ** (k / 4)) for k in range(200) if int(2 ** (k / 4)) <= short})
+    front = max([0, *(r for r in rungs if a[:r] == b[:r])])
+    back = max([0, *(r for r in rungs if a[-r:] == b[-r:])])
+    if front + back >= short:
+        return short / max(len(a), len(b))
+
+    def between(text):
+        spans, at, out = plain_print(text).split(":")[4], 0, {}
+        for i in range(0, len(spans), 10):
+            end = at + int(spans[i:i + 2], 16)
+            inside = min(end, len(text) - back) - max(at, front)
+            if inside > 0:
+                out.setdefault(text[at:end], []).append(inside)
+            at = end
+        return out
+    x, y = between(a), between(b)
+    shared = sum(sum(map(min, sorted(x[s], reverse=True), sorted(y[s], reverse=True))) for s in x if s in y)
+    return (front + back + shared) / max(len(a), len(b))
+
+
+def test_op3_equals_plain(spark):
+    d = "/root/testdata/sf0.001"
+    rows = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()), reverse=True)
+    got = {r.doc_id: r for r in queries.op3_fingerprints(spark, d).collect()}
+    assert len(got) == len(rows)
+    seen = 0
+    for (doc_id, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        half = len(text) // 2
+        new = text[:len(text) - half] + following[:half]
+        assert got[doc_id].edited_sha256 == hashlib.sha256(new.encode()).hexdigest() and got[doc_id].n_chars == len(text)
+        if len(text) + len(following) > 2_500 or seen >= 40:
+            continue
+        seen += 1
+        assert got[doc_id].fingerprint == plain_print(text) and got[doc_id].edited_fingerprint == plain_print(new)
+        assert abs(got[doc_id].near_edited - plain_likeness(text, new)) < 1e-12 and abs(got[doc_id].near_next - plain_likeness(text, following)) < 1e-12
+    assert seen >= 10
