@@ -19,13 +19,19 @@ costs about as many jobs as it has levels.  Ties go to the smaller node, feature
 Rows carry their bins and a margin; trees grown since the margin was last stored are
 added inside the tasks, and every ``store_every`` trees the margins are checkpointed.
 The driver holds histograms and trees only.  A missing value lies in the lowest bin.
+
+The same histograms grow the trees of a random forest (ML6, ``objective="mean"``): with
+gradient -y and hessian 1 the gain is the decrease of the Gini impurity (halved), and a
+leaf's value is the share of positives.  Each tree has its own bootstrap (a
+Poisson count per row, drawn by a hash of the key) and each node its own columns.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +64,11 @@ class Growth:
     random_state: int = 42
     max_bin: int = 63
     store_every: int = 10
+    objective: str = "logistic"
+    #: Forests: least rows of a node that is split, share of columns that a node looks at, rows drawn with replacement.
+    min_samples_split: int = 2
+    max_features: float = 1.0
+    bootstrap: bool = False
 
 
 def _matrix(column, dtype) -> np.ndarray:
@@ -82,9 +93,18 @@ def _values(tree: dict) -> np.ndarray:
     return out
 
 
+#: Nodes whose histograms one job makes.
+NODES = 128
+
+
 def histograms(rows: DataFrame, trees: list[dict], base: float, leaf_of: dict, wanted: list[int], columns: np.ndarray,
-               n_bins: int, subsample: float, seed: int) -> dict[int, np.ndarray]:
+               n_bins: int, subsample: float, seed: int, mean: bool = False) -> dict[int, np.ndarray]:
     """Per wanted node the sums (gradient, hessian, rows) of each column and bin."""
+    if len(wanted) > NODES:
+        out = {}
+        for at in range(0, len(wanted), NODES):
+            out |= histograms(rows, trees, base, leaf_of, wanted[at:at + NODES], columns, n_bins, subsample, seed, mean)
+        return out
     place = {node: i for i, node in enumerate(wanted)}
     most = max([0, *wanted, *(s["right"] for s in leaf_of["splits"].values())])
     slot = np.array([place.get(n, -1) for n in range(most + 1)])
@@ -105,11 +125,13 @@ def histograms(rows: DataFrame, trees: list[dict], base: float, leaf_of: dict, w
             keep = node >= 0
             if subsample < 1.0:
                 keep &= batch.column("u").to_numpy(zero_copy_only=False) < subsample
-            g, h = (weight * (p - y))[keep], (weight * p * (1 - p))[keep]
-            bins, node = bins[keep], node[keep]
+            times = batch.column("times").to_numpy(zero_copy_only=False)
+            weight = weight * times
+            g, h = ((-weight * y)[keep], weight[keep]) if mean else ((weight * (p - y))[keep], (weight * p * (1 - p))[keep])
+            bins, node, times = bins[keep], node[keep], times[keep]
             for i, c in enumerate(columns.tolist()):
                 cell = node * n_bins + bins[:, c]
-                for k, value in enumerate((g, h, None)):
+                for k, value in enumerate((g, h, times)):
                     total[:, i, :, k] += np.bincount(cell, weights=value, minlength=len(wanted) * n_bins).reshape(len(wanted), n_bins)
         node, column, at = np.nonzero(total[..., 2])
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (node, column, at)] + [pa.array(total[node, column, at, k]) for k in range(3)],
@@ -133,8 +155,14 @@ def leaf_value(g: float, h: float, growth: Growth) -> float:
     return float(-_shrunk(g, growth.reg_alpha) / (h + growth.reg_lambda)) if h + growth.reg_lambda > 0 else 0.0
 
 
-def best_split(sums: np.ndarray, columns: np.ndarray, growth: Growth) -> dict | None:
+def best_split(sums: np.ndarray, columns: np.ndarray, growth: Growth, node: int = 0, number: int = 0) -> dict | None:
     """The split of a node with the largest gain, by its histogram (columns x bins x 3)."""
+    if growth.max_features < 1.0:
+        pick = np.random.default_rng([growth.random_state, number, node]).permutation(len(columns))[:max(1, int(growth.max_features * len(columns)))]
+        pick.sort()
+        sums, columns = sums[pick], columns[pick]
+    # a forest's gain is never below zero but for rounding; a pure node has none
+    least = 1e-9 * abs(float(sums[0, :, 1].sum())) if growth.objective == "mean" else 0.0
     left = np.cumsum(sums, axis=1)[:, :-1]
     whole = sums[0].sum(axis=0)
     right = whole - left
@@ -143,7 +171,7 @@ def best_split(sums: np.ndarray, columns: np.ndarray, growth: Growth) -> dict |
     fair = ((left[..., 2] >= growth.min_child_samples) & (right[..., 2] >= growth.min_child_samples)
             & (left[..., 1] >= growth.min_child_weight) & (right[..., 1] >= growth.min_child_weight))
     gain = np.where(fair, gain, -np.inf)
-    if not gain.size or not gain.max() > growth.min_split_gain:
+    if not gain.size or whole[2] < growth.min_samples_split or not gain.max() > max(growth.min_split_gain, least):
         return None
     # gains within rounding are ties; the first column and bin win
     c, b = np.unravel_index(int(np.flatnonzero(gain.ravel() >= gain.max() - 1e-9 * abs(gain.max()))[0]), gain.shape)
@@ -157,10 +185,15 @@ def grow_tree(rows: DataFrame, trees: list[dict], base: float, n_bins: int, n_fe
     if growth.colsample_bytree < 1.0:
         columns = np.sort(rng.choice(n_features, max(1, round(n_features * growth.colsample_bytree)), replace=False))
     seed = growth.random_state * 1_000_003 + number
-    ask = lambda tree, nodes: histograms(rows, trees, base, tree, nodes, columns, n_bins, growth.subsample, seed)
+    mean = growth.objective == "mean"
+    if growth.bootstrap:
+        u = F.pmod(F.xxhash64("key", F.lit(seed), F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+        steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+        rows = rows.withColumn("times", sum(((u >= float(s)).cast("double") for s in steps), F.lit(0.0))).where("times > 0")
+    ask = lambda tree, nodes: histograms(rows, trees, base, tree, nodes, columns, n_bins, growth.subsample, seed, mean)
     tree = {"splits": {}, "values": {0: 0.0}}  # the chosen splits
     root = ask(tree, [0])[0]
-    depth, split = {0: 0}, {0: best_split(root, columns, growth)}
+    depth, split = {0: 0}, {0: best_split(root, columns, growth, 0, number)}
     sums = {0: root[0].sum(axis=0).tolist()}
     kids: dict[int, tuple[int, int]] = {}
     next_number = 1
@@ -181,7 +214,7 @@ def grow_tree(rows: DataFrame, trees: list[dict], base: float, n_bins: int, n_fe
             found = ask(trial, asked) if asked else {}
             for n in todo:
                 for c in kids[n]:
-                    split[c] = best_split(found[c], columns, growth) if c in found else None
+                    split[c] = best_split(found[c], columns, growth, c, number) if c in found else None
         heapq.heappop(queue)
         tree["splits"][node] = {**split[node], "left": kids[node][0], "right": kids[node][1]}
         leaves += 1
@@ -218,11 +251,14 @@ def fit_trees(rows: DataFrame, growth: Growth, bounds: list[list[float]] | None
     n_features = first["n"]
     bounds = bounds if bounds is not None else quantile_bounds(rows, "x", n_features, growth.max_bin)
     work = rows.select("key", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"),
-                       binned(rows, "x", bounds).alias("bins"), F.lit(0.0).alias("margin"))
+                       binned(rows, "x", bounds).alias("bins"), F.lit(0.0).alias("margin"), F.lit(1.0).alias("times"))
     work = cut_lineage(work)
     mean = work.agg(F.sum(F.col("w") * F.col("y")) / F.sum("w")).first()[0]
     mean = min(max(mean, 1e-12), 1 - 1e-12)
     base, n_bins = float(np.log(mean / (1 - mean))), 1 + max(map(len, bounds))
+    if growth.objective == "mean":  # independent trees, whose values are averaged
+        forest = [grow_tree(work, [], 0.0, n_bins, n_features, growth, number) for number in range(growth.n_estimators)]
+        return {"bounds": bounds, "base": 0.0, "trees": [_plain(t) for t in forest], "n_features": n_features, "link": "mean"}
     trees: list[dict] = []
     pending: list[dict] = []
     for number in range(growth.n_estimators):
@@ -286,11 +322,12 @@ class BoostedTrees(Estimator, DefaultParamsReadable, DefaultParamsWritable):
 
     growth = Param(Params._dummy(), "growth", "how trees grow, as JSON", TypeConverters.toString)
     key = Param(Params._dummy(), "key", "column that rows are drawn by", TypeConverters.toString)
+    weightCol = Param(Params._dummy(), "weightCol", "column of row weights; empty for none", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, growth: str = "{}", key: str = ""):
+    def __init__(self, growth: str = "{}", key: str = "", balanced: bool = False):
         super().__init__()
-        self._set(growth=growth, key=key)
+        self._set(growth=growth, key=key, weightCol="weight" if balanced else "")
 
     def _fit(self, dataset: DataFrame) -> BoostedTreesModel:
         key = self.getOrDefault("key")
@@ -298,7 +335,10 @@ class BoostedTrees(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         named = F.col(f"`{key}`") if key else F.xxhash64(x)
         weight = F.col("weight") if "weight" in dataset.columns else F.lit(1.0)
         rows = dataset.select(named.cast("long").alias("key"), F.col("y").alias("y"), weight.alias("w"), x.alias("x"))
-        return BoostedTreesModel(trees=json.dumps(fit_trees(rows, Growth(**json.loads(self.getOrDefault("growth"))))))
+        growth = Growth(**json.loads(self.getOrDefault("growth")))
+        if growth.max_features < 0:  # the square root of the number of columns
+            growth = replace(growth, max_features=max(1, math.isqrt(rows.select(F.size("x")).first()[0])) / rows.select(F.size("x")).first()[0] + 1e-9)
+        return BoostedTreesModel(trees=json.dumps(fit_trees(rows, growth)))
 
 
 class BoostedTreesModel(Model, DefaultParamsReadable, DefaultParamsWritable):
@@ -316,7 +356,8 @@ class BoostedTreesModel(Model, DefaultParamsReadable, DefaultParamsWritable):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         spec = self.spec()
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin_of(binned(dataset, vector_to_array("features"), spec["bounds"]), spec)))
+        total = margin_of(binned(dataset, vector_to_array("features"), spec["bounds"]), spec)
+        p = total / float(max(1, len(spec["trees"]))) if spec.get("link") == "mean" else F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
         return dataset.withColumn("__p", p).withColumn("probability", array_to_vector(F.array(F.lit(1.0) - F.col("__p"), F.col("__p")))).drop("__p")
 
     def gains(self) -> list[float]:

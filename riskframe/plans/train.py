@@ -57,11 +57,13 @@ MAX_DEPTH = 30
 
 def random_forest(n_estimators: int = 100, max_depth: int | None = None, min_samples_leaf: int = 1, seed: int = 42,
                   balanced: bool = False, min_samples_split: int = 2):
-    """ML6: without a depth limit trees grow to Spark's maximum; a deeper limit, or a split rule that Spark lacks, is refused by name."""
-    if max_depth is not None and max_depth > MAX_DEPTH:
-        raise ValueError(f"max_depth={max_depth}: Spark grows trees to depth {MAX_DEPTH} at most")
-    if min_samples_split > 2 * min_samples_leaf:
-        raise ValueError(f"min_samples_split={min_samples_split} has no Spark counterpart beyond 2 * min_samples_leaf")
+    """ML6: without a depth limit trees grow to Spark's maximum.  A deeper limit, or a least size of split nodes beyond
+    2 * min_samples_leaf, which Spark's forest lacks, is left to the forest of ``operators.boosting``."""
+    if min_samples_split > 2 * min_samples_leaf or (max_depth or 0) > MAX_DEPTH:
+        return BoostedTrees(growth=json.dumps({
+            "objective": "mean", "n_estimators": n_estimators, "learning_rate": 1.0, "num_leaves": 1 << 30, "max_depth": max_depth or -1,
+            "min_child_samples": min_samples_leaf, "min_child_weight": 0.0, "min_samples_split": min_samples_split, "bootstrap": True,
+            "random_state": seed, "max_features": -1.0}), balanced=balanced)
     forest = RandomForestClassifier(numTrees=n_estimators, maxDepth=max_depth or MAX_DEPTH,
                                     minInstancesPerNode=min_samples_leaf, seed=seed,
                                     featuresCol="features", labelCol="y")

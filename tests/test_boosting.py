@@ -82,6 +82,51 @@ def test_penalties_and_leaves(spark):
     assert list(ends(num_leaves=6, reg_alpha=1e6)) == [0.0]
 
 
+def test_forest_tree_equals_plain_gini(spark):
+    """One tree on all rows and columns against a recursive grower by Gini impurity."""
+    x, y, rows = data(spark, n=300, p=4)
+    bounds = [sorted(np.quantile(x[:, i], np.linspace(0.1, 0.9, 9)).tolist()) for i in range(4)]
+    bins = np.stack([np.searchsorted(np.array(b), x[:, i], side="left") for i, b in enumerate(bounds)], axis=1)
+    growth = B.Growth(objective="mean", n_estimators=1, learning_rate=1.0, num_leaves=1 << 30, max_depth=6, min_child_samples=3, min_child_weight=0.0,
+                      min_samples_split=25)
+    spec = B.fit_trees(rows, growth, bounds)
+    gini = lambda r: 2 * y[r].mean() * (1 - y[r].mean()) * len(r) if len(r) else 0.0
+    p = np.zeros(len(y))
+
+    def grow(r, depth):
+        best = None
+        if len(r) >= 25 and depth < 6 and 0 < y[r].mean() < 1:
+            for f in range(4):
+                for b in range(9):
+                    left, right = r[bins[r, f] <= b], r[bins[r, f] > b]
+                    if min(len(left), len(right)) >= 3:
+                        gain = gini(r) - gini(left) - gini(right)
+                        if gain > 1e-9 and (best is None or gain > best[0] + 1e-9 * gain):
+                            best = (gain, left, right)
+        if best is None:
+            p[r] = y[r].mean()
+        else:
+            grow(best[1], depth + 1)
+            grow(best[2], depth + 1)
+    grow(np.arange(len(y)), 0)
+    model = B.BoostedTreesModel(trees=B.json.dumps(spec))
+    got = model.transform(rows.withColumn("features", array_to_vector("x"))).select("key", vector_to_array("probability")[1].alias("p")).orderBy("key").collect()
+    assert np.allclose([r.p for r in got], p, atol=1e-9)
+    assert all(spec["trees"][0]["counts"][n] >= 25 for n in spec["trees"][0]["splits"])
+
+
+def test_forest_with_least_split(spark):
+    x, y, rows = data(spark)
+    table = rows.select(F.col("key").alias("vec_id"), "y", *[F.col("x")[i].alias(f"f{i}") for i in range(5)])
+    feats = [f"f{i}" for i in range(5)]
+    res = TR.run_model(TR.random_forest(6, min_samples_split=40, balanced=True), table, table, feats)
+    spec = res["model"].spec()
+    assert len(spec["trees"]) == 6 and res["train_auc"] > 0.8
+    for tree in spec["trees"]:
+        assert all(tree["counts"][n] >= 40 for n in tree["splits"])
+    assert len({str(t["splits"]) for t in spec["trees"]}) == 6
+
+
 def test_draws_of_rows_and_columns_are_repeatable(spark):
     _, _, rows = data(spark)
     grow = lambda seed: B.fit_trees(rows, B.Growth(n_estimators=2, num_leaves=5, subsample=0.5, colsample_bytree=0.4, random_state=seed))["trees"]

@@ -123,8 +123,8 @@ def test_estimator_parameters(spark):
     assert gbt.getMaxDepth() == 4 and gbt.getMinInstancesPerNode() == 7
     with pytest.raises(ValueError, match="colour"):
         TR.gradient_boosting(colour=1.0)
-    with pytest.raises(ValueError, match="max_depth"):
-        TR.random_forest(max_depth=31)
+    deep = json.loads(TR.random_forest(max_depth=31, min_samples_split=9).getOrDefault("growth"))
+    assert deep["max_depth"] == 31 and deep["min_samples_split"] == 9
     assert TR.random_forest(balanced=True).getWeightCol() == "weight" and TR.random_forest().getMaxDepth() == 30
     assert TR.logistic_regression(0.5)(200).getRegParam() == pytest.approx(0.01)
 
