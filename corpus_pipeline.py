@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.llm import langid, packing, quality, secret_scan, simhash
-from riskframe.llm.common import columns, drop_folder, stored
+from riskframe.llm.common import columns, drop_folder, spread_join, stored
 from riskframe.llm.queries import held_out
-from riskframe.session import ensure_checkpoint_dir
+from riskframe.session import cut_lineage, ensure_checkpoint_dir
 
 #: Least mean, over a document's words, of the posterior of each word's own most probable language.
 LEAST_SCORE = 0.5
@@ -60,14 +60,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keep the row with the smallest id of each group (of rows that agree in everything, one).
 
     Only ids, fingerprints and 128 bits that stand for a row are grouped; the texts are shuffled once, to meet the rows that stay.
+    Rows that agree in everything share one key: they meet it in several tasks, each of which keeps one of them before they come together.
     """
     plain = [columns([f.name])[0] for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     keyed = docs.select(F.struct(*columns(docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"),
                         F.xxhash64(*plain).alias("key_a"), F.xxhash64(F.lit("b"), *plain[::-1]).alias("key_b"))
     found = simhash.near_duplicates(keyed, shingle=3, radius=2, keys=["doc_id", "key_a", "key_b"])
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key_a"), F.col("key_b"))
-    stay = found.groupBy("group").agg(F.min_by(F.struct("key_a", "key_b"), order).alias("key")).select("key.key_a", "key.key_b")
-    return keyed.select("row", "key_a", "key_b").join(stay, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"]).select("row.*")
+    stay = cut_lineage(found.groupBy("group").agg(F.min_by(F.struct("key_a", "key_b"), order).alias("key")).select("key"))
+    rows = keyed.select("row", F.struct("key_a", "key_b").alias("key"), F.monotonically_increasing_id().alias("copy"))
+    met = spread_join(rows, stay, "key", docs.count(), ["copy"])
+    return met.groupBy("key").agg(F.first("row").alias("row")).select("row.*")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
