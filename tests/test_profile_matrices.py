@@ -63,3 +63,13 @@ def test_correlations_of_a_wide_table(spark):
 def test_correlations_of_nothing(spark):
     empty = spark.createDataFrame([], "a double, b double")
     assert [tuple(r) for r in PR.corr_matrix(empty, ["a", "b"]).collect()] == [("b", "a", None)]
+
+
+def test_kde_rows_are_not_shuffled_by_class(spark):
+    """Classes are few and large: the rows stay in their tasks, the classes' bounds go to them."""
+    from riskframe.operators import profile as PR
+    df = spark.range(2_000).selectExpr("cast(id % 37 as double) AS v", "if(id % 5 = 0, null, id % 2) AS y")
+    out = PR.kde_by_class(df, "v", "y", grid_size=5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+    assert {(r.y, r.gi) for r in out.collect()} == {(y, g) for y in (None, 0, 1) for g in range(5)}
