@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from riskframe.operators import rollup as R
 from riskframe.operators import sampling as S
 from riskframe.operators.align import FeatureSpec, RequestedRule, align_rows
 from riskframe.operators.rollup import agg_numeric_and_cat
@@ -129,3 +130,48 @@ def test_fail_fast_reports_lowest_rejected_row(spark):
     with pytest.raises(BatchRejected) as e:
         fail_fast(aligned)
     assert e.value.row_index == 3 and e.value.reason == "unknown_keys"
+
+
+def _close(a, b):
+    return a == b or (a is not None and b is not None and math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12))
+
+
+def _exchanged(df):
+    """Columns of each shuffle in the plan."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.initialPlan()
+    out, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            out.append(node.output().size())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_rows_are_shuffled_where_keys_do_not_meet(spark):
+    """A key whose rows are spread over the tasks: the shuffle carries the rows, not partial rows several times as wide."""
+    rows = spark.range(20_000).repartition(4).selectExpr("id % 9000 AS k", "id % 7 * 1.5D AS x", "cast(id % 11 as double) AS y", "if(id % 3 = 0, 'a', 'b') AS c")
+    out = agg_numeric_and_cat(rows, "k", "P_")
+    assert _exchanged(out)[0] == 4
+    combined = agg_numeric_and_cat(rows, "k", "P_", plan=R.ShufflePlan(True))
+    assert _exchanged(combined)[0] > 12
+    want = {r.k: r for r in combined.collect()}
+    got = {r.k: r for r in out.collect()}
+    assert set(got) == set(want) and all(_close(a, b) for k in got for a, b in zip(got[k], want[k]))
+
+
+def test_hot_keys_are_combined_in_map_tasks(spark, monkeypatch):
+    """A key with a third of the rows among many others is found and is not sent to one task row by row."""
+    monkeypatch.setattr(R, "HOT_ROWS", 500)
+    rows = spark.range(30_000).repartition(4).selectExpr("if(id % 3 = 0, -1, id) AS k", "cast(id % 13 as double) AS x", "cast(null as string) AS c")
+    spec = R.rollup_spec(rows, "k", "P_")
+    plan = R.shuffle_plan(rows, "k", spec)
+    assert plan == R.ShufflePlan(False, [-1])
+    out = agg_numeric_and_cat(rows, "k", "P_", spec=spec, plan=plan)
+    got = {r.k: r for r in out.collect()}
+    want = {r.k: r for r in agg_numeric_and_cat(rows, "k", "P_", spec=spec, plan=R.ShufflePlan(True)).collect()}
+    assert len(got) == 20_001 and all(_close(a, b) for k in got for a, b in zip(got[k], want[k]))
+    few = spark.range(10_000).selectExpr("id % 5 AS k", "1.0D AS x")
+    assert R.shuffle_plan(few, "k", R.rollup_spec(few, "k", "P_")).combine
