@@ -96,8 +96,12 @@ def q_log_transaction(spark, sf):
 
 @register("str1_stream_scoring")
 def q_stream(spark, sf):
-    """All orders as a stream of request files, some requests twice, in several micro-batches over two runs of the query."""
+    """All orders as a stream of request files, some requests twice, in several micro-batches over two runs of the query.
+
+    A micro-batch takes as many files as one of the four deliveries has, so larger deliveries make larger micro-batches, not more:
+    each costs all its jobs' tasks, whatever it holds."""
     base = folder(spark, "stream")
+    known = 0
     rows = SCR.compact_order_rows(Tables(spark, sf))
     part = F.col("row_index") % 4
     request = F.concat(F.lit('{"request_id":"'), F.col("row_index").cast("string"), F.lit('","ts":"'),
@@ -106,9 +110,11 @@ def q_stream(spark, sf):
     for number in range(4):
         again = (part == number - 1) & (F.col("row_index") % 3 == 0)  # requests of the file before arrive once more
         rows.where((part == number) | again).select(request.alias("value")).write.mode("append").text(f"{base}/in")
-        if number % 2:  # stopped after two files, started again for the rest
-            ST.start_scoring(spark, f"{base}/in", f"{base}/log", f"{base}/rejects", f"{base}/checkpoint", SCR.order_spec(), SCR.order_model(),
-                             SCR.order_rule(), available_now=True, max_files_per_trigger=1, delay="2 hours").awaitTermination()
+        if number % 2:  # stopped after two deliveries, started again for the rest
+            files = len(spark.read.text(f"{base}/in").inputFiles())
+            ST.start_scoring(spark, f"{base}/in", f"{base}/log", f"{base}/rejects", f"{base}/checkpoint", SCR.order_spec(), SCR.order_model(), SCR.order_rule(),
+                             available_now=True, max_files_per_trigger=max(1, (files - known + 1) // 2), delay="2 hours").awaitTermination()
+            known = files
     log = PL.read_log(spark, f"{base}/log").select("row_index", F.lit(None).cast("string").alias("reject_reason"), "proba_default", "decision")
     rejects = ST.read_rejects(spark, f"{base}/rejects").select("row_index", "reject_reason", F.lit(None).cast("double").alias("proba_default"),
                                                                 F.lit(None).cast("int").alias("decision"))
