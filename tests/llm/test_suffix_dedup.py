@@ -126,3 +126,39 @@ def test_op12_equals_plain(spark):
     got = queries.op12_suffix_dedup(spark, d).collect()
     assert len(got) == len(rows) and {r.doc_id: tuple(r[f] for f in FIGURES) for r in got} == want
     assert any(r.n_removed for r in got) and any(not r.n_removed for r in got)
+
+
+def test_kept_and_spans_equal_plain(spark):
+    texts = passages(3)
+    docs = documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    rows = suffix_dedup.cut_repeats(docs, length=20, width=13).collect()
+    want = plain(texts, 20)
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) == want[r.doc_id]
+        assert all(a.start < a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
+        gone = {i for s in r.spans for i in range(s.start, s.end)}
+        assert r.kept == bytes(b for i, b in enumerate(raw) if i not in gone)
+
+
+def test_op12_gives_what_is_left(spark, tmp_path):
+    rng = random.Random(5)
+    words = lambda n, k=9: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(k)) for _ in range(n))
+    planted, short = words(60), words(55, 4)
+    assert len(planted.encode()) >= 400 > len(short.encode())
+    heads, tails = [f"{i} {words(40)}\n" for i in range(9)], [f"\n{words(30)} {i}" for i in range(9)]
+    texts = [h + (planted if i < 3 else short if i < 5 else "") + t for i, (h, t) in enumerate(zip(heads, tails))]
+    texts += [texts[8], words(50) + "ê", None, ""]  # 8 and 9 are copies
+    texts += [texts[10][:-1] + "â"]  # the repeat ends inside a character
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op12_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(len(texts))) and [tuple(got[i][f] for f in FIGURES) for i in range(len(texts))] == plain(texts, 400)
+    for i in range(3):  # the line breaks on both sides are part of the repeat
+        assert got[i].text == heads[i][:-1] + tails[i][1:]
+        assert got[i].spans == f"{len(heads[i].encode()) - 1}:{len((heads[i] + planted).encode()) + 1}"
+    for i in range(3, 8):
+        assert (got[i].text, got[i].spans) == (texts[i], "")
+    for i in (8, 9):
+        assert (got[i].text, got[i].spans) == ("", f"0:{len(texts[8].encode())}")
+    assert [got[i].text for i in (10, 11, 12, 13)] == ["\ufffd", "", "", "\ufffd"]
